@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import stored, table
-from . import neardup, similar
+from . import leaks, neardup, segments, similar
 
 #: SQL of a list of words: maximal runs of letters, digits and underscores, lower-cased.
 WORDS_SQL = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
@@ -72,6 +72,49 @@ P3_FOUND_SQL = """with v as (select distinct model, key, vec::double[] as vec fr
         union all select 'hash-embed-96', key, o from m where cos >= 0.8"""
 
 
+# 7: splitting oversized texts
+
+
+def _oversized(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "docs").select(F.col("doc_no").cast("bigint").alias("doc_no"), F.lit(-1).cast("bigint").alias("idx"), F.col("markdown").alias("text"))
+    chunks = table(spark, folder, "build_docs").select(F.col("doc_no").cast("bigint").alias("doc_no"), F.explode("chunks").alias("c")).select("doc_no", F.col("c.idx").cast("bigint").alias("idx"), F.col("c.text").alias("text"))
+    return segments.pieces(docs, ["doc_no", "idx"], "text", over=1000).union(segments.pieces(chunks, ["doc_no", "idx"], "text"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _oversized(spark, folder).where("piece = 1").select("doc_no", "idx").distinct()
+
+
+def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All pieces of texts over their limit, by document, with the offsets that put them together again."""
+    return _oversized(spark, folder)
+
+
+P7_FOUND_SQL = """select distinct doc_no::bigint as doc_no, (-1)::bigint as idx from docs where length(markdown) // 4 > 1000
+        union select doc_no::bigint, c.idx::bigint from (select doc_no, unnest(chunks) as c from build_docs) where length(c.text) // 4 > 350"""
+
+
+# 8: leaked test items
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = leaks.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+    return found.where("exact > 0").select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the items that leaked into them, as they are or with numbers, units and names exchanged."""
+    found = leaks.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+    return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "exact", "reworded")
+
+
+P8_FOUND_SQL = f"""with d as (select doc_id, {WORDS_SQL.format("text")} as ws from (select distinct doc_id, text from documents)),
+        i as (select item_id, {WORDS_SQL.format("text")} as ws from eval_items),
+        dg as (select distinct doc_id, list_aggregate(ws[r.n:r.n + 12], 'string_agg', ' ') as g from d, unnest(range(1, len(ws) - 11)) as r(n)),
+        ig as (select distinct item_id, list_aggregate(ws[r.n:r.n + 12], 'string_agg', ' ') as g from i, unnest(range(1, len(ws) - 11)) as r(n))
+        select distinct doc_id::bigint as doc_id, item_id::bigint as item_id from dg join ig using (g)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 
