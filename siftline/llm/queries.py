@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import stored, table
-from . import leaks, neardup, segments, similar
+from . import leaks, mixing, neardup, segments, similar, survivors
 
 #: SQL of a list of words: maximal runs of letters, digits and underscores, lower-cased.
 WORDS_SQL = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
@@ -72,6 +72,35 @@ P3_FOUND_SQL = """with v as (select distinct model, key, vec::double[] as vec fr
         union all select 'hash-embed-96', key, o from m where cos >= 0.8"""
 
 
+# 6: best representative of each group
+
+
+def _survivors(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "docs").select("doc_no", "dup_group", "source", "words", "added_at", "deleted")
+    return survivors.survivors(docs, table(spark, folder, "profile").select("doc_no", "rate", "rate_source"), table(spark, folder, "doc_terms").select("doc_no", "term_id"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [F.coalesce(c, F.lit(-1)).cast("bigint").alias(c) for c in ("text_doc_no", "date_doc_no", "rate_doc_no")]
+    return _survivors(spark, folder).select(F.col("grp").cast("bigint").alias("dup_group"), *parts)
+
+
+def p6_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    """The surviving records with their rate and every term judged true by the quality model."""
+    return _survivors(spark, folder)
+
+
+P6_FOUND_SQL = """with d as (select distinct doc_no, dup_group, words, added_at from docs where not coalesce(deleted, false) and dup_group is not null),
+        m as (select dup_group from d group by 1 having count(distinct doc_no) > 1),
+        l as (select d.* from d join m using (dup_group)),
+        p as (select distinct doc_no, coalesce(not contains(lower(rate_source), 'synthetic'), false) as stated from profile where rate is not null),
+        t as (select dup_group, doc_no, row_number() over (partition by dup_group order by words desc nulls last, added_at desc nulls last, doc_no desc) as k from l),
+        a as (select dup_group, doc_no, row_number() over (partition by dup_group order by added_at desc, doc_no desc) as k from l where added_at is not null),
+        r as (select dup_group, l.doc_no, row_number() over (partition by dup_group order by stated desc, added_at desc nulls last, l.doc_no desc) as k from l join p using (doc_no))
+        select m.dup_group::bigint as dup_group, t.doc_no::bigint as text_doc_no, coalesce(a.doc_no, -1)::bigint as date_doc_no, coalesce(r.doc_no, -1)::bigint as rate_doc_no
+        from m join t on t.dup_group = m.dup_group and t.k = 1 left join a on a.dup_group = m.dup_group and a.k = 1 left join r on r.dup_group = m.dup_group and r.k = 1"""
+
+
 # 7: splitting oversized texts
 
 
@@ -115,6 +144,41 @@ P8_FOUND_SQL = f"""with d as (select doc_id, {WORDS_SQL.format("text")} as ws fr
         select distinct doc_id::bigint as doc_id, item_id::bigint as item_id from dg join ig using (g)"""
 
 
+# 9: mixing sources
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mixed(table(spark, folder, "documents"), "doc_id", "source", "text", table(spark, folder, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mix with the number of times each is used."""
+    return _mixed(spark, folder)[0].withColumnRenamed("key", "doc_id")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of each target source in the mix."""
+    return _mixed(spark, folder)[1]
+
+
+_MIX_SQL = r"""with d as (select distinct doc_id, source, text from documents where text is not null and source is not null),
+        w as (select doc_id, source, greatest(1, length(text) // 4)::bigint as tokens, greatest(0.05, length(regexp_replace(text, '[^\p{L}]+', '', 'g')) / greatest(1, length(text))::double) as weight from d),
+        a as (select source, sum(tokens) as available, count(*) as documents from w group by 1),
+        g as (select min(available * max_repeats / target_share) as t from a join mix_targets using (source)),
+        p as (select m.source, target_share, max_repeats::bigint as max_repeats, coalesce(documents, 0) as documents, coalesce(available, 0) as available, target_share * t as budget,
+            case when available > 0 then least(max_repeats, floor(target_share * t / available)) else 0 end::bigint as epochs from mix_targets m left join a using (source), g),
+        q as (select *, case when epochs < max_repeats then budget - epochs * available else 0 end as rest from p),
+        k as (select doc_id, w.source, tokens, epochs, rest, sum(tokens) over (partition by w.source order by ln((('0x' || substr(md5(doc_id || ':0'), 1, 13))::bigint::double + 0.5) / 4503599627370496.0) / weight desc, doc_id
+            rows unbounded preceding) as upto from w join q using (source)),
+        c as (select doc_id, source, tokens, (epochs + (upto <= rest)::int)::bigint as copies from k where epochs + (upto <= rest)::int > 0)"""
+
+P9_MIX_SQL = f"{_MIX_SQL} select doc_id, source, tokens, copies from c"
+
+P9_SHARES_SQL = f"""{_MIX_SQL}, u as (select source, sum(tokens * copies) as used from c group by 1)
+        select q.source, target_share, max_repeats, documents, available::bigint as available, budget, coalesce(used, 0)::bigint as tokens, coalesce(used / (select sum(used) from u)::double, 0) as actual_share,
+        coalesce(used, 0) >= budget * 0.99 as reached from q left join u using (source)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 
