@@ -106,8 +106,8 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def usable(vectors: DataFrame, group: str, key: str, vec: str) -> DataFrame:
     """(grp, key, unit): vectors of the size that most rows of their group have, scaled to length 1. Null, empty,
-    wrongly sized, all-zero and non-finite ones are left out, repeated rows count once; a key with different vectors
-    keeps the first in array order."""
+    wrongly sized, all-zero and non-finite ones are left out; repeated rows are kept, similar_keys drops them. A key
+    that comes with different vectors is searched with one of them in each shard."""
     v = vectors.select(F.col(group).alias("grp"), F.col(key).alias("key"), F.col(vec).cast("array<float>").alias("vec")).where("key is not null and size(vec) > 0")
     sizes = v.groupBy("grp", F.size("vec").alias("size")).count()
     usual = sizes.groupBy("grp").agg(F.max_by("size", F.struct("count", "size")).alias("usual"))
@@ -132,29 +132,35 @@ def usable(vectors: DataFrame, group: str, key: str, vec: str) -> DataFrame:
     return fit.mapInArrow(scale, f"grp string, key {kind}, unit binary")
 
 
-def similar_keys(vectors: DataFrame, cosine: float, k: int = 5, factor: float = 0.07, route_factor: float = 0.05, shards: int = 16, shard_rows: int = 200_000, sample_rows: int = 20_000, leaf: int = 256) -> DataFrame:
+def similar_keys(vectors: DataFrame, cosine: float, k: int = 5, factor: float = 0.12, route_factor: float = 0.06, shards: int = 16, shard_rows: int = 200_000, sample_rows: int = 20_000, leaf: int = 1536) -> DataFrame:
     """(grp, key, other, cosine): for every vector its up to k most similar others of the group at or above the cosine,
     ties in favour of the smaller key.
 
-    vectors: what usable() returns. Vectors that are equal byte for byte meet once, as a class; its members are joined
-    again at the end, and no member meets more than k copies of a class. A routing tree fitted on a bounded sample of
+    vectors: what usable() returns; it is read again rather than stored. A routing tree fitted on a bounded sample of
     each group (sample_rows) cuts its space into shards: ``shards``, or as many as hold shard_rows each. Every vector is
     indexed in its home shard; it is searched there and in each shard within route_factor of the search radius. In a
     shard a VantageTree with ``factor`` finds partners, and a query keeps its k best there, ties included. What either
     of two vectors finds counts for both, so that a pair is lost only if both miss it. Both factors 1: exact.
+
+    Of vectors that are equal byte for byte only the k + 1 with the smallest keys are searched: they are the k most
+    similar others of the rest, and come before the rest for any other vector.
     """
     spark = vectors.sparkSession
     kind = vectors.schema["key"].dataType.simpleString()
-    vectors = stored(vectors)
-    classes = stored(vectors.groupBy("grp", "unit").agg(F.min("key").alias("id")))
-    counts = {r["grp"]: r["n"] for r in classes.groupBy("grp").agg(F.count("*").alias("n")).collect()}  # one row for each model
+    marks = stored(vectors.select("grp", "key", F.xxhash64("unit").alias("h1"), F.hash("unit").alias("h2")))
+    counts = {r["grp"]: r["n"] for r in marks.groupBy("grp").agg(F.count("*").alias("n")).collect()}  # one row for each model
+    many = marks.groupBy("grp", "h1", "h2").agg(F.count_distinct("key").alias("n")).where(F.col("n") > k + 1).drop("n")
+    copies = marks.join(many, ["grp", "h1", "h2"], "left_semi").distinct()
+    copies = stored(copies.withColumn("rank", F.row_number().over(Window.partitionBy("grp", "h1", "h2").orderBy("key"))))
+    extra = copies.where(F.col("rank") > k + 1)
+    searched = vectors if extra.isEmpty() else vectors.join(extra.select("grp", "key"), ["grp", "key"], "left_anti")
     trees: dict[str, tuple[int, VantageTree | None]] = {}
     first = 0
     for grp, n in sorted(counts.items()):
-        wanted = 1 if n <= 4 * leaf else max(shards, -(-n // shard_rows))
+        wanted = 1 if n <= 2 * leaf else max(shards, -(-n // shard_rows))
         tree = None
         if wanted > 1:
-            part = classes.where(F.col("grp") == grp)
+            part = searched.where(F.col("grp") == grp)
             some = part.select("unit").sample(min(1.0, 1.2 * sample_rows / n), seed=11).limit(sample_rows).toPandas()["unit"]
             if len(some) > wanted:
                 tree = VantageTree(np.stack([np.frombuffer(u, np.float32) for u in some]), leaf=math.ceil(len(some) / wanted))
@@ -190,6 +196,8 @@ def similar_keys(vectors: DataFrame, cosine: float, k: int = 5, factor: float =
             return
         t = pa.Table.from_batches(batches).combine_chunks()  # one shard
         del batches
+        _, single = np.unique(np.asarray(t.column("id").to_pylist()), return_index=True)
+        t = t.take(pa.array(np.sort(single))).combine_chunks()  # repeated rows go
         x = unpacked(t.column("unit").combine_chunks())
         home = np.flatnonzero(t.column("home").to_numpy(zero_copy_only=False))
         if not len(home):
@@ -210,20 +218,12 @@ def similar_keys(vectors: DataFrame, cosine: float, k: int = 5, factor: float =
             q, b, exact = q[hit], b[hit], exact[hit]
             yield pa.RecordBatch.from_arrays([pa.array([grp] * len(q), pa.string()), ids.take(pa.array(q)), ids.take(pa.array(b)), pa.array(exact)], names=["grp", "p", "q", "cosine"])
 
-    routed = classes.select("grp", "unit", "id").mapInArrow(route, f"shard int, home boolean, grp string, id {kind}, unit binary")
-    found = routed.repartitionById(max(1, first), "shard").mapInArrow(search, f"grp string, p {kind}, q {kind}, cosine double")
-    links = found.union(found.select("grp", F.col("q"), F.col("p"), "cosine")).groupBy("grp", "p", "q").agg(F.max("cosine").alias("cosine"))
-    best = Window.partitionBy("grp", "p").orderBy(F.round("cosine", 9).desc(), "q")
-    links = links.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    copies = classes.join(vectors, ["grp", "unit"]).select("grp", "id", "key").where("id <> key").distinct()
-    several = copies.select("grp", "id").distinct()
-    all_of = copies.union(several.select("grp", "id", F.col("id").alias("key")))  # members of classes with copies
-    some_of = all_of.withColumn("rank", F.row_number().over(Window.partitionBy("grp", "id").orderBy("key"))).where(F.col("rank") <= k + 1).drop("rank")
-    across = links.join(all_of.select("grp", F.col("id").alias("p"), "key"), ["grp", "p"], "left").join(some_of.select("grp", F.col("id").alias("q"), F.col("key").alias("other")), ["grp", "q"], "left")
-    across = across.select("grp", F.coalesce("key", "p").alias("key"), F.coalesce("other", "q").alias("other"), "cosine")
-    within = all_of.join(some_of.withColumnRenamed("key", "other"), ["grp", "id"]).where("key <> other").select("grp", "key", "other", F.lit(1.0).alias("cosine"))
+    routed = searched.select("grp", "unit", F.col("key").alias("id")).mapInArrow(route, f"shard int, home boolean, grp string, id {kind}, unit binary")
+    found = stored(routed.repartitionById(max(1, first), "shard").mapInArrow(search, f"grp string, p {kind}, q {kind}, cosine double"))
+    links = found.union(found.select("grp", F.col("q"), F.col("p"), "cosine")).groupBy("grp", F.col("p").alias("key"), F.col("q").alias("other")).agg(F.max("cosine").alias("cosine"))
+    rest = extra.join(copies.where(F.col("rank") <= k).select("grp", "h1", "h2", F.col("key").alias("other")), ["grp", "h1", "h2"]).select("grp", "key", "other", F.lit(1.0).alias("cosine"))
     best = Window.partitionBy("grp", "key").orderBy(F.round("cosine", 9).desc(), "other")
-    return across.union(within).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+    return links.union(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
 
 
 def unpacked(units: pa.Array) -> np.ndarray:
