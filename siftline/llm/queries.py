@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import leaks, mixing, neardup, segments, similar, survivors
+from . import leaks, mixing, neardup, segments, similar, spam, survivors
 
 #: SQL of a list of words: maximal runs of letters, digits and underscores, lower-cased.
 WORDS_SQL = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
@@ -179,6 +179,18 @@ P9_SHARES_SQL = f"""{_MIX_SQL}, u as (select source, sum(tokens * copies) as use
         coalesce(used, 0) >= budget * 0.99 as reached from q left join u using (source)"""
 
 
+# 10: keyword-stuffed and link-list pages
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.stuffed_pages(table(spark, folder, "documents"), "doc_id", "text").where("stuffed").select(F.col("key").alias("doc_id"))
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of spam lines and mean bits of every page."""
+    return spam.stuffed_pages(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 
