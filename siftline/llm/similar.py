@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,7 +144,8 @@ def similar_keys(vectors: DataFrame, cosine: float, k: int = 5, factor: float =
     of two vectors finds counts for both, so that a pair is lost only if both miss it. Both factors 1: exact.
 
     Of vectors that are equal byte for byte only the k + 1 with the smallest keys are searched: they are the k most
-    similar others of the rest, and come before the rest for any other vector.
+    similar others of the rest, and come before the rest for any other vector. Batches are thinned to them before the
+    shuffle, shards after it, so that a vector that a third of all rows share fills no shard.
     """
     spark = vectors.sparkSession
     kind = vectors.schema["key"].dataType.simpleString()
@@ -153,14 +155,13 @@ def similar_keys(vectors: DataFrame, cosine: float, k: int = 5, factor: float =
     copies = marks.join(many, ["grp", "h1", "h2"], "left_semi").distinct()
     copies = stored(copies.withColumn("rank", F.row_number().over(Window.partitionBy("grp", "h1", "h2").orderBy("key"))))
     extra = copies.where(F.col("rank") > k + 1)
-    searched = vectors if extra.isEmpty() else vectors.join(extra.select("grp", "key"), ["grp", "key"], "left_anti")
     trees: dict[str, tuple[int, VantageTree | None]] = {}
     first = 0
     for grp, n in sorted(counts.items()):
         wanted = 1 if n <= 2 * leaf else max(shards, -(-n // shard_rows))
         tree = None
         if wanted > 1:
-            part = searched.where(F.col("grp") == grp)
+            part = vectors.where(F.col("grp") == grp)
             some = part.select("unit").sample(min(1.0, 1.2 * sample_rows / n), seed=11).limit(sample_rows).toPandas()["unit"]
             if len(some) > wanted:
                 tree = VantageTree(np.stack([np.frombuffer(u, np.float32) for u in some]), leaf=math.ceil(len(some) / wanted))
@@ -170,7 +171,8 @@ def similar_keys(vectors: DataFrame, cosine: float, k: int = 5, factor: float =
     slack = math.sqrt(max(0.0, 2 - 2 * cosine)) * route_factor
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole in batches:
+            batch = whole.take(pa.array(fewer_copies(whole.column(2), whole.column(1), k + 1)))
             grp = np.asarray(batch.column(0).to_pylist(), object)
             for g in dict.fromkeys(grp):
                 rows = np.flatnonzero(grp == g)
@@ -196,8 +198,7 @@ def similar_keys(vectors: DataFrame, cosine: float, k: int = 5, factor: float =
             return
         t = pa.Table.from_batches(batches).combine_chunks()  # one shard
         del batches
-        _, single = np.unique(np.asarray(t.column("id").to_pylist()), return_index=True)
-        t = t.take(pa.array(np.sort(single))).combine_chunks()  # repeated rows go
+        t = t.take(pa.array(fewer_copies(t.column("id").combine_chunks(), t.column("unit").combine_chunks(), k + 1))).combine_chunks()
         x = unpacked(t.column("unit").combine_chunks())
         home = np.flatnonzero(t.column("home").to_numpy(zero_copy_only=False))
         if not len(home):
@@ -218,7 +219,7 @@ def similar_keys(vectors: DataFrame, cosine: float, k: int = 5, factor: float =
             q, b, exact = q[hit], b[hit], exact[hit]
             yield pa.RecordBatch.from_arrays([pa.array([grp] * len(q), pa.string()), ids.take(pa.array(q)), ids.take(pa.array(b)), pa.array(exact)], names=["grp", "p", "q", "cosine"])
 
-    routed = searched.select("grp", "unit", F.col("key").alias("id")).mapInArrow(route, f"shard int, home boolean, grp string, id {kind}, unit binary")
+    routed = vectors.select("grp", "unit", F.col("key").alias("id")).mapInArrow(route, f"shard int, home boolean, grp string, id {kind}, unit binary")
     found = stored(routed.repartitionById(max(1, first), "shard").mapInArrow(search, f"grp string, p {kind}, q {kind}, cosine double"))
     links = found.union(found.select("grp", F.col("q"), F.col("p"), "cosine")).groupBy("grp", F.col("p").alias("key"), F.col("q").alias("other")).agg(F.max("cosine").alias("cosine"))
     rest = extra.join(copies.where(F.col("rank") <= k).select("grp", "h1", "h2", F.col("key").alias("other")), ["grp", "h1", "h2"]).select("grp", "key", "other", F.lit(1.0).alias("cosine"))
@@ -226,6 +227,15 @@ def similar_keys(vectors: DataFrame, cosine: float, k: int = 5, factor: float =
     return links.union(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
 
 
+def fewer_copies(ids: pa.Array, units: pa.Array, most: int) -> np.ndarray:
+    """Rows without repeats, and of equal vectors those with the ``most`` smallest keys."""
+    frame = pd.DataFrame({"id": ids.to_pylist(), "unit": [xxhash.xxh3_64_intdigest(u) for u in units.to_pylist()]})
+    if not frame["unit"].duplicated().any():
+        return np.arange(len(frame))
+    frame = frame.drop_duplicates("id").sort_values("id")
+    return np.sort(frame.index[frame.groupby("unit").cumcount() < most].to_numpy())
+
+
 def unpacked(units: pa.Array) -> np.ndarray:
     """Rows of equal length from packed unit vectors."""
     start, stop = (int.from_bytes(units.buffers()[1][4 * i : 4 * i + 4], "little") for i in (units.offset, units.offset + len(units)))
