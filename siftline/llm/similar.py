@@ -171,11 +171,12 @@ def similar_keys(vectors: DataFrame, cosine: float, k: int = 5, factor: float =
     slack = math.sqrt(max(0.0, 2 - 2 * cosine)) * route_factor
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            batch = whole.take(pa.array(fewer_copies(whole.column(2), whole.column(1), k + 1)))
+        for batch in batches:
             grp = np.asarray(batch.column(0).to_pylist(), object)
             for g in dict.fromkeys(grp):
                 rows = np.flatnonzero(grp == g)
+                some = pa.array(rows)
+                rows = rows[fewer_copies(batch.column(2).take(some), batch.column(1).take(some), k + 1)]
                 start, tree = shared.value[g]
                 if tree is None:
                     at, shard, home = rows, np.full(len(rows), start), np.ones(len(rows), bool)
