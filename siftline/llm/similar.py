@@ -111,15 +111,17 @@ def usable(vectors: DataFrame, group: str, key: str, vec: str) -> DataFrame:
     that comes with different vectors is searched with one of them in each shard."""
     v = vectors.select(F.col(group).alias("grp"), F.col(key).alias("key"), F.col(vec).cast("array<float>").alias("vec")).where("key is not null and size(vec) > 0")
     sizes = v.groupBy("grp", F.size("vec").alias("size")).count()
-    usual = sizes.groupBy("grp").agg(F.max_by("size", F.struct("count", "size")).alias("usual"))
+    usual = {r["grp"]: r["usual"] for r in sizes.groupBy("grp").agg(F.max_by("size", F.struct("count", "size")).alias("usual")).collect()}  # one row for each model
 
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            grp, key_, vec_, usual_ = batch.columns
-            for size in set(usual_.to_pylist()):
-                rows = np.flatnonzero(np.asarray(usual_) == size)
+            grp, key_, vec_ = batch.columns
+            names, sizes = np.asarray(grp.to_pylist(), object), np.asarray(vec_.value_lengths())
+            for name in dict.fromkeys(names):
+                size = usual[name]
+                rows = np.flatnonzero((names == name) & (sizes == size))
                 flat = vec_.take(pa.array(rows)).flatten()
                 x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), size)
                 length = np.sqrt((x * x).sum(axis=1))
@@ -128,9 +130,8 @@ def usable(vectors: DataFrame, group: str, key: str, vec: str) -> DataFrame:
                 kept = pa.array(rows[ok])
                 yield pa.RecordBatch.from_arrays([grp.take(kept), key_.take(kept), pa.array([r.tobytes() for r in x], pa.binary())], names=["grp", "key", "unit"])
 
-    fit = v.join(usual, "grp").where(F.size("vec") == F.col("usual")).select("grp", "key", "vec", "usual")
     kind = v.schema["key"].dataType.simpleString()
-    return fit.mapInArrow(scale, f"grp string, key {kind}, unit binary")
+    return v.mapInArrow(scale, f"grp string, key {kind}, unit binary")
 
 
 def similar_keys(vectors: DataFrame, cosine: float, k: int = 5, factor: float = 0.12, route_factor: float = 0.06, shards: int = 16, shard_rows: int = 200_000, sample_rows: int = 20_000, leaf: int = 1536) -> DataFrame:
