@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import leaks, mixing, neardup, segments, similar, spam, survivors
+from . import leaks, mixing, neardup, personal, segments, similar, spam, survivors
 
 #: SQL of a list of words: maximal runs of letters, digits and underscores, lower-cased.
 WORDS_SQL = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
@@ -72,6 +72,28 @@ P3_FOUND_SQL = """with v as (select distinct model, key, vec::double[] as vec fr
         union all select 'hash-embed-96', key, o from m where cos >= 0.8"""
 
 
+# 5: personal details
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "docs").select(F.lit("docs").alias("tbl"), F.col("doc_no").cast("bigint").alias("rec_no"), "markdown")
+    return docs.union(table(spark, folder, "raw_docs").select(F.lit("raw_docs"), F.col("raw_no").cast("bigint"), "markdown"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.found_lines(_texts(spark, folder), ["tbl", "rec_no"], "markdown").withColumnRenamed("line", "line_no")
+
+
+def p5_placeholders(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts with typed placeholders."""
+    return personal.masked(_texts(spark, folder), ["tbl", "rec_no"], "markdown")
+
+
+def p5_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts with keyed surrogates; the key here is a public example."""
+    return personal.masked(_texts(spark, folder), ["tbl", "rec_no"], "markdown", surrogate_key=b"example")
+
+
 # 6: best representative of each group
 
 
