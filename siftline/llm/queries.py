@@ -9,12 +9,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import leaks, mixing, neardup, personal, segments, similar, spam, survivors
+from . import canonical, leaks, mixing, neardup, personal, segments, similar, spam, survivors
 
 #: SQL of a list of words: maximal runs of letters, digits and underscores, lower-cased.
 WORDS_SQL = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
 
 
+# 1: free values to canonical entries
+
+
+def _named(spark: SparkSession, folder: str) -> DataFrame:
+    terms = table(spark, folder, "terms").select("term_id", "kind", "canonical", "aliases")
+    titles = table(spark, folder, "profile").select("doc_no", F.col("current_title").alias("value"))
+    names = table(spark, folder, "doc_terms").where("term_id is null").select("doc_no", F.col("evidence").alias("value"))
+    out = None
+    for field, rows, kinds, wording in (("current_title", titles, ["title"], canonical.TITLES), ("evidence", names, ["skill", "topic"], canonical.SKILLS)):
+        rows = rows.where("value is not null and doc_no is not null").distinct()
+        listed = terms.where(F.col("kind").isin(kinds))
+        found = canonical.canonical(rows, "value", listed, "term_id", "canonical", "aliases", wording)
+        told = found.join(listed.select(F.col("term_id").cast("bigint").alias("term"), "canonical"), "term", "left").where("canonical is null or canonical <> value")
+        part = rows.join(told.select("value", "term", "edits"), "value").select(F.lit(field).alias("field"), F.col("doc_no").cast("bigint").alias("doc_no"), "value", F.coalesce("term", F.lit(-1)).cast("bigint").alias("term_id"), "edits")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _named(spark, folder).select("field", "doc_no", "value", "term_id")
+
+
+def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that mean no entry, with the number of records that have them."""
+    return _named(spark, folder).where("term_id = -1").groupBy("field", "value").agg(F.count("*").alias("records"))
+
+
 # 2: near-duplicate records
 
 
