@@ -54,8 +54,11 @@ def _key(value: Column) -> Column:
 
 def _bare(value: Column, before: tuple[str, ...], after: tuple[str, ...]) -> Column:
     """Without any of the patterns in front and behind, in any number and order; never empty."""
-    out = F.regexp_replace(value, f"(?<=.)(?:{'|'.join(after)})+$", "") if after else value
-    return F.trim(F.regexp_replace(out, f"^(?:{'|'.join(before)})+(?=.)", "")) if before else F.trim(out)
+    out = value
+    for front, patterns in ((True, before), (False, after), (True, before)):
+        if patterns:
+            out = F.regexp_replace(out, f"^(?:{'|'.join(patterns)})+(?=.)" if front else f"(?<=.)(?:{'|'.join(patterns)})+$", "")
+    return F.trim(out)
 
 
 def read(typed: DataFrame, wording: Wording) -> DataFrame:
@@ -115,16 +118,23 @@ def _allowed(length: Column) -> Column:
 
 
 def _cost(apart: Column, a: Column, b: Column) -> Column:
-    """Slips of typing: edits, where two swapped letters are one; null beyond what the length of the form allows. Swaps
-    show in that the sorted letters are closer to each other than the words."""
+    """Slips of typing: edits, where two swapped letters are one; null beyond what the length of the form allows. Undoing
+    one swap must take off two edits; sorted letters tell cheaply where that is possible."""
     letters = F.levenshtein(F.array_join(F.array_sort(F.split(a, "")), ""), F.array_join(F.array_sort(F.split(b, "")), ""))
     n = F.length(b)
+
+    def swapped(i: Column) -> Column:
+        return F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a)))
+
+    def once(most: int) -> Column:
+        return F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(a) - 1)), lambda i: F.levenshtein(swapped(i), b) <= most)
+
     slips = (
         F.when(apart <= 1, apart)
         .when((apart == 2) & (n >= 5) & (letters == 0), 1)
         .when(apart == 2, 2)
-        .when((apart == 3) & (letters <= 2) & (letters > 0), 2)
-        .when((apart == 4) & (letters == 0), 2)
+        .when((apart == 3) & (letters <= 2) & (n >= 9), F.when(once(1), 2))
+        .when((apart == 4) & (letters == 0) & (n >= 9), F.when(once(2), 2))
     )
     return F.when(slips <= _allowed(n), slips)
 
@@ -142,17 +152,13 @@ def probes(keys: DataFrame) -> DataFrame:
     i-th segment lies at most i places from its own place, and at most EDITS - i places from there plus d (i counted
     from 0 in either direction)."""
     k = EDITS
-    n = F.length("key")
-    spans = []
-    for d in range(-k, k + 1):  # key minus form
-        size = n - d
-        for i in range(k + 1):
-            p = F.floor(size * i / (k + 1)).cast("int")
-            length = (F.floor(size * (i + 1) / (k + 1)) - F.floor(size * i / (k + 1))).cast("int")
-            for shift in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1):
-                spans.append(F.struct(size.alias("n"), F.lit(i).alias("i"), (p + shift).alias("p"), length.alias("l")))
-    fits = keys.select("*", F.explode(F.array(*spans)).alias("s")).where((F.col("s.n") >= 4) & (F.col("s.p") >= 0) & (F.col("s.l") > 0) & (F.col("s.p") + F.col("s.l") <= n))
-    return fits.select(*keys.columns, F.concat_ws(":", "s.n", "s.i", F.substring(F.col("key"), F.col("s.p") + 1, F.col("s.l"))).alias("probe")).distinct()
+    places = [F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for d in range(-k, k + 1) for i in range(k + 1) for shift in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1)]
+    step = keys.where(F.length("key") >= 3).select("*", F.explode(F.array(*places)).alias("s"))
+    step = step.select(*keys.columns, "s.i", "s.shift", (F.length("key") - F.col("s.d")).alias("n")).where("n >= 4")
+    begin = lambda i: F.floor(F.col("n") * i / (k + 1)).cast("int")
+    step = step.select(*keys.columns, "i", "n", (begin(F.col("i")) + F.col("shift")).alias("p"), (begin(F.col("i") + 1) - begin(F.col("i"))).alias("l"))
+    step = step.where((F.col("p") >= 0) & (F.col("l") > 0) & (F.col("p") + F.col("l") <= F.length("key")))
+    return step.select(*keys.columns, F.concat_ws(":", "n", "i", F.substring(F.col("key"), F.col("p") + 1, F.col("l"))).alias("probe")).distinct()
 
 
 def canonical(values: DataFrame, value: str, reference: DataFrame, ident: str, name: str, aliases: str, wording: Wording) -> DataFrame:
