@@ -13,7 +13,8 @@ from pyspark.sql.types import StringType
 ZERO_WIDTH = "[\\x{200B}\\x{200C}\\x{200D}\\x{2060}\\x{FEFF}\\x{00AD}]"
 #: UTF-8 read as a Western code page: a lead byte and one or two others.
 BROKEN = re.compile("[ÂÃâ][\u0080-\u00bf€™œžšŸ†‡•–—˜›‹“”‘’„‚…‰Š]{1,2}")
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+#: Runs start at their first character and are not given back, so a long run without a sign is read once.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 URL = r"(?i)(https?://[^\s)>\]]+|www\.[^\s)>\]]+)"
 PHONE_RUN = r"\+?[0-9(][0-9 ()./-]{7,}[0-9]"
 TOKEN = r"[a-z0-9][a-z0-9+#./&'-]*[a-z0-9+#]|[a-z0-9]"

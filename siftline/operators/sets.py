@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import stored
+
 
 def combined(members: DataFrame, need: int, group: str = "term_id", item: str = "doc_no") -> DataFrame:
     """(item, coverage): items in at least ``need`` of the sets; 1 is their union, the number of sets their intersection.
@@ -33,6 +35,7 @@ def ranked(df: DataFrame, order: list[Column], *keep: str, name: str = "pos") ->
     """Positions from 1 over the whole set, without a single-partition window: rows are range-partitioned, numbered in
     their partition, and shifted by the counts of the partitions before."""
     laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
+    laid = stored(laid)  # range bounds come from a sample: both uses below must see the same partitions
     laid = laid.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy("__id")))
     sizes = laid.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
