@@ -29,7 +29,8 @@ def units(text: str, most: int) -> list[tuple[int, int]]:
     at = 0
     for line in text.splitlines(keepends=True):
         kind = 0 if HEADING.match(line) else 1 if ENTRY.match(line) else 2
-        out.append((at, kind))
+        if line.strip() or not out:  # empty lines stay with what is before them
+            out.append((at, kind))
         if len(line) > most // 4:
             cuts = [at + m.end() for m in SENTENCE.finditer(line) if m.end() < len(line)]
             out.extend((c, 3) for c in cuts)

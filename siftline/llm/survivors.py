@@ -20,11 +20,16 @@ from ..runtime import stored
 PATTERN_LIMIT = 1_000_000
 
 
-def source_quality(patterns: list[tuple[tuple[str, ...], tuple[str, ...], int]], rounds: int = 25) -> tuple[dict[str, tuple[float, float]], list[float]]:
+def source_quality(patterns: list[tuple[tuple[str, ...], tuple[str, ...], int]], rounds: int = 60) -> tuple[dict[str, tuple[float, float]], list[float]]:
     """({source: (sensitivity, specificity)}, posterior of each pattern) from (stating sources, silent sources, facts)."""
     sources = sorted({s for a, b, _ in patterns for s in (*a, *b)})
     post = [(len(a) + 0.5) / (len(a) + len(b) + 1) for a, b, _ in patterns]
+    covers: dict[tuple[str, ...], float] = {}  # facts by the sources that could have stated them
+    for a, b, n in patterns:
+        cover = tuple(sorted((*a, *b)))
+        covers[cover] = covers.get(cover, 0.0) + n
     quality = {s: (0.7, 0.9) for s in sources}
+    prior = 0.5
     for _ in range(rounds):
         # pseudo-counts: a source is held to state most true values and few false ones until its claims say otherwise
         count = {s: [7.0, 3.0, 1.0, 9.0] for s in sources}
@@ -37,6 +42,17 @@ def source_quality(patterns: list[tuple[tuple[str, ...], tuple[str, ...], int]],
             for s in b:
                 count[s][1] += n * p
                 count[s][3] += n * (1 - p)
+        # a fact that no source states is never seen: such facts are added in the expected number
+        for cover, n in covers.items():
+            silent_true = prior * math.prod(1 - quality[s][0] for s in cover)
+            silent_false = (1 - prior) * math.prod(quality[s][1] for s in cover)
+            unseen = min(0.75, silent_true + silent_false)
+            extra = n * unseen / (1 - unseen)
+            p = silent_true / (silent_true + silent_false)
+            true, total = true + extra * p, total + extra
+            for s in cover:
+                count[s][1] += extra * p
+                count[s][3] += extra * (1 - p)
         quality = {s: (t1 / (t1 + t0), f0 / (f1 + f0)) for s, (t1, t0, f1, f0) in count.items()}
         prior = min(0.95, max(0.05, true / total))
         base = math.log(prior / (1 - prior))
