@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("preparation", "corpus", "index", "search", "sessions")
+MODULES = ("preparation", "corpus", "index", "search", "sessions", "extras")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
