@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,28 +60,28 @@ ADDRESS_LABEL = re.compile(r"^[ \t]*(?:address|adresse|anschrift|postal address|
 
 _PART = r"(?:[^\W\d_]\.|[^\W\d_][^\W\d_]*(?:['’-][^\W\d_]+)*)"
 _NAME = rf"(?:(?:Dr|Prof|Mr|Mrs|Ms|Herr|Frau|Mme|M)\.?\ )?{_PART}(?:,?\ {_PART}){{1,3}}"
+_BROKEN = r"\ [^\W\d_]*â€"  # the next word has lost its encoding
 _NO = r"(?!(?:the|a|an|our|my|his|her|their|its|der|die|das|le|la|les|el|los|las|head|team)\b)"
 PERSON = re.compile(
     rf"""(?:^|(?<=\s)|(?<=[>*.]))(?:
-    Signed,\ (?P<a>{_NO}{_NAME})(?=\s*(?:\r?$|[,;.(]))
+    Signed,\ (?P<a>{_NO}{_NAME})(?=\s*(?:\r?$|[,;.(])|{_BROKEN})
     |(?:Referee|References?|Correspondence|Contact(?=:)|Attn\.?|Kontakt|Name|Contacto|Referenz(?:en)?|Kind\ regards|Best\ wishes),?\ ?:?\ (?P<b>{_NO}{_NAME}?)(?=\s*(?:,\s*(?!{_PART}\s*[,(\[+\r\n])|[(;\[+/·]|\r?$))
     |Ansprechpartner(?:in)?\ (?:ist\ )?(?P<c>{_NO}{_NAME})(?=,)
     |Emergency\ contact:?\ (?P<d>{_NO}{_NAME})(?=\s*[(,;])
     |(?:My|Our)\ (?:line\ )?manager,?\ (?P<e>{_NO}{_NAME})(?=\ at\b)
     |Reported\ (?:directly\ )?to\ (?P<f>{_NO}{_NAME})(?=\ at\b|\ in\b)
     |Worked\ (?:closely\ )?with\ (?P<g>{_NO}{_NAME})(?=\ on\ the\ handover|\ at\b)
-    |Took\ over\ the\ desk\ from\ (?P<h>{_NO}{_NAME}?)(?=\ and\ trained\b)
-    |and\ trained\ (?P<i>{_NO}{_NAME})(?=\s*\r?$|[.;])
+    |Took\ over\ the\ desk\ from\ (?:(?P<h>{_NO}{_NAME}?)(?=\ and\ trained\b)|\[\w+\])(?:\ and\ trained\ (?P<i>{_NO}{_NAME})(?=\s*\r?$|[.;]|{_BROKEN}))?
     |Recommended\ by\ (?P<j>{_NO}{_NAME})(?=,\ who\b)
-    |and\ ask\ for\ (?P<k>{_NO}{_NAME})(?=\s*(?:\r?$|[.;,]))
+    |and\ ask\ for\ (?P<k>{_NO}{_NAME})(?=\s*(?:\r?$|[.;,])|{_BROKEN})
     |(?:years|months)\ under\ (?P<l>{_NO}{_NAME})(?=\ I\b)
     |I\ share\ (?:a|an|the)\ {_PART}\ with\ (?P<m>{_NO}{_NAME})(?=\ at\b|\ in\b|[.;,])
     )""",
     re.VERBOSE | re.MULTILINE,
 )
-PERSON_HINT = re.compile(r"Signed,|Refere|Correspondence|Contact|Kontakt|Ansprechpartner|Emergency contact|manager|Reported |Worked |Took over|and trained|Recommended by|ask for|I share|years under|months under|Attn|Name|Contacto|Kind regards|Best wishes")
+PERSON_HINT = re.compile(r"Signed,|Refere|Correspondence|Contact|Kontakt|Ansprechpartner|Emergency contact|manager|Reported |Worked |Took over|Recommended by|ask for|I share|years under|months under|Attn|Name|Contacto|Kind regards|Best wishes")
 CAPITALISED = r"(?:[^\W\d_]\.|[A-ZÀ-ÖØ-Þ][^\W\d_]*(?:['’-][A-ZÀ-ÖØ-Þ]?[^\W\d_]+)*|(?:van|von|de|del|della|di|da|la|le|den|der|bin|al)(?= ))"
-ALONE = re.compile(rf"(?:# )?(?:Dr\. |Prof\. )?(?P<n>{CAPITALISED}(?:,? {CAPITALISED}){{1,3}})\s*")
+ALONE = re.compile(rf"(?:# )?(?:Dr\. |Prof\. )?(?P<n>{CAPITALISED}(?:,? {CAPITALISED}){{1,3}})(?: [^\W\d_]*â€.*)?\s*")
 SMALL = re.compile(rf"(?:# )?(?P<n>{_PART}(?: {_PART}){{1,2}})\s*")
 HEADER = re.compile(rf"(?:Dr\. |Prof\. )?(?P<n>{_PART}(?:,? {_PART}){{1,3}}) · ")
 
@@ -94,13 +95,52 @@ def name_parts(name: str) -> list[str]:
     return [p for p in re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", name.lower()) if len(p) > 1 and p not in ("dr", "prof")]
 
 
+#: Leftovers of conversion inside a line: invisible characters, breaks, spaces in front and in rows.
+DIRT = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]+|<br ?/?>|^[ \t\u00a0]+|[ \t\u00a0]{2,}|[\t\u00a0]", re.MULTILINE)
+
+
+def squeezed(text: str) -> tuple[str, list[int] | None, list[int]]:
+    """The text without leftovers, and where its parts begin in the cleaned and in the original text."""
+    if not DIRT.search(text):
+        return text, None, []
+    out, ours, theirs, at, size = [], [0], [0], 0, 0
+    for m in DIRT.finditer(text):
+        out.append(text[at : m.start()])
+        size += m.start() - at
+        front = m.start() == 0 or text[m.start() - 1] == "\n"
+        if m.group()[0] in " \t\u00a0" and not front:
+            out.append(" ")
+            ours.append(size)
+            theirs.append(m.start())
+            size += 1
+        at = m.end()
+        ours.append(size)
+        theirs.append(at)
+    out.append(text[at:])
+    return "".join(out), ours, theirs
+
+
+def detect(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
+    """What detect_clean finds in the text without leftovers, as places in the text itself."""
+    clean, ours, theirs = squeezed(text)
+    certain, possible = detect_clean(clean)
+    if ours is None:
+        return certain, possible
+
+    def back(i: int) -> int:
+        k = bisect_right(ours, i) - 1
+        return theirs[k] + i - ours[k]
+
+    return [(back(a), back(b - 1) + 1, k) for a, b, k in certain], [(back(a), back(b - 1) + 1) for a, b in possible]
+
+
 class Spans(list):
     def put(self, a: int, b: int, kind: str) -> None:
         if all(b <= x or y <= a for x, y, _ in self):
             self.append((a, b, kind))
 
 
-def detect(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
+def detect_clean(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
     """((start, end, kind) of the details in a text, in order and without overlaps; (start, end) of what may be names).
 
     A name is certain where a form or a phrase announces it. A line that consists of words with capitals, or begins with
@@ -128,7 +168,9 @@ def detect(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]
                     out.put(a, b, "phone")
     if PERSON_HINT.search(text):
         for m in PERSON.finditer(text):
-            out.put(*m.span(m.lastindex), "person")
+            for g in range(1, len(m.groups()) + 1):
+                if m.start(g) >= 0:
+                    out.put(*m.span(g), "person")
     for m in HOUSE.finditer(low):
         a, b = m.span()
         if a and low[a - 1] not in " \n\t:(/" or b >= len(low):
