@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import extract, intervals
+from ..operators import components, extract, intervals
 from ..runtime import table
 
 QUERIES: dict = {}
@@ -220,3 +220,32 @@ def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
     return w.select("doc_no", F.size(grams).cast("bigint").alias("shingles"))
 
 
+
+
+@query("""with recursive g as (select doc_no as n, lag(doc_no) over (partition by dup_group order by doc_no) as p from docs where dup_group is not null), h as (select doc_no as n, min(doc_no) over (partition by hash) as p from docs where hash is not null),
+    e as (select distinct n as a, p as b from g where p is not null union select n, p from h where p <> n), e2 as (select a, b from e union select b, a from e), r as (select a as node, a as root from e2 union select e2.b, r.root from r join e2 on e2.a = r.node)
+    select node, min(root)::int as root from r group by 1""")
+def dup_components(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of documents linked by an old group or by equal content, each named by its smallest number. A group or a
+    content links its members to its smallest one, so it makes as many links as it has members."""
+    docs = table(spark, d, "docs")
+    parts = []
+    for key in ("dup_group", "hash"):
+        rows = docs.where(F.col(key).isNotNull()).select("doc_no", key)
+        parts.append(rows.join(rows.groupBy(key).agg(F.min("doc_no").alias("b")), key).select(F.col("doc_no").alias("a"), "b"))
+    return components.union_find(parts[0].union(parts[1]))
+
+
+@query(r"""with f as (select dup_group, min(doc_no) as first_no from docs where dup_group is not null group by 1), p as (select first_no, doc_no from docs join f using (dup_group) where doc_no <> first_no),
+    s as (select doc_no, list_distinct(list_transform(range(1, greatest(len(ws) - 1, 1)), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) as g from (select doc_no, regexp_extract_all(lower(markdown), '[a-z0-9]+') as ws from docs))
+    select p.first_no, p.doc_no, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g)))::double, 6) as jaccard from p join s a on a.doc_no = p.first_no join s b on b.doc_no = p.doc_no where len(a.g) + len(b.g) > 0""")
+def version_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Jaccard similarity of each version to the first of its group, on runs of three words."""
+    docs = table(spark, d, "docs")
+    grouped = docs.where("dup_group is not null").select("doc_no", "dup_group")
+    pairs = grouped.join(grouped.groupBy("dup_group").agg(F.min("doc_no").alias("first_no")), "dup_group").where("doc_no <> first_no").select("first_no", "doc_no")
+    ws = docs.join(grouped.select("doc_no"), "doc_no", "left_semi").select("doc_no", T.words(F.col("markdown")).alias("ws")).where("size(ws) >= 3")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ws") - 2), lambda i: F.xxhash64(F.array_join(F.slice("ws", i, F.lit(3)), " "))))
+    s = ws.select("doc_no", grams.alias("g"))
+    both = pairs.join(s, "doc_no").withColumnRenamed("g", "y").join(s.select(F.col("doc_no").alias("first_no"), F.col("g").alias("x")), "first_no")
+    return both.select("first_no", "doc_no", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("jaccard"))
