@@ -64,12 +64,6 @@ def test_near_duplicate_groups(spark):
     assert neardup.near_duplicate_groups(spark.createDataFrame([], "id int, t string"), "id", "t").count() == 0
 
 
-def test_union_find(spark):
-    edges = [(i, i + 1) for i in range(60)] + [(200, 100), (300, 200), (5, 5)]
-    got = {r["node"]: r["root"] for r in neardup.union_find(spark.createDataFrame(edges, "a int, b int")).collect()}
-    assert all(got[i] == 0 for i in range(61)) and {got[i] for i in (100, 200, 300)} == {100}
-
-
 def test_superminhash_estimates_jaccard():
     g = np.random.default_rng(0)
     errors = []
