@@ -72,25 +72,32 @@ def encoded(text: str) -> bytes:
 
 
 class Page:
-    """The lines of an encoded page with what the model needs of them."""
-
-    __slots__ = ("codes", "lengths")
-
-    def __init__(self, codes: bytes, lengths: np.ndarray):
-        self.codes = [np.frombuffer(c, np.uint8) for c in codes.split(bytes([NEWLINE]))]
-        self.lengths = lengths
-
-
-def prose_line(codes: np.ndarray) -> bool:
-    """A line that is certainly prose: ten tokens or more, a sentence end, a fair share of function words, few marks of
-    lists. Only such lines train the model."""
-    n = len(codes)
-    return n >= 10 and CODE["end"] in codes[-2:] and FUNCTION[codes].sum() >= 0.12 * n and LISTED[codes].sum() <= 0.15 * n
-
-
-def trigrams(codes: np.ndarray) -> np.ndarray:
-    x = np.concatenate([[CODE["^"], CODE["^"]], codes, [CODE["$"]]]).astype(np.int64)
-    return (x[:-2] << 16) | (x[1:-1] << 8) | x[2:]
+    """An encoded page as one array, each line between two begin marks and an end mark, so that all lines are counted at
+    once: ``at`` has the starts of lines, ``size`` their tokens."""
+
+    __slots__ = ("at", "grams", "of", "size", "x")
+
+    def __init__(self, codes: bytes):
+        lines = codes.split(bytes([NEWLINE]))
+        self.x = np.frombuffer(b"".join(b"\x00\x00" + c + b"\x01" for c in lines), np.uint8)
+        self.size = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.at = np.concatenate([[0], np.cumsum(self.size + 3)[:-1]])
+        wide = self.x.astype(np.int64)
+        grams = (wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:]
+        inner = self.x[2:] != 0  # a window that ends in a begin mark belongs to no line
+        self.grams = grams[inner]
+        self.of = np.repeat(np.arange(len(lines)), self.size + 1)
+
+    def counted(self, kinds: np.ndarray) -> np.ndarray:
+        """Tokens of the kinds in each line."""
+        return np.add.reduceat(kinds[self.x].astype(np.int64), self.at)
+
+    def prose(self) -> np.ndarray:
+        """Lines that are certainly prose: ten tokens or more, a sentence end, a fair share of function words, few marks of
+        lists. Only such lines train the model."""
+        last = self.at + 1 + self.size
+        ends = (self.x[last] == CODE["end"]) | (self.x[np.maximum(last - 1, 0)] == CODE["end"])
+        return (self.size >= 10) & ends & (self.counted(FUNCTION) >= 0.12 * self.size) & (self.counted(LISTED) <= 0.15 * self.size)
 
 
 class ProseModel:
@@ -108,6 +115,8 @@ class ProseModel:
                 self.total[order][g >> 8] += n
                 self.kinds[order][g >> 8] += 1
         self.known: dict[int, float] = {}
+        self.seen = np.array(sorted(counts), np.int64)
+        self.seen_bits = np.array([self.surprise(g) for g in self.seen.tolist()])
         rows = sum(counts.values())
         #: bits of a class in the prose it was trained on
         self.usual = sum(self.surprise(g) * n for g, n in counts.items()) / rows if rows else 0.0
@@ -125,10 +134,15 @@ class ProseModel:
             found = self.known[gram] = -math.log2(p)
         return found
 
-    def bits(self, codes: np.ndarray) -> float:
-        """Mean bits of a line: the logarithm of its perplexity."""
-        grams = trigrams(codes).tolist()
-        return sum(map(self.surprise, grams)) / len(grams)
+    def bits(self, page: Page) -> np.ndarray:
+        """Mean bits of each line: the logarithm of its perplexity."""
+        if not len(self.seen):
+            return np.array([sum(map(self.surprise, page.grams[page.of == i].tolist())) / (n + 1) for i, n in enumerate(page.size)])
+        at = np.minimum(np.searchsorted(self.seen, page.grams), len(self.seen) - 1)
+        each = self.seen_bits[at]
+        new = np.flatnonzero(self.seen[at] != page.grams)
+        each[new] = [self.surprise(g) for g in page.grams[new].tolist()]
+        return np.bincount(page.of, each, len(page.size)) / (page.size + 1)
 
 
 STRUCTURE = re.compile(r"\s*(?:#{1,6}\s|\*[^*\n]+\*\s*$)")
@@ -157,7 +171,8 @@ def trained(pages: DataFrame) -> ProseModel:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in batches:
-            found = [trigrams(c) for b in batch.column(0).to_pylist() for c in Page(b, None).codes if prose_line(c)]
+            pages_ = map(Page, batch.column(0).to_pylist())
+            found = [p.grams[p.prose()[p.of]] for p in pages_]
             if found:
                 grams, n = np.unique(np.concatenate(found), return_counts=True)
                 total.update(dict(zip(grams.tolist(), n.tolist(), strict=True)))
@@ -185,19 +200,13 @@ def stuffed_pages(docs: DataFrame, key: str, text: str, share: float = 0.5, high
         for batch in batches:
             shares, mean = [], []
             for codes, lengths in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                spam = every = 0
-                bits = 0.0
-                for line, n in zip(Page(codes, lengths).codes, lengths, strict=True):
-                    every += abs(n)
-                    if not len(line):
-                        continue
-                    b = m.bits(line)
-                    bits += abs(n) * b
-                    odd = b > m.usual + high or b < m.usual - low
-                    if odd and n > 0 and (FUNCTION[line].sum() < function * len(line) or REPEAT[line].sum() > repeats * len(line)):
-                        spam += n
-                shares.append(spam / every if every else 0.0)
-                mean.append(bits / every if every else 0.0)
+                p, size = Page(codes), np.abs(lengths)
+                b = m.bits(p)
+                odd = ((b > m.usual + high) | (b < m.usual - low)) & (p.size > 0) & (np.asarray(lengths) > 0)
+                odd &= (p.counted(FUNCTION) < function * p.size) | (p.counted(REPEAT) > repeats * p.size)
+                every = int(size.sum())
+                shares.append(int(size[odd].sum()) / every if every else 0.0)
+                mean.append(float((size * b)[p.size > 0].sum()) / every if every else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.float64()), pa.array(mean, pa.float64())], names=["key", "share", "bits"])
 
     found = pages.mapInArrow(run, f"key {kind}, share double, bits double")
