@@ -115,7 +115,7 @@ def card_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select 'docs' as name, count(*) as n from docs union all select 'live', count(*) from docs where not coalesce(deleted, false) union all select 'profile', count(*) from (select distinct * from profile)
-    union all select 'terms', count(*) from terms union all select 'doc_terms', count(*) from (select distinct * from doc_terms) union all select 'chunks', sum(len(chunks)) from build_docs
+    union all select 'terms', count(*) from terms union all select 'doc_terms', count(*) from (select distinct * from doc_terms) union all select 'chunks', sum(len(chunks))::bigint from build_docs
     union all select 'with_terms', count(distinct doc_no) from doc_terms union all select 'oversized', count(*) from (select unnest(chunks) as c from build_docs) where length(c.text) // 4 > 350""")
 def index_stats(spark: SparkSession, d: str) -> DataFrame:
     t = lambda n: table(spark, d, n)

@@ -6,6 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,27 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Sends this package to the Python workers once for each application, so that they need no path of the driver's."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="siftline-code-")  # code that Spark itself copies to the executors, no data
+    archive = os.path.join(folder, "siftline.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for at, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows written once to the shared folder as parquet and read back.
 
@@ -54,10 +76,12 @@ def stored(df: DataFrame) -> DataFrame:
     memory. Used where a result is read more than once or where an iteration would otherwise grow its lineage.
     """
     spark = df.sparkSession
+    shipped(spark)
     path = os.path.join(shared_folder(spark), f"siftline-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    shipped(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
