@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import stored
+
 #: Edits that candidates may differ by: two swaps of neighbours are four.
 EDITS = 4
 
@@ -169,20 +171,21 @@ def canonical(values: DataFrame, value: str, reference: DataFrame, ident: str, n
     a shortened last word, that over one within one slip of typing (names of four characters or more; a changed, added,
     lost letter or two swapped ones) or two (nine or more); then
     the earlier reading, then the smaller term. Typed values are reduced to distinct ones before they meet the list, so
-    a value that a third of all rows share is looked up once. Null values have no row; values without letters or digits
+    a value that a third of all rows share is looked up once; intermediate
+    results are small and stored, which keeps the plan short. Null values have no row; values without letters or digits
     mean none; a list that is null or empty matches nothing; clashing column names don't matter.
     """
-    typed = values.select(F.col(value).cast("string").alias("value")).where("value is not null").distinct()
-    ways = read(typed, wording)
-    known = forms(reference, ident, name, aliases)
+    typed = stored(values.select(F.col(value).cast("string").alias("value")).where("value is not null").distinct())
+    ways = stored(read(typed, wording))
+    known = stored(forms(reference, ident, name, aliases))
     cut = short_forms(reference, ident, name, aliases).join(known, "key", "left_anti")
     listed = known.select("key", "term", F.lit(0).alias("rank")).union(cut.select("key", "term", F.lit(1)))
-    exact = ways.join(listed, "key").groupBy("value").agg(F.min(F.struct("rank", "order", "term")).alias("m")).select("value", F.col("m.term").alias("term"), F.lit(0).alias("edits"))
+    exact = stored(ways.join(listed, "key").groupBy("value").agg(F.min(F.struct("rank", "order", "term")).alias("m")).select("value", F.col("m.term").alias("term"), F.lit(0).alias("edits")))
     rest = ways.join(exact.select("value"), "value", "left_anti")
     met = probes(rest.groupBy("value", "key").agg(F.min("order").alias("order"))).join(segments(known), "probe").select("value", "order", "key", "term", "form").distinct()
     near = met.select("*", F.levenshtein("key", "form", EDITS).alias("apart")).where("apart >= 0").select("*", _cost(F.col("apart"), F.col("key"), F.col("form")).alias("edits")).where("edits is not null")
     fuzzy = near.groupBy("value").agg(F.min(F.struct("edits", "order", "term")).alias("m")).select("value", "m.term", "m.edits")
-    found = exact.union(fuzzy)
+    found = stored(exact.union(fuzzy))
     none = typed.join(found.select("value"), "value", "left_anti").select("value", F.lit(None).cast("bigint").alias("term"), F.lit(None).cast("int").alias("edits"))
     return found.union(none)
 
