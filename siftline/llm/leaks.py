@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,8 @@ BROADCAST_WINDOWS = 2_000_000
 
 class Template:
     """Replaces numbers, units and names by typed placeholders, word by word, whatever the context, so that equal words
-    always have equal templates. Names are the words that the held-out items write with a capital inside a sentence."""
+    always have equal templates. Names are the words that the held-out items write with a capital inside a sentence; a
+    document fills their slots with these or with any word that it writes with a capital itself."""
 
     def __init__(self, names: Iterable[str]):
         self.names = frozenset(names)
@@ -44,10 +46,10 @@ class Template:
 
 
 class Hashed:
-    """Raw and template hashes of the words of a text; each word is classified and hashed once."""
+    """Template hashes of the words of a text; each word is classified and hashed once."""
 
     def __init__(self, template: Template):
-        self.raw, shape = W.Vocabulary(), W.Vocabulary()
+        shape = W.Vocabulary()
 
         class Shapes(dict):
             def __missing__(self, word: str) -> int:
@@ -58,19 +60,105 @@ class Hashed:
 
         self.shape = Shapes()
 
-    def __call__(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return W.hashes(tokens, self.raw), np.fromiter(map(self.shape.__getitem__, tokens), np.uint64, len(tokens))
+    def __call__(self, tokens: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.shape.__getitem__, tokens), np.uint64, len(tokens))
 
 
-def item_windows(rows: list[tuple], width: int, template: Template) -> list[tuple]:
-    """(item, position, template hash, raw hash, raw words of the window)"""
-    hashed, out = Hashed(template), []
-    for item, text in rows:
-        tokens = W.words(text or "")
-        raw, shape = hashed(tokens)
-        for p, (t, r) in enumerate(zip(W.windows(shape, width).tolist(), W.windows(raw, width).tolist(), strict=True)):
-            out.append((item, p, t, r, tokens[p : p + width]))
-    return out
+class Seeds:
+    """Windows of the held-out items, found by the longest run of words between their name slots.
+
+    A name slot takes any name, also one that no item holds, so a window can't be looked up by a hash of all its words.
+    Its seed is the longest run without a name slot, or the whole window if it is nothing but names; what meets a seed is
+    compared word by word outside the name slots."""
+
+    #: Pairs compared at once.
+    PAIRS = 200_000
+
+    def __init__(self, rows: list[tuple], width: int, template: Template):
+        self.width, self.template = width, template
+        self.name = np.uint64(xxhash.xxh3_64_intdigest("\x00name"))
+        hashed = Hashed(template)
+        self.items: list[int] = []  # of each window
+        self.words: list[str] = []
+        shapes, starts, seeds = [], [], {}
+        for item, text in rows:
+            tokens = W.words(text or "")
+            shape = hashed(tokens)
+            for p in range(len(tokens) - width + 1):
+                at, n = self._longest(shape[p : p + width] == self.name)
+                seeds.setdefault(n, []).append((len(starts), at))
+                starts.append(len(self.words) + p)
+                self.items.append(item)
+            self.words += tokens
+            shapes.append(shape)
+        self.shape = np.concatenate(shapes) if shapes else np.empty(0, np.uint64)
+        self.starts = np.array(starts, np.int64)
+        self.known = {}
+        for n, found in seeds.items():
+            window, at = np.array(found, np.int64).T
+            h = W.windows(self.shape, n)[self.starts[window] + at]
+            order = np.argsort(h, kind="stable")
+            self.known[n] = (h[order], window[order], at[order], self._bits(h))
+
+    @staticmethod
+    def _longest(names: np.ndarray) -> tuple[int, int]:
+        edges = np.flatnonzero(np.concatenate(([True], names, [True])))
+        runs = np.diff(edges) - 1
+        best = int(runs.argmax())
+        return (int(edges[best]), int(runs[best])) if runs[best] else (0, len(names))
+
+    @staticmethod
+    def _bits(h: np.ndarray) -> np.ndarray:
+        bits = np.zeros(1 << 16, bool)
+        bits[(h >> np.uint64(48)).astype(np.int64)] = True
+        return bits
+
+    def pairs(self, shape: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, place) that agree outside the name slots; ``shape`` holds texts that end at ``ends``."""
+        for n, (want, window, at, bits) in self.known.items():
+            h = W.windows(shape, n)
+            place = np.flatnonzero(bits[(h >> np.uint64(48)).astype(np.int64)])
+            low = np.searchsorted(want, h[place])
+            hit = want[np.minimum(low, len(want) - 1)] == h[place]
+            place, low = place[hit], low[hit]
+            many = np.searchsorted(want, h[place], "right") - low
+            upto = np.cumsum(many)
+            done = 0
+            while done < len(place):  # as many places as give PAIRS pairs, one at least
+                last = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + self.PAIRS, "right")))
+                k = many[done:last]
+                j = np.repeat(low[done:last] - np.cumsum(k) + k, k) + np.arange(k.sum())
+                yield self._agreeing(shape, ends, window[j], np.repeat(place[done:last], k) - at[j])
+                done = last
+
+    def _agreeing(self, shape: np.ndarray, ends: np.ndarray, window: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inside = (place >= 0) & (place + self.width <= len(shape))
+        window, place = window[inside], place[inside]
+        inside = np.searchsorted(ends, place, "right") == np.searchsorted(ends, place + self.width - 1, "right")
+        window, place = window[inside], place[inside]
+        for k in range(self.width):
+            ours = self.shape[self.starts[window] + k]
+            same = (ours == self.name) | (ours == shape[place + k])
+            window, place = window[same], place[same]
+        return window, place
+
+    def judged(self, window: int, theirs: list[str], named: list[bool]) -> tuple[int, int]:
+        """(exact, reworded) of a window and the words of a document, of which some are ``named``."""
+        ours = self.words[self.starts[window] : self.starts[window] + self.width]
+        if ours == theirs:
+            return 1, 0
+        of = self.template.of
+        fits = all(of(a) != "\x00name" or (c := of(b)) == "\x00name" or (x and c == b) for a, b, x in zip(ours, theirs, named, strict=True))
+        return 0, int(fits and consistent(ours, theirs))
+
+
+def capitals(text: str, tokens: list[str]) -> list[bool]:
+    """Which words of a text have a capital; where lower-casing changes the number of words, those that have one anywhere."""
+    written = W.WORD.findall(text)
+    if len(written) == len(tokens):
+        return [w[0] != w[0].lower() for w in written]
+    some = {w.lower() for w in written if w[0] != w[0].lower()}
+    return [w in some for w in tokens]
 
 
 def consistent(item_words: list[str], doc_words: list[str]) -> bool:
@@ -84,9 +172,10 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     """(key, item, exact, reworded): documents that share windows of ``width`` words with a held-out item.
 
     exact counts windows with the same words, reworded those that are equal after numbers, units and names are replaced
-    by placeholders and whose slots are exchanged consistently. Whole texts are read. The held-out items are the small
-    side; up to broadcast_windows of their windows go to every worker as a sorted array, which a document's windows are
-    looked up in; beyond that the windows of both sides meet in a shuffled equi-join.
+    by placeholders and whose slots are exchanged consistently. The names are those of the items and, in their slots,
+    all words that the document writes with a capital. Whole texts are read. The held-out items are the small side; up
+    to broadcast_windows of their windows go to every worker as sorted arrays of seeds, which a document is looked up
+    in; beyond that the windows of both sides meet in a shuffled equi-join.
     Null keys, null texts and texts shorter than the window give no rows; repeated rows and items with equal keys and
     texts count once; an empty table on either side gives an empty result. Clashing column names don't matter.
     """
@@ -113,34 +202,29 @@ def _judge(pairs: Iterable[tuple[list[str], list[str]]]) -> tuple[int, int]:
 
 
 def _looked_up(docs: DataFrame, rows: list[tuple], width: int, template: Template) -> DataFrame:
-    known = sorted(item_windows(rows, width, template), key=lambda x: x[2])
-    shared = docs.sparkSession.sparkContext.broadcast((np.array([x[2] for x in known], np.uint64), [(x[0], x[4]) for x in known]))
+    shared = docs.sparkSession.sparkContext.broadcast(Seeds(rows, width, template))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want, what = shared.value
-        hashed = Hashed(template)
+        seeds = shared.value
+        hashed = Hashed(seeds.template)
         for batch in batches:
-            out: list[tuple] = []
-            for i, t in enumerate(batch.column(1) if len(want) else ()):
-                tokens = W.words(t.as_py())
-                shape = np.fromiter(map(hashed.shape.__getitem__, tokens), np.uint64, len(tokens))
-                h = W.windows(shape, width)
-                if not len(h):
-                    continue
-                low = np.searchsorted(want, h)
-                at = np.flatnonzero(want[np.minimum(low, len(want) - 1)] == h)
-                per: dict[int, list] = {}
-                for p in at.tolist():
-                    j = int(low[p])
-                    while j < len(want) and want[j] == h[p]:
-                        item, ours = what[j]
-                        per.setdefault(item, []).append((ours, tokens[p : p + width]))
-                        j += 1
-                for item, pairs in per.items():
-                    exact, reworded = _judge(pairs)
+            texts = batch.column(1).to_pylist() if len(seeds.starts) else []
+            tokens = [W.words(t) for t in texts]
+            ends = np.cumsum([len(x) for x in tokens], dtype=np.int64)
+            shape = np.concatenate([np.empty(0, np.uint64), *map(hashed, tokens)])
+            per: dict[tuple[int, int], list[int]] = {}
+            named: dict[int, list[bool]] = {}
+            for window, place in seeds.pairs(shape, ends):
+                for w, p, i in zip(window.tolist(), place.tolist(), np.searchsorted(ends, place, "right").tolist(), strict=True):
+                    if i not in named:
+                        named[i] = capitals(texts[i], tokens[i])
+                    p -= int(ends[i]) - len(tokens[i])
+                    exact, reworded = seeds.judged(w, tokens[i][p : p + width], named[i][p : p + width])
                     if exact or reworded:
-                        out.append((i, item, exact, reworded))
-            a = list(zip(*out, strict=True)) or [(), (), (), ()]
+                        n = per.setdefault((i, seeds.items[w]), [0, 0])
+                        n[0] += exact
+                        n[1] += reworded
+            a = list(zip(*((i, item, *n) for (i, item), n in per.items()), strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a[0], pa.int64())), *(pa.array(x, pa.int64()) for x in a[1:])], names=["key", "item", "exact", "reworded"])
 
     return docs.mapInArrow(run, "key bigint, item bigint, exact bigint, reworded bigint")
@@ -156,7 +240,7 @@ def _joined(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 tokens = W.words(batch.column(1)[i].as_py())
-                h = W.windows(hashed(tokens)[1], width)
+                h = W.windows(hashed(tokens), width)
                 n = len(h)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, 1).take(pa.array(np.zeros(n, np.int64))), pa.array(h.view(np.int64)), pa.array([" ".join(tokens[p : p + width]) for p in range(n)], pa.string())], names=["id", "h", "words"]

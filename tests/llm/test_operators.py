@@ -321,6 +321,19 @@ def test_reworded_question_is_found(spark):
     assert leaks.consistent(["1", "x", "1"], ["2", "x", "2"]) and not leaks.consistent(["1", "x", "1"], ["2", "x", "3"])
 
 
+@pytest.mark.parametrize("limit", [leaks.BROADCAST_WINDOWS])
+def test_exchanged_name_that_no_item_holds_is_found(spark, limit):
+    q = "A train from Lisbon covers 120 km in 3 hours while a bus from Porto needs 5 hours for the same way home"
+    items = spark.createDataFrame([(9, q), (8, "We went by ship to Lisbon and to Porto. " + q)], "i int, t string")
+    renamed = q.replace("Lisbon", "Bristol").replace("Porto", "Cork")
+    rows = [(1, renamed), (2, "Found. " + renamed.replace("120", "250") + " x" * 40), (3, renamed.upper()), (4, q.lower()), (5, q.upper())]
+    rows += [(6, q.replace("Lisbon", "there").replace("Porto", "here")), (7, renamed.replace("while", "when")), (10, renamed[:50]), (11, "x İx " + renamed)]
+    d = spark.createDataFrame(rows, "id int, t string")
+    got = {r["key"]: (r["exact"], r["reworded"]) for r in leaks.leaks(d, "id", "t", items, "i", "t", broadcast_windows=limit).where("item = 9").collect()}
+    n = len(q.split()) - 12
+    assert got == {1: (0, n), 2: (0, n), 3: (0, n), 4: (n, 0), 5: (n, 0), 11: (0, n)}
+
+
 # mixing
 
 
