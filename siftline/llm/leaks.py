@@ -21,8 +21,9 @@ UNITS = frozenset(
 )
 CAPITAL = re.compile(r"(?<![.!?:;\n\-*•>] )(?<![.!?:;\n\-*•>])(?<!^)\b[^\W\d_a-zß-öø-ÿ]\w+")
 
-#: Items whose windows may go to every worker; beyond it windows meet in a shuffled join.
+#: Windows of items that go to every worker at once; more items take more passes over the documents.
 BROADCAST_WINDOWS = 2_000_000
+FOUND = "key bigint, item bigint, exact bigint, reworded bigint"
 
 
 class Template:
@@ -175,30 +176,36 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     by placeholders and whose slots are exchanged consistently. The names are those of the items and, in their slots,
     all words that the document writes with a capital. Whole texts are read. The held-out items are the small side; up
     to broadcast_windows of their windows go to every worker as sorted arrays of seeds, which a document is looked up
-    in; beyond that the windows of both sides meet in a shuffled equi-join.
+    in; more items go in several parts, each with a pass over the documents, and give the same rows.
     Null keys, null texts and texts shorter than the window give no rows; repeated rows and items with equal keys and
     texts count once; an empty table on either side gives an empty result. Clashing column names don't matter.
     """
     items = items.select(F.col(item_key).cast("bigint").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").distinct()
     docs = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
-    weight = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if weight <= 2 * broadcast_windows:  # a window starts at a word, a word takes two characters at least
-        rows = [tuple(r) for r in items.collect()]
-        template = Template(set().union(*(Template.names_in(t) for _, t in rows)) if rows else ())
-        found = _looked_up(docs, rows, width, template)
-    else:
-        found = _joined(docs, items, width)
+    template = Template(r[0] for r in items.mapInArrow(_names, "name string").distinct().toLocalIterator())
+    found = docs.sparkSession.createDataFrame([], FOUND)
+    for rows in _parts(items, 2 * broadcast_windows):  # a window starts at a word, a word takes two characters at least
+        found = found.union(_looked_up(docs, rows, width, template))
     return found.groupBy("key", "item").agg(F.sum("exact").alias("exact"), F.sum("reworded").alias("reworded"))
 
 
-def _judge(pairs: Iterable[tuple[list[str], list[str]]]) -> tuple[int, int]:
-    exact = reworded = 0
-    for ours, theirs in pairs:
-        if ours == theirs:
-            exact += 1
-        elif consistent(ours, theirs):
-            reworded += 1
-    return exact, reworded
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = set().union(*(Template.names_in(t) for t in batch.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(names), pa.string())], names=["name"])
+
+
+def _parts(items: DataFrame, size: int) -> Iterator[list[tuple]]:
+    """The items in lists of about ``size`` characters; one list at a time is in the driver."""
+    rows, weight = [], 0
+    for r in items.toLocalIterator():
+        if rows and weight + len(r["text"]) > size:
+            yield rows
+            rows, weight = [], 0
+        rows.append((r["item"], r["text"]))
+        weight += len(r["text"])
+    if rows:
+        yield rows
 
 
 def _looked_up(docs: DataFrame, rows: list[tuple], width: int, template: Template) -> DataFrame:
@@ -227,33 +234,4 @@ def _looked_up(docs: DataFrame, rows: list[tuple], width: int, template: Templat
             a = list(zip(*((i, item, *n) for (i, item), n in per.items()), strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a[0], pa.int64())), *(pa.array(x, pa.int64()) for x in a[1:])], names=["key", "item", "exact", "reworded"])
 
-    return docs.mapInArrow(run, "key bigint, item bigint, exact bigint, reworded bigint")
-
-
-def _joined(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """The same for any number of items: names are looked for in a shuffled vocabulary of none, so only numbers and
-    units are slots here."""
-    template = Template(())
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = Hashed(template)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                tokens = W.words(batch.column(1)[i].as_py())
-                h = W.windows(hashed(tokens), width)
-                n = len(h)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1).take(pa.array(np.zeros(n, np.int64))), pa.array(h.view(np.int64)), pa.array([" ".join(tokens[p : p + width]) for p in range(n)], pa.string())], names=["id", "h", "words"]
-                )
-
-    schema = "id bigint, h bigint, words string"
-    left = docs.select("key", "text").mapInArrow(cut, schema)
-    right = items.mapInArrow(cut, schema).select(F.col("id").alias("item"), F.col("h").alias("ih"), F.col("words").alias("ours"))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [_judge([(a.split(" "), b.split(" "))]) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([g[k] for g in got], pa.int64()) for k in (0, 1))], names=["key", "item", "exact", "reworded"])
-
-    met = left.join(right, F.col("h") == F.col("ih")).select(F.col("id").alias("key"), "item", "ours", "words")
-    return met.mapInArrow(judge, "key bigint, item bigint, exact bigint, reworded bigint").where("exact + reworded > 0")
+    return docs.mapInArrow(run, FOUND)

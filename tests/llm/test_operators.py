@@ -321,7 +321,7 @@ def test_reworded_question_is_found(spark):
     assert leaks.consistent(["1", "x", "1"], ["2", "x", "2"]) and not leaks.consistent(["1", "x", "1"], ["2", "x", "3"])
 
 
-@pytest.mark.parametrize("limit", [leaks.BROADCAST_WINDOWS])
+@pytest.mark.parametrize("limit", [leaks.BROADCAST_WINDOWS, 0])  # all items at once, one at a time
 def test_exchanged_name_that_no_item_holds_is_found(spark, limit):
     q = "A train from Lisbon covers 120 km in 3 hours while a bus from Porto needs 5 hours for the same way home"
     items = spark.createDataFrame([(9, q), (8, "We went by ship to Lisbon and to Porto. " + q)], "i int, t string")
