@@ -17,6 +17,7 @@ BROKEN = re.compile("[ÂÃâ][\u0080-\u00bf€™œžšŸ†‡•–—˜›‹
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 URL = r"(?i)(https?://[^\s)>\]]+|www\.[^\s)>\]]+)"
 PHONE_RUN = r"\+?[0-9(][0-9 ()./-]{7,}[0-9]"
+WORD = "[a-z0-9]+"
 TOKEN = r"[a-z0-9][a-z0-9+#./&'-]*[a-z0-9+#]|[a-z0-9]"
 
 
@@ -65,7 +66,7 @@ def normalised(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Runs of ASCII letters and digits, lower-cased."""
-    return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
 def word_count(c: Column) -> Column:

@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
@@ -110,30 +111,37 @@ class Index:
         return out
 
     def condition(self, c: Criteria) -> DataFrame:
-        """(doc_no, strong, coverage, evidence) of one condition, evaluated once and saved."""
+        """(doc_no, strong, coverage, evidence, score) of one condition, evaluated once and saved."""
         k = c.key()
         if k not in self.saved:
             self.saved[k] = stored(self._evaluated(c))
         return self.saved[k]
 
     def _evaluated(self, c: Criteria) -> DataFrame:
-        ids = self.resolve(c.skills, "skill") + self.resolve(c.topics, "topic")
-        if ids:
-            p = self.postings.where(F.col("term_id").isin(ids)).join(self.terms.select("term_id", "kind"), "term_id")
+        ids = sorted(set(self.resolve(c.skills, "skill") + self.resolve(c.topics, "topic")))
+        if ids or c.text:
+            sets_ = len(ids) + bool(c.text)  # the text is a set like those of the terms
+            need = {"all": sets_, "any": 1, "min-cover": min(c.need, sets_)}[c.mode]
             allowed = F.col("used") if c.used else F.col("strong") if c.strict else F.col("strong") | (F.col("kind") == "topic")
-            need = {"all": len(set(ids)), "any": 1, "min-cover": min(c.need, len(set(ids)))}[c.mode]
-            g = p.where(allowed).groupBy("doc_no").agg(F.count_distinct("term_id").alias("coverage"), F.count_distinct(F.when(F.col("strong"), F.col("term_id"))).alias("s"), F.max("evidence_rank").alias("evidence"))
-            found = g.where(F.col("coverage") >= need).select("doc_no", (F.col("s") >= need).alias("strong"), F.col("coverage" if c.mode != "all" else "s").alias("coverage"), "evidence")
+            p = self.postings.where(F.col("term_id").isin(ids)).join(self.terms.select("term_id", "kind"), "term_id").where(allowed)
+            members = p.select("doc_no", F.col("term_id").cast("bigint").alias("term_id"), "strong", "evidence_rank", F.lit(None).cast("double").alias("score"))
+            if c.text:
+                members = members.union(self._text(c.text).select("doc_no", F.lit(None).cast("bigint"), F.lit(True), F.lit(None).cast("int"), "score"))
+            member = F.coalesce("term_id", F.lit(-1))
+            g = members.groupBy("doc_no").agg(F.count_distinct(member).alias("coverage"), F.count_distinct(F.when(F.col("strong"), member)).alias("s"), F.max("evidence_rank").alias("evidence"), F.max("score").alias("score"))
+            found = g.where(F.col("coverage") >= need).select("doc_no", (F.col("s") >= need).alias("strong"), "coverage", "evidence", "score")
             return found if c.mode != "all" else found.withColumn("coverage", F.lit(1).cast("bigint"))
-        if c.text:
-            words = [w for w in c.text.lower().split() if w.isalnum()]
-            hits = I.bm25(self.docs.select("doc_no", T.words(F.col("markdown")).alias("ws")).where("ws is not null"), "doc_no", "ws", words)
-            return hits.select("doc_no", F.lit(True).alias("strong"), F.lit(1).cast("bigint").alias("coverage"), F.col("score").alias("evidence"))
         tests, unknown = self._tests(c)
         ok = reduce(lambda a, b: a & b, tests, F.lit(True))
         if c.include_unknown:
             ok = F.coalesce(ok, F.lit(False)) | reduce(lambda a, b: a | b, unknown, F.lit(False))
-        return self.profile.where(ok).select("doc_no", F.lit(True).alias("strong"), F.lit(1).cast("bigint").alias("coverage"), F.lit(None).cast("int").alias("evidence"))
+        return self.profile.where(ok).select("doc_no", F.lit(True).alias("strong"), F.lit(1).cast("bigint").alias("coverage"), F.lit(None).cast("int").alias("evidence"), F.lit(None).cast("double").alias("score"))
+
+    def _text(self, text: str) -> DataFrame:
+        """(doc_no, score) of the documents that hold every word of the text; none for a text without words."""
+        words = re.findall(T.WORD, text.lower())
+        docs = self.docs.select("doc_no", T.words(F.col("markdown")).alias("ws")).where("ws is not null")
+        return I.bm25(docs, "doc_no", "ws", words) if words else docs.where("false").select("doc_no", F.lit(None).cast("double").alias("score"))
 
     def _tests(self, c: Criteria) -> tuple[list[Column], list[Column]]:
         tests, unknown = [], []
@@ -185,8 +193,8 @@ class View:
             m = self.members().join(self.index.profile, "doc_no", "left")
             ranked = [c for c in self.conditions if c.skills or c.topics or c.text]
             if ranked:
-                m = m.join(self.index.condition(ranked[0]).select("doc_no", "coverage", "evidence"), "doc_no", "left")
-                order = [F.col("coverage").desc_nulls_last(), F.col("evidence").desc_nulls_last(), F.col("years").desc_nulls_last(), F.col("doc_no")]
+                m = m.join(self.index.condition(ranked[0]).select("doc_no", "coverage", "evidence", "score"), "doc_no", "left")
+                order = [F.col("coverage").desc_nulls_last(), F.col("evidence").desc_nulls_last(), F.col("score").desc_nulls_last(), F.col("years").desc_nulls_last(), F.col("doc_no")]
             else:
                 m = m.withColumn("coverage", F.lit(None).cast("bigint")).withColumn("evidence", F.lit(None).cast("int"))
                 order = [F.col("doc_no").desc()]

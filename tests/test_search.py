@@ -42,6 +42,19 @@ def test_pages_and_sort(index):
     assert rates == sorted(rates)
 
 
+def test_text_beside_terms(index):
+    skill, text = Criteria(skills=["Python"]), Criteria(text="release notes")
+    a, b = set(ids(index.search(skill))), set(ids(index.search(text)))
+    assert a - b and b - a and a & b
+    both = {"skills": ["Python"], "text": "release notes"}
+    assert set(ids(index.search(Criteria(**both)))) == a & b
+    assert set(ids(index.search(Criteria(**both, mode="any")))) == a | b
+    assert set(ids(index.search(Criteria(**both, mode="min-cover", need=2)))) == a & b
+    assert set(ids(index.search(Criteria(text="(Release, notes!)")))) == b
+    assert set(ids(index.search(Criteria(text="release/notes+")))) == b
+    assert ids(index.search(Criteria(text="…!"))) == []
+
+
 def test_keys_and_errors(index):
     assert Criteria(skills=["Python", " docker"]).key() == Criteria(skills=["DOCKER", "python"]).key() != Criteria(skills=["python"]).key()
     assert Criteria(rate_max="1,200 €").rate_max == 1200
