@@ -9,6 +9,10 @@ from .sets import ranked
 
 LEVELS = {"listed": 1, "used": 2, "led": 3}
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?"
+#: Month and year, yyyy-mm, m/d/yy, mm/yyyy, year.
+DATE = rf"(?i){MONTH}\s+\d{{4}}|\d{{4}}-\d{{1,2}}|\d{{1,2}}/\d{{1,2}}/\d{{2,4}}|\d{{1,2}}/\d{{4}}|(?<!\d)(?:19|20)\d{{2}}(?!\d)"
+OPEN = r"(?i)\b(current|present|now|to date|today|ongoing)\b"
 #: Month that open-ended jobs are counted to.
 UNTIL = 2026 * 12
 
@@ -58,8 +62,44 @@ def _month(text: Column, pattern_month: str, pattern_year: str) -> Column:
     return F.regexp_extract(text, pattern_year, 1).cast("int") * 12 + month - 1
 
 
+def _date(text: Column, end: bool = False) -> Column:
+    """Months since year 0 of a date in any of the forms of DATE; a year alone is its January, as an end its December."""
+    low = F.replace(F.lower(F.trim(text)), F.lit("sept"), F.lit("sep"))
+    part = lambda pattern, i: F.regexp_extract(low, pattern, i).try_cast("int")
+    month = lambda m: F.greatest(F.lit(1), F.least(F.lit(12), m)) - 1
+    named, day, two = rf"^({MONTH})\s+(\d{{4}})$", r"^(\d{1,2})/\d{1,2}/(\d{2,4})$", r"^(\d{1,2})/(\d{4})$"
+    year = part(day, 2)
+    full = F.when(year < 50, year + 2000).when(year < 100, year + 1900).otherwise(year)
+    return (
+        F.when(low.rlike(named), part(named, 2) * 12 + F.floor((F.instr(F.lit(MONTHS.lower()), F.substring(low, 1, 3)) + 2) / 3) - 1)
+        .when(low.rlike(r"^\d{4}-\d{1,2}$"), part(r"^(\d{4})", 1) * 12 + month(part(r"-(\d{1,2})$", 1)))
+        .when(low.rlike(day), full * 12 + month(part(day, 1)))
+        .when(low.rlike(two), part(two, 2) * 12 + month(part(two, 1)))
+        .when(low.rlike(r"^\d{4}$"), low.try_cast("int") * 12 + (11 if end else 0))
+    ).cast("bigint")
+
+
 def date_ranges(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, start_month, end_month) of the jobs, in months since year 0; open jobs end in UNTIL."""
+    """(key, start_month, end_month) of the jobs, in months since year 0; open jobs end in UNTIL.
+
+    The dates stand after the first '·' of a line in asterisks, or are the whole of it: two dates in any form with any
+    words between them, one with a word for an open end, or one alone. A range that ends before it starts is none."""
+    plain = F.replace(F.col(text), F.lit("\r"), F.lit(""))
+    lines = docs.where(F.col(text).isNotNull()).select(key, F.explode(F.regexp_extract_all(plain, F.lit(r"(?m)^\*(?!\*)([^\n]+)\*[ \t]*$"), F.lit(1))).alias("line"))
+    head, tail = F.trim(F.substring_index("line", "·", 1)), F.regexp_extract("line", "^[^·]*·(.*)$", 1)
+    when = F.when(F.trim(tail) != "", tail).when(~head.contains(" — "), head)
+    found = lines.select(key, when.alias("when")).where("`when` is not null").select(key, "when", F.regexp_extract_all("when", F.lit(DATE), F.lit(0)).alias("dates")).where("size(dates) > 0")
+    rest = F.regexp_replace("when", rf"(?is)^.*?(?:{DATE})", "")
+    parsed = F.transform("dates", lambda x: F.struct(_date(x).alias("start"), _date(x, True).alias("end")))
+    opened, alone = rest.rlike(OPEN), ~rest.rlike(r"(?i)to|-|–|—|through|until|till")
+    both = found.select(key, F.explode(F.array(F.struct(parsed.alias("p"), opened.alias("opened"), alone.alias("alone")))).alias("x"))
+    end = F.when(F.size("x.p") > 1, F.col("x.p")[1]["end"]).when(F.col("x.opened"), F.lit(UNTIL)).when(F.col("x.alone"), F.col("x.p")[0]["end"])
+    ranges = both.select(key, F.col("x.p")[0]["start"].alias("start_month"), end.cast("bigint").alias("end_month"))
+    return ranges.where("start_month <= end_month and start_month >= 1950 * 12").distinct()
+
+
+def line_date_ranges(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """date_ranges of lines of the one form '*x — y · Mon YYYY to Mon YYYY*', which the SQL of the queries reads."""
     pattern = r"(?m)^\*.+ — .+ · [A-Z][a-z]{2} [0-9]{4} to (?:[A-Z][a-z]{2} [0-9]{4}|Current|Present|Now)\*$"
     plain = F.replace(F.col(text), F.lit("\r"), F.lit(""))
     lines = docs.where(F.col(text).isNotNull()).select(key, F.explode(F.regexp_extract_all(plain, F.lit(pattern), F.lit(0))).alias("line"))

@@ -128,7 +128,7 @@ _JOBS = r"""j as (select doc_no, line, regexp_extract(line, '· ([A-Z][a-z]{2})
 
 @query(f"with {_LINES}, {_JOBS} select doc_no, s::bigint as start_month, e::bigint as end_month from v")
 def extract_date_ranges(spark: SparkSession, d: str) -> DataFrame:
-    return extract.date_ranges(table(spark, d, "docs"), "doc_no", "markdown")
+    return extract.line_date_ranges(table(spark, d, "docs"), "doc_no", "markdown")
 
 
 @query(f"""with {_LINES}, {_JOBS}, o as (select *, max(e) over (partition by doc_no order by s, e rows between unbounded preceding and 1 preceding) as before from v),
@@ -136,7 +136,7 @@ def extract_date_ranges(spark: SparkSession, d: str) -> DataFrame:
     u as (select doc_no, island, max(e) - min(s) + 1 as months from g group by 1, 2) select doc_no, round(sum(months) / 12.0, 1)::double as years, count(*) as islands from u group by 1""")
 def extract_years(spark: SparkSession, d: str) -> DataFrame:
     """Years of experience: the union of overlapping jobs in months."""
-    r = extract.date_ranges(table(spark, d, "docs"), "doc_no", "markdown")
+    r = extract.line_date_ranges(table(spark, d, "docs"), "doc_no", "markdown")
     u = intervals.merged(r, "doc_no", "start_month", "end_month")
     return u.groupBy("doc_no").agg(F.round(F.sum(F.col("end_month") - F.col("start_month") + 1) / 12, 1).alias("years"), F.count("*").alias("islands"))
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import text as T
-from siftline.operators import intervals, ranking, sessions, sets, units
+from siftline.operators import extract, intervals, ranking, sessions, sets, units
 from siftline.operators.index import prefix_phrase
 
 
@@ -112,3 +112,25 @@ def test_unit_mixture_names_the_likely_period(spark):
 
 def test_units_empty(spark):
     assert _pay(spark, []) == {}
+
+
+def test_date_ranges_in_all_forms(spark):
+    m = lambda y, k=1: y * 12 + k - 1
+    cases = [
+        ("*Acme — Cork · Mar 2014 to Apr 2016*", (m(2014, 3), m(2016, 4))),
+        ("*Acme · 05/2014 - 04/2016*", (m(2014, 5), m(2016, 4))),
+        ("*Acme — Cork · September 2010 through Sept. 2015 (full time)*", (m(2010, 9), m(2015, 9))),
+        ("*2013 – 2017*", (m(2013), m(2017, 12))),
+        ("*Acme · 2014-03 until 2016-11*  ", (m(2014, 3), m(2016, 11))),
+        ("*Acme · 3/15/98 to 4/1/02*", (m(1998, 3), m(2002, 4))),
+        ("*Acme · contract · 07/2019 to date*", (m(2019, 7), extract.UNTIL)),
+        ("*Acme · 1999*", (m(1999), m(1999, 12))),
+        ("*Acme · 2016 to 2014*", None),
+        ("*Acme — 2014 Lane*", None),
+        ("**Acme · 2014**", None),
+        ("Acme · 2014 to 2016", None),
+        ("*Acme · 2014 to*", None),
+    ]
+    docs = spark.createDataFrame([(i, "# A\r\n### Job\r\n" + line + "\r\n- text") for i, (line, _) in enumerate(cases)] + [(99, None)], "d int, t string")
+    got = {r["d"]: (r["start_month"], r["end_month"]) for r in extract.date_ranges(docs, "d", "t").collect()}
+    assert got == {i: x for i, (_, x) in enumerate(cases) if x}
