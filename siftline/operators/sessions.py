@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import stored
+from .sets import ranked
 
 
 def clean_scores(scores: DataFrame, known: DataFrame, item: str = "doc_no", score: str = "score", note: str = "note") -> DataFrame:
@@ -57,3 +58,13 @@ def within_budget(turns: DataFrame, key: str, order: str, size: str, budget: int
     """The newest turns whose sizes add up to the budget at most."""
     w = Window.partitionBy(key).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
     return turns.withColumn("upto", F.sum(size).over(w)).where(F.col("upto") <= budget)
+
+
+def deltas(events: DataFrame, session: str, at: str, item: str, value: str) -> DataFrame:
+    """(session, step, item, delta): change from step to step of every session. Positions come from ranges of session and
+    time, and the row before is joined by its position, so a session with most of the events is split over tasks."""
+    laid = stored(ranked(events.select(session, at, item, value), [F.col(session), F.col(at), F.col(item)], name="__pos"))
+    first = laid.groupBy(F.col(session).alias("__session")).agg(F.min("__pos").alias("__first"))
+    before = laid.select(F.col(session).alias("__of"), (F.col("__pos") + 1).alias("__next"), F.col(value).alias("__was"))
+    rows = laid.join(before, (F.col("__pos") == F.col("__next")) & F.col(session).eqNullSafe(F.col("__of")), "left").join(first, F.col(session).eqNullSafe(F.col("__session")))
+    return rows.select(session, (F.col("__pos") - F.col("__first") + 1).alias("step"), item, (F.col(value) - F.col("__was")).alias("delta"))

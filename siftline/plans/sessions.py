@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import sessions as S
-from ..operators import sets
 from ..runtime import table
 
 QUERIES: dict = {}
@@ -137,10 +136,9 @@ def shared_allowance(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with s as (select row_number() over (order by ts, event_id) as step, event_id, value from events where user_id = 7) select step, event_id, round(value - lag(value) over (order by step), 6) as delta from s""")
 def step_deltas(spark: SparkSession, d: str) -> DataFrame:
-    """Change from step to step of one session."""
-    s = sets.ranked(table(spark, d, "events").where("user_id = 7").select("event_id", "ts", "value"), [F.col("ts"), F.col("event_id")], name="step")
-    before = s.select((F.col("step") + 1).alias("step"), F.col("value").alias("was"))
-    return s.join(before, "step", "left").select("step", "event_id", F.round(F.col("value") - F.col("was"), 6).alias("delta"))
+    """Change from step to step of the session that the SQL names; the operator takes any number of sessions."""
+    s = S.deltas(table(spark, d, "events").where("user_id = 7"), "user_id", "ts", "event_id", "value")
+    return s.select("step", "event_id", F.round("delta", 6).alias("delta"))
 
 
 @query("""select c_mktsegment, n_name, count(*) as orders, round(sum(o_totalprice), 2) as total from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey where o_orderdate >= timestamp '1995-01-01' group by 1, 2""")

@@ -134,3 +134,14 @@ def test_date_ranges_in_all_forms(spark):
     docs = spark.createDataFrame([(i, "# A\r\n### Job\r\n" + line + "\r\n- text") for i, (line, _) in enumerate(cases)] + [(99, None)], "d int, t string")
     got = {r["d"]: (r["start_month"], r["end_month"]) for r in extract.date_ranges(docs, "d", "t").collect()}
     assert got == {i: x for i, (_, x) in enumerate(cases) if x}
+
+
+def test_deltas_of_all_sessions(spark):
+    rows = [(1 if i % 3 else i % 50, i // 2, i, float(i * i % 97)) for i in range(3000)] + [(None, 5, 5000, 1.0), (None, 6, 5001, 4.0)]
+    want, last = {}, {}
+    for u, _, e, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        n, was = last.get(u, (0, None))
+        want[e] = (u, n + 1, None if was is None else v - was)
+        last[u] = (n + 1, v)
+    got = sessions.deltas(spark.createDataFrame(rows, "user int, at int, e int, v double").repartition(5), "user", "at", "e", "v").collect()
+    assert {r["e"]: (r["user"], r["step"], r["delta"]) for r in got} == want and len(got) == len(rows)
