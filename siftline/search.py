@@ -187,14 +187,23 @@ class View:
         return sets.intersected([people, *(self.index.condition(c) for c in self.conditions)])
 
     def rows(self) -> DataFrame:
-        """(doc_no, coverage, evidence, pos): ordered by coverage, fused ranks of evidence and years, number; without a
-        ranked condition the newest first."""
+        """(doc_no, coverage, evidence, pos): ordered by the coverage of all ranked conditions, the fused ranks of their
+        evidence and text scores and of years, number; without a ranked condition the newest first."""
         if self._rows is None:
             m = self.members().join(self.index.profile, "doc_no", "left")
             ranked = [c for c in self.conditions if c.skills or c.topics or c.text]
             if ranked:
-                m = m.join(self.index.condition(ranked[0]).select("doc_no", "coverage", "evidence", "score"), "doc_no", "left")
-                order = [F.col("coverage").desc_nulls_last(), F.col("evidence").desc_nulls_last(), F.col("score").desc_nulls_last(), F.col("years").desc_nulls_last(), F.col("doc_no")]
+                lists = ["years"]
+                for i, c in enumerate(ranked):
+                    m = m.join(self.index.condition(c).select("doc_no", *[F.col(x).alias(f"{x}{i}") for x in ("coverage", "evidence", "score")]), "doc_no", "left")
+                    lists += [f"evidence{i}"] * bool(c.skills or c.topics) + [f"score{i}"] * bool(c.text)
+                most = F.array_max(F.array(*[f"evidence{i}" for i in range(len(ranked))]))
+                m = m.withColumn("coverage", reduce(lambda a, b: a + b, [F.col(f"coverage{i}") for i in range(len(ranked))])).withColumn("evidence", most)
+                m = stored(m)
+                for i, x in enumerate(lists):
+                    m = ranking.competition_rank(m, x, f"rank{i}")
+                m = m.withColumn("fused", ranking.fused([F.col(f"rank{i}") for i in range(len(lists))]))
+                order = [F.col("coverage").desc_nulls_last(), F.col("fused").desc(), F.col("doc_no")]
             else:
                 m = m.withColumn("coverage", F.lit(None).cast("bigint")).withColumn("evidence", F.lit(None).cast("int"))
                 order = [F.col("doc_no").desc()]

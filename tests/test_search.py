@@ -55,6 +55,18 @@ def test_text_beside_terms(index):
     assert ids(index.search(Criteria(text="…!"))) == []
 
 
+def test_order_fuses_all_ranked_conditions(index):
+    skill, text = Criteria(skills=["Python", "Docker"], mode="any"), Criteria(text="the")
+    view = index.search(skill).add(text)
+    a, b = ({r["doc_no"]: r for r in index.condition(c).collect()} for c in (skill, text))
+    years = {r["doc_no"]: r["years"] for r in index.profile.collect()}
+    docs = [r["doc_no"] for r in view.members().collect()]
+    lists = [{d: x[d] for d in docs if x.get(d) is not None} for x in (years, {d: r["evidence"] for d, r in a.items()}, {d: r["score"] for d, r in b.items()})]
+    rank = lambda x, d: 1 + sum(d not in x or x[d] < v for k, v in x.items() if k != d)
+    fused = {d: sum(1 / (60 + rank(x, d)) for x in lists) for d in docs}
+    assert len(docs) > 2 and ids(view) == sorted(docs, key=lambda d: (-a[d]["coverage"] - b[d]["coverage"], -fused[d], d))
+
+
 def test_keys_and_errors(index):
     assert Criteria(skills=["Python", " docker"]).key() == Criteria(skills=["DOCKER", "python"]).key() != Criteria(skills=["python"]).key()
     assert Criteria(rate_max="1,200 €").rate_max == 1200
