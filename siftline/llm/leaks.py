@@ -1,4 +1,9 @@
-"""Evaluation texts leaking into training text: template windows, hash join, slot consistency."""
+"""Evaluation texts leaking into training text: template windows, hash join, slot consistency.
+
+Windows of words are compared after numbers, units and names have become placeholders. Windows that follow each other at
+the same distance form a run, and the slots of a run as a whole must be exchanged consistently. A window with too few
+words beside its placeholders says nothing as a template (a table of numbers has many such) and is compared word by word.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import shipped
 from . import words as W
 
 #: Words of measure that a re-parameterised question exchanges, in the four languages of the corpus.
@@ -21,6 +27,9 @@ UNITS = frozenset(
 )
 CAPITAL = re.compile(r"(?<![.!?:;\n\-*•>] )(?<![.!?:;\n\-*•>])(?<!^)\b[^\W\d_a-zß-öø-ÿ]\w+")
 
+#: The placeholders.
+SLOTS = ("\x00number", "\x00unit", "\x00name")
+
 #: Windows of items that go to every worker at once; more items take more passes over the documents.
 BROADCAST_WINDOWS = 2_000_000
 FOUND = "key bigint, item bigint, exact bigint, reworded bigint"
@@ -69,38 +78,50 @@ class Seeds:
     """Windows of the held-out items, found by the longest run of words between their name slots.
 
     A name slot takes any name, also one that no item holds, so a window can't be looked up by a hash of all its words.
-    Its seed is the longest run without a name slot, or the whole window if it is nothing but names; what meets a seed is
-    compared word by word outside the name slots."""
+    Its seed is the longest run without a name slot; what meets a seed is compared word by word outside the name slots.
+    Windows with fewer than ``literal`` words beside their placeholders have a hash of their words as they are instead."""
 
     #: Pairs compared at once.
     PAIRS = 200_000
 
-    def __init__(self, rows: list[tuple], width: int, template: Template):
+    def __init__(self, rows: list[tuple], width: int, literal: int, template: Template):
         self.width, self.template = width, template
         self.name = np.uint64(xxhash.xxh3_64_intdigest("\x00name"))
-        hashed = Hashed(template)
+        slots = np.array([xxhash.xxh3_64_intdigest(x) for x in SLOTS], np.uint64)
+        hashed, plain = Hashed(template), W.Vocabulary()
         self.items: list[int] = []  # of each window
         self.words: list[str] = []
-        shapes, starts, seeds = [], [], {}
+        shapes, asis, starts, seeds = [], [], [], {}
         for item, text in rows:
             tokens = W.words(text or "")
             shape = hashed(tokens)
+            said = np.concatenate([[0], np.cumsum(~np.isin(shape, slots))])
             for p in range(len(tokens) - width + 1):
-                at, n = self._longest(shape[p : p + width] == self.name)
-                seeds.setdefault(n, []).append((len(starts), at))
+                if said[p + width] - said[p] >= literal:
+                    at, n = self._longest(shape[p : p + width] == self.name)
+                    seeds.setdefault(n, []).append((len(starts), at))
+                else:
+                    seeds.setdefault(0, []).append((len(starts), 0))
                 starts.append(len(self.words) + p)
                 self.items.append(item)
             self.words += tokens
             shapes.append(shape)
-        self.shape = np.concatenate(shapes) if shapes else np.empty(0, np.uint64)
+            asis.append(W.hashes(tokens, plain))
+        none = np.empty(0, np.uint64)
+        self.shape, self.asis = np.concatenate([none, *shapes]), np.concatenate([none, *asis])
         self.starts = np.array(starts, np.int64)
         self.known = {}
         for n, found in seeds.items():
             window, at = np.array(found, np.int64).T
-            h = W.windows(self.shape, n)[self.starts[window] + at]
+            h = W.windows(self.shape if n else self.asis, n or width)[self.starts[window] + at]
             order = np.argsort(h, kind="stable")
             self.known[n] = (h[order], window[order], at[order], self._bits(h))
 
+    @property
+    def verbatim(self) -> bool:
+        """Whether some windows are compared as they are, which takes the hashes of the words themselves."""
+        return 0 in self.known
+
     @staticmethod
     def _longest(names: np.ndarray) -> tuple[int, int]:
         edges = np.flatnonzero(np.concatenate(([True], names, [True])))
@@ -114,10 +135,10 @@ class Seeds:
         bits[(h >> np.uint64(48)).astype(np.int64)] = True
         return bits
 
-    def pairs(self, shape: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window, place) that agree outside the name slots; ``shape`` holds texts that end at ``ends``."""
+    def pairs(self, shape: np.ndarray, asis: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, place) that agree outside the name slots; ``shape`` and ``asis`` hold texts that end at ``ends``."""
         for n, (want, window, at, bits) in self.known.items():
-            h = W.windows(shape, n)
+            h = W.windows(shape, n) if n else W.windows(asis, self.width)
             place = np.flatnonzero(bits[(h >> np.uint64(48)).astype(np.int64)])
             low = np.searchsorted(want, h[place])
             hit = want[np.minimum(low, len(want) - 1)] == h[place]
@@ -143,14 +164,27 @@ class Seeds:
             window, place = window[same], place[same]
         return window, place
 
-    def judged(self, window: int, theirs: list[str], named: list[bool]) -> tuple[int, int]:
-        """(exact, reworded) of a window and the words of a document, of which some are ``named``."""
-        ours = self.words[self.starts[window] : self.starts[window] + self.width]
-        if ours == theirs:
-            return 1, 0
+    def fits(self, window: int, theirs: list[str], named: list[bool]) -> bool:
+        """Whether the words of a document, of which some are ``named``, fill the name slots of a window with names."""
         of = self.template.of
-        fits = all(of(a) != "\x00name" or (c := of(b)) == "\x00name" or (x and c == b) for a, b, x in zip(ours, theirs, named, strict=True))
-        return 0, int(fits and consistent(ours, theirs))
+        ours = self.words[self.starts[window] : self.starts[window] + self.width]
+        return all(of(a) != "\x00name" or (c := of(b)) == "\x00name" or (x and c == b) for a, b, x in zip(ours, theirs, named, strict=True))
+
+    def counted(self, found: list[tuple[int, int, bool]], theirs: list[str]) -> tuple[int, int]:
+        """(exact, reworded) windows from all (window, place in theirs, exact) of an item and a document. Reworded ones
+        count if the slots are exchanged consistently over their whole run."""
+        exact, reworded = sum(e for _, _, e in found), 0
+        found = sorted((p - int(self.starts[w]), p, e) for w, p, e in set(found))
+        begin = 0
+        for i in range(1, len(found) + 1):
+            if i < len(found) and found[i][0] == found[i - 1][0] and found[i][1] - found[i - 1][1] <= self.width:
+                continue
+            (apart, first, _), (_, last, _) = found[begin], found[i - 1]
+            new = sum(not e for _, _, e in found[begin:i])
+            if new and consistent(self.words[first - apart : last - apart + self.width], theirs[first : last + self.width]):
+                reworded += new
+            begin = i
+        return exact, reworded
 
 
 def capitals(text: str, tokens: list[str]) -> list[bool]:
@@ -169,23 +203,25 @@ def consistent(item_words: list[str], doc_words: list[str]) -> bool:
     return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in zip(item_words, doc_words, strict=True))
 
 
-def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, width: int = 13, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, width: int = 13, broadcast_windows: int = BROADCAST_WINDOWS, literal: int = 5) -> DataFrame:
     """(key, item, exact, reworded): documents that share windows of ``width`` words with a held-out item.
 
     exact counts windows with the same words, reworded those that are equal after numbers, units and names are replaced
-    by placeholders and whose slots are exchanged consistently. The names are those of the items and, in their slots,
+    by placeholders, have ``literal`` words or more beside them, and belong to a run of windows whose slots are exchanged
+    consistently from its first word to its last. The names are those of the items and, in their slots,
     all words that the document writes with a capital. Whole texts are read. The held-out items are the small side; up
     to broadcast_windows of their windows go to every worker as sorted arrays of seeds, which a document is looked up
     in; more items go in several parts, each with a pass over the documents, and give the same rows.
     Null keys, null texts and texts shorter than the window give no rows; repeated rows and items with equal keys and
     texts count once; an empty table on either side gives an empty result. Clashing column names don't matter.
     """
+    shipped(docs.sparkSession)
     items = items.select(F.col(item_key).cast("bigint").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").distinct()
     docs = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
     template = Template(r[0] for r in items.mapInArrow(_names, "name string").distinct().toLocalIterator())
     found = docs.sparkSession.createDataFrame([], FOUND)
     for rows in _parts(items, 2 * broadcast_windows):  # a window starts at a word, a word takes two characters at least
-        found = found.union(_looked_up(docs, rows, width, template))
+        found = found.union(_looked_up(docs, rows, width, literal, template))
     return found.groupBy("key", "item").agg(F.sum("exact").alias("exact"), F.sum("reworded").alias("reworded"))
 
 
@@ -208,30 +244,32 @@ def _parts(items: DataFrame, size: int) -> Iterator[list[tuple]]:
         yield rows
 
 
-def _looked_up(docs: DataFrame, rows: list[tuple], width: int, template: Template) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(Seeds(rows, width, template))
+def _looked_up(docs: DataFrame, rows: list[tuple], width: int, literal: int, template: Template) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(Seeds(rows, width, literal, template))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = shared.value
-        hashed = Hashed(seeds.template)
+        hashed, plain = Hashed(seeds.template), W.Vocabulary()
+        none = np.empty(0, np.uint64)
         for batch in batches:
             texts = batch.column(1).to_pylist() if len(seeds.starts) else []
             tokens = [W.words(t) for t in texts]
             ends = np.cumsum([len(x) for x in tokens], dtype=np.int64)
-            shape = np.concatenate([np.empty(0, np.uint64), *map(hashed, tokens)])
-            per: dict[tuple[int, int], list[int]] = {}
+            shape = np.concatenate([none, *map(hashed, tokens)])
+            asis = np.concatenate([none, *(W.hashes(t, plain) for t in tokens)]) if seeds.verbatim else none
+            found: dict[tuple[int, int], list[tuple[int, int, bool]]] = {}
             named: dict[int, list[bool]] = {}
-            for window, place in seeds.pairs(shape, ends):
+            for window, place in seeds.pairs(shape, asis, ends):
                 for w, p, i in zip(window.tolist(), place.tolist(), np.searchsorted(ends, place, "right").tolist(), strict=True):
-                    if i not in named:
-                        named[i] = capitals(texts[i], tokens[i])
                     p -= int(ends[i]) - len(tokens[i])
-                    exact, reworded = seeds.judged(w, tokens[i][p : p + width], named[i][p : p + width])
-                    if exact or reworded:
-                        n = per.setdefault((i, seeds.items[w]), [0, 0])
-                        n[0] += exact
-                        n[1] += reworded
-            a = list(zip(*((i, item, *n) for (i, item), n in per.items()), strict=True)) or [(), (), (), ()]
+                    theirs = tokens[i][p : p + width]
+                    exact = seeds.words[seeds.starts[w] : seeds.starts[w] + width] == theirs
+                    if not exact and i not in named:
+                        named[i] = capitals(texts[i], tokens[i])
+                    if exact or seeds.fits(w, theirs, named[i][p : p + width]):
+                        found.setdefault((i, seeds.items[w]), []).append((w, p, exact))
+            rows_ = [(i, item, *seeds.counted(x, tokens[i])) for (i, item), x in found.items()]
+            a = list(zip(*(r for r in rows_ if r[2] or r[3]), strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a[0], pa.int64())), *(pa.array(x, pa.int64()) for x in a[1:])], names=["key", "item", "exact", "reworded"])
 
     return docs.mapInArrow(run, FOUND)
