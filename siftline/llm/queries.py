@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,9 +84,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     units = similar.usable(table(spark, folder, "emb"), "model", "key", "vec")
     near = similar.similar_keys(units, 0.9)
     pairs = near.select(F.col("grp").alias("model"), F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b")).distinct()
-    terms = [(r["slug"], np.array(r["emb"], float)) for r in table(spark, folder, "terms").where("emb is not null").select("slug", "emb").limit(similar.REFERENCE_LIMIT + 1).collect()]
-    named = similar.nearest_reference(units.where("grp = 'hash-embed-96'"), [x for x in terms if len(x[1]) == 96], 0.8)
-    return pairs.union(named.distinct().select(F.lit("hash-embed-96").alias("model"), F.col("key").alias("key_a"), F.concat(F.lit("term:"), "ref").alias("key_b")))
+    named = similar.nearest_reference(units.where("grp = 'hash-embed-96'"), table(spark, folder, "terms"), "slug", "emb", 0.8, 96)
+    return pairs.union(named.select(F.lit("hash-embed-96").alias("model"), F.col("key").alias("key_a"), F.concat(F.lit("term:"), "ref").alias("key_b")))
 
 
 P3_FOUND_SQL = """with v as (select distinct model, key, vec::double[] as vec from emb where (model = 'hash-embed-96' and len(vec) = 96 or model = 'hash-embed-48' and len(vec) = 48)
@@ -108,6 +106,7 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with details that get a keyed surrogate; the key here is a public example."""
     return personal.found_lines(_texts(spark, folder), ["tbl", "rec_no"], "markdown").withColumnRenamed("line", "line_no")
 
 

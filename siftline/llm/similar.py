@@ -1,4 +1,6 @@
-"""Most similar vectors for every vector: vantage-point trees per shard, pruned by a relaxed triangle inequality."""
+"""Most similar vectors for every vector: vantage-point trees per shard, pruned by a relaxed triangle inequality.
+
+Shards are cut along principal directions at sparse places, so that few vectors lie near a border and have copies."""
 
 from __future__ import annotations
 
@@ -12,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import stored
+from ..runtime import shipped, stored
 
 
 class VantageTree:
@@ -43,38 +45,6 @@ class VantageTree:
             return rows, self.vectors[rows]
         return point, middle, self._build(rows[near]), self._build(rows[~near])
 
-    def leaves(self) -> int:
-        def count(node) -> int:
-            return 1 if len(node) == 2 else count(node[2]) + count(node[3])
-
-        return count(self.root)
-
-    def slim(self) -> VantageTree:
-        """Without its vectors, for routing only."""
-        self.vectors = self.vectors[:0]
-
-        def bare(node):
-            return (None, None) if len(node) == 2 else (node[0], node[1], bare(node[2]), bare(node[3]))
-
-        self.root = bare(self.root)
-        return self
-
-    def route(self, vectors: np.ndarray, slack: float) -> list[np.ndarray]:
-        """For each leaf in order, the rows of ``vectors`` that come within slack of it."""
-        out: list[np.ndarray] = []
-
-        def walk(node, rows: np.ndarray) -> None:
-            if len(node) == 2:
-                out.append(rows)
-                return
-            point, middle, near, far = node
-            d = distances(vectors[rows], point[None])[:, 0]
-            walk(near, rows[d < middle + slack])
-            walk(far, rows[d >= middle - slack])
-
-        walk(self.root, np.arange(len(vectors)))
-        return out
-
     def search(self, queries: np.ndarray, cosine: float, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, vector row, cosine) of all pairs found at or above the cosine."""
         radius = math.sqrt(max(0.0, 2 - 2 * cosine))
@@ -101,6 +71,52 @@ class VantageTree:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+class Router:
+    """Cuts the space of unit vectors into shards: each node parts a sample by its principal direction, at the sparsest
+    place between ``low`` and ``high`` of it. A projection moves by no more than the distance of two vectors, so what
+    lies within a radius of a border goes to both sides."""
+
+    def __init__(self, sample: np.ndarray, leaf: int, slack: float, low: float = 0.35, high: float = 0.65):
+        self.leaf, self.slack, self.low, self.high = max(1, leaf), slack, low, high
+        self.leaves = 0
+        self.root = self._build(np.asarray(sample, np.float32))
+
+    def _build(self, x: np.ndarray):
+        cut = self._cut(x) if len(x) > self.leaf else None
+        if cut is None:
+            self.leaves += 1
+            return None
+        direction, place, near = cut
+        return direction, place, self._build(x[near]), self._build(x[~near])
+
+    def _cut(self, x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray] | None:
+        centred = x - x.mean(axis=0)
+        direction = np.linalg.eigh(centred.T @ centred)[1][:, -1].astype(np.float32)
+        z = x @ direction
+        inner = np.sort(z)
+        places = inner[int(len(z) * self.low) : max(int(len(z) * self.low) + 1, int(len(z) * self.high))]
+        crowd = np.searchsorted(inner, places + self.slack) - np.searchsorted(inner, places - self.slack)
+        place = float(places[crowd.argmin()])
+        near = z < place
+        return (direction, place, near) if near.any() and not near.all() else None  # all equal: no use in cutting
+
+    def route(self, vectors: np.ndarray, slack: float) -> list[np.ndarray]:
+        """For each shard in order, the rows of ``vectors`` that come within slack of it."""
+        out: list[np.ndarray] = []
+
+        def walk(node, rows: np.ndarray) -> None:
+            if node is None:
+                out.append(rows)
+                return
+            direction, place, near, far = node
+            z = vectors[rows] @ direction
+            walk(near, rows[z < place + slack])
+            walk(far, rows[z >= place - slack])
+
+        walk(self.root, np.arange(len(vectors)))
+        return out
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * (a @ b.T)))
 
@@ -109,6 +125,7 @@ def usable(vectors: DataFrame, group: str, key: str, vec: str) -> DataFrame:
     """(grp, key, unit): vectors of the size that most rows of their group have, scaled to length 1. Null, empty,
     wrongly sized, all-zero and non-finite ones are left out; repeated rows are kept, similar_keys drops them. A key
     that comes with different vectors is searched with one of them in each shard."""
+    shipped(vectors.sparkSession)
     v = vectors.select(F.col(group).alias("grp"), F.col(key).alias("key"), F.col(vec).cast("array<float>").alias("vec")).where("key is not null and size(vec) > 0")
     sizes = v.groupBy("grp", F.size("vec").alias("size")).count()
     usual = {r["grp"]: r["usual"] for r in sizes.groupBy("grp").agg(F.max_by("size", F.struct("count", "size")).alias("usual")).collect()}  # one row for each model
@@ -134,13 +151,18 @@ def usable(vectors: DataFrame, group: str, key: str, vec: str) -> DataFrame:
     return v.mapInArrow(scale, f"grp string, key {kind}, unit binary")
 
 
-def similar_keys(vectors: DataFrame, cosine: float, k: int = 5, factor: float = 0.12, route_factor: float = 0.06, shards: int = 16, shard_rows: int = 200_000, sample_rows: int = 20_000, leaf: int = 1536) -> DataFrame:
+#: Sampled vectors for each shard, and in all for a group.
+SHARD_SAMPLE, SAMPLE_LIMIT = 40, 2_000_000
+
+
+def similar_keys(vectors: DataFrame, cosine: float, k: int = 5, factor: float = 0.12, route_factor: float = 0.065, shards: int = 16, shard_rows: int = 200_000, sample_rows: int = 20_000, leaf: int = 1536) -> DataFrame:
     """(grp, key, other, cosine): for every vector its up to k most similar others of the group at or above the cosine,
     ties in favour of the smaller key.
 
-    vectors: what usable() returns; it is read again rather than stored. A routing tree fitted on a bounded sample of
-    each group (sample_rows) cuts its space into shards: ``shards``, or as many as hold shard_rows each. Every vector is
-    indexed in its home shard; it is searched there and in each shard within route_factor of the search radius. In a
+    vectors: what usable() returns; it is read again rather than stored. A Router fitted on a bounded sample of each
+    group (sample_rows, or SHARD_SAMPLE a shard, SAMPLE_LIMIT at most) cuts its space into shards: ``shards``, or as many
+    as hold shard_rows each; more shards than SAMPLE_LIMIT can tell apart are an error that asks for larger ones. Every
+    vector is indexed in its home shard; it is searched there and in each shard within route_factor of the search radius. In a
     shard a VantageTree with ``factor`` finds partners, and a query keeps its k best there, ties included. What either
     of two vectors finds counts for both, so that a pair is lost only if both miss it. Both factors 1: exact.
 
@@ -153,23 +175,26 @@ def similar_keys(vectors: DataFrame, cosine: float, k: int = 5, factor: float =
     marks = stored(vectors.select("grp", "key", F.xxhash64("unit").alias("h1"), F.hash("unit").alias("h2")))
     counts = {r["grp"]: r["n"] for r in marks.groupBy("grp").agg(F.count("*").alias("n")).collect()}  # one row for each model
     many = marks.groupBy("grp", "h1", "h2").agg(F.count_distinct("key").alias("n")).where(F.col("n") > k + 1).drop("n")
-    copies = marks.join(many, ["grp", "h1", "h2"], "left_semi").distinct()
-    copies = stored(copies.withColumn("rank", F.row_number().over(Window.partitionBy("grp", "h1", "h2").orderBy("key"))))
-    extra = copies.where(F.col("rank") > k + 1)
-    trees: dict[str, tuple[int, VantageTree | None]] = {}
+    copies = stored(marks.join(many, ["grp", "h1", "h2"], "left_semi").distinct())
+    smallest = F.row_number().over(Window.partitionBy("grp", "h1", "h2").orderBy("key"))
+    heads = stored(copies.withColumn("rank", smallest).where(F.col("rank") <= k + 1))  # each task keeps k + 1 before the shuffle
+    extra = copies.join(heads.select("grp", "key", "h1", "h2"), ["grp", "key", "h1", "h2"], "left_anti")
+    trees: dict[str, tuple[int, Router | None]] = {}
+    slack = math.sqrt(max(0.0, 2 - 2 * cosine)) * route_factor
     first = 0
     for grp, n in sorted(counts.items()):
         wanted = 1 if n <= 2 * leaf else max(shards, -(-n // shard_rows))
         tree = None
         if wanted > 1:
             part = vectors.where(F.col("grp") == grp)
-            some = part.select("unit").sample(min(1.0, 1.2 * sample_rows / n), seed=11).limit(sample_rows).toPandas()["unit"]
-            if len(some) > wanted:
-                tree = VantageTree(np.stack([np.frombuffer(u, np.float32) for u in some]), leaf=math.ceil(len(some) / wanted))
-        trees[grp] = (first, tree.slim() if tree else None)
-        first += tree.leaves() if tree else 1
+            rows = max(sample_rows, SHARD_SAMPLE * wanted)
+            if rows > SAMPLE_LIMIT:
+                raise ValueError(f"{wanted} shards for {n} vectors; give a larger shard_rows")
+            some = part.select("unit").sample(min(1.0, 1.2 * rows / n), seed=11).limit(rows).toPandas()["unit"]
+            tree = Router(np.stack([np.frombuffer(u, np.float32) for u in some]), math.ceil(len(some) / wanted), slack) if len(some) else None
+        trees[grp] = (first, tree)
+        first += tree.leaves if tree else 1
     shared = spark.sparkContext.broadcast(trees)
-    slack = math.sqrt(max(0.0, 2 - 2 * cosine)) * route_factor
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,7 +249,7 @@ def similar_keys(vectors: DataFrame, cosine: float, k: int = 5, factor: float =
     routed = vectors.select("grp", "unit", F.col("key").alias("id")).mapInArrow(route, f"shard int, home boolean, grp string, id {kind}, unit binary")
     found = stored(routed.repartitionById(max(1, first), "shard").mapInArrow(search, f"grp string, p {kind}, q {kind}, cosine double"))
     links = found.union(found.select("grp", F.col("q"), F.col("p"), "cosine")).groupBy("grp", F.col("p").alias("key"), F.col("q").alias("other")).agg(F.max("cosine").alias("cosine"))
-    rest = extra.join(copies.where(F.col("rank") <= k).select("grp", "h1", "h2", F.col("key").alias("other")), ["grp", "h1", "h2"]).select("grp", "key", "other", F.lit(1.0).alias("cosine"))
+    rest = extra.join(heads.where(F.col("rank") <= k).select("grp", "h1", "h2", F.col("key").alias("other")), ["grp", "h1", "h2"]).select("grp", "key", "other", F.lit(1.0).alias("cosine"))
     best = Window.partitionBy("grp", "key").orderBy(F.round("cosine", 9).desc(), "other")
     return links.union(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
 
@@ -244,30 +269,64 @@ def unpacked(units: pa.Array) -> np.ndarray:
     return np.frombuffer(units.buffers()[2], np.float32, (stop - start) // 4, start).reshape(len(units), -1)
 
 
-#: Reference vectors above this number don't go to every worker.
-REFERENCE_LIMIT = 200_000
+#: Bytes of reference vectors that go to every worker at once.
+BLOCK_BYTES = 64 << 20
 
 
-def nearest_reference(vectors: DataFrame, reference: list[tuple[str, np.ndarray]], cosine: float, leaf: int = 1024) -> DataFrame:
+def nearest_reference(vectors: DataFrame, reference: DataFrame, name: str, vec: str, cosine: float, size: int, leaf: int = 1024, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, ref, cosine): for each unit vector the most similar entry of a reference list (smallest name on a tie) if
-    it reaches the cosine. The list, bounded by REFERENCE_LIMIT, is one exact vantage-point tree on every worker."""
-    if len(reference) > REFERENCE_LIMIT:
-        raise ValueError(f"more than {REFERENCE_LIMIT} reference vectors; use similar_pairs on the union instead")
+    it reaches the cosine. Entries that are null, empty, all-zero, not finite or not of ``size`` numbers are left out.
+
+    A block of the list of up to block_bytes is one exact vantage-point tree on every worker; a longer list takes a pass
+    over the vectors for each block, and the best of all blocks counts, so a list of any length gives the same rows."""
+    shipped(vectors.sparkSession)
     kind = vectors.schema["key"].dataType.simpleString()
-    good = sorted((n, np.asarray(v, np.float64)) for n, v in reference if v is not None and len(v) and np.isfinite(v).all() and np.linalg.norm(v) > 0) if reference else []
-    names = np.array([n for n, _ in good], object)
-    matrix = np.stack([(v / np.linalg.norm(v)).astype(np.float32) for _, v in good]) if good else None
+    schema = f"key {kind}, ref string, cosine double"
+    entries = reference.select(F.col(name).cast("string").alias("ref"), F.col(vec).cast("array<double>").alias("vec")).where(F.col("ref").isNotNull() & (F.size("vec") == size))
+    found = None
+    for names, matrix in _blocks(entries, size, block_bytes):
+        part = vectors.select("key", "unit").mapInArrow(_nearest(vectors, names, matrix, cosine, leaf), schema)
+        found = part if found is None else found.union(part)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], schema)
+    return found.groupBy("key").agg(F.min(F.struct((-F.round("cosine", 9)).alias("c"), "ref", "cosine")).alias("m")).select("key", "m.ref", "m.cosine")
+
+
+def _blocks(entries: DataFrame, size: int, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Names and unit vectors of the list in blocks; one block at a time is in the driver."""
+    names, rows = [], []
+
+    def block() -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(np.array(names, object), kind="stable")
+        return np.array(names, object)[order], np.stack(rows)[order]
+
+    for r in entries.toLocalIterator():
+        v = np.array(r["vec"], np.float64)
+        length = np.linalg.norm(v) if np.isfinite(v).all() else 0.0
+        if length > 0:
+            names.append(r["ref"])
+            rows.append((v / length).astype(np.float32))
+        if len(rows) * size * 4 >= block_bytes:
+            yield block()
+            names, rows = [], []
+    if rows:
+        yield block()
+
+
+def _nearest(vectors: DataFrame, names: np.ndarray, matrix: np.ndarray, cosine: float, leaf: int):
+    shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = VantageTree(matrix, leaf=leaf) if matrix is not None else None
+        refs, x_ref = shared.value
+        tree = VantageTree(x_ref, leaf=leaf)
         for batch in batches:
-            if tree is None or not batch.num_rows:
+            if not batch.num_rows:
                 continue
             x = unpacked(batch.column(1))
-            q, b, score = tree.search(x, cosine, 1.0)
-            exact = np.einsum("ij,ij->i", x[q].astype(np.float64), matrix[b].astype(np.float64))
-            hits = pd.DataFrame({"q": q, "ref": names[b] if len(b) else [], "c": exact})
+            q, b, _ = tree.search(x, cosine, 1.0)
+            exact = np.einsum("ij,ij->i", x[q].astype(np.float64), x_ref[b].astype(np.float64))
+            hits = pd.DataFrame({"q": q, "ref": refs[b] if len(b) else [], "c": exact})
             hits = hits[hits.c >= cosine - 1e-7].sort_values(["q", "c", "ref"], ascending=[True, False, True]).drop_duplicates("q")
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hits.q.to_numpy(np.int64))), pa.array(list(hits.ref), pa.string()), pa.array(hits.c.to_numpy(np.float64))], names=["key", "ref", "cosine"])
 
-    return vectors.select("key", "unit").mapInArrow(run, f"key {kind}, ref string, cosine double")
+    return run
