@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import hmac
 import re
 import unicodedata
@@ -13,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stored
+from ..runtime import shipped, stored
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 PLACEHOLDER = {"email": "[email]", "phone": "[phone]", "id_number": "[id]", "address": "[address]", "person": "[name]"}
@@ -26,7 +25,8 @@ BARE_AT = re.compile(r" at (?=[a-z][\w-]*(?:\.[a-z]| dot ))")
 LOCAL = re.compile(r"(?<![\w.+-])\w[\w.+-]*$")
 DOMAIN = re.compile(rf"[a-z][\w-]*(?:{_DOT}[a-z][\w-]+)+")
 
-_DIGIT_WORD = r"(?:zero|one|two|three|four|five|six|seven|eight|nine)"
+DIGIT_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+_DIGIT_WORD = rf"(?:{'|'.join(DIGIT_WORDS)})"
 PHONES = (
     ("+", re.compile(r"\+\d[\d /().\-]{6,22}\d(?: ?ext\.? ?\d{1,5})?")),
     ("(", re.compile(r"\((?!(?:19|20)\d\d\))0?\d{2,4}\)[ \-/.]?\d{3,4}[ \-/.]?\d{3,5}(?!\d)")),
@@ -211,7 +211,20 @@ def detect_clean(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int,
 GIVEN_STEMS = ("Al", "Bel", "Cor", "Dal", "El", "Fen", "Gil", "Hal", "Jor", "Kel", "Lor", "Mar", "Nel", "Or", "Per", "Quin", "Ros", "Sel", "Tor", "Var")
 MALE, FEMALE = ("an", "en", "in", "or", "us", "ek"), ("a", "ia", "ina", "ela", "ora", "issa")
 FAMILY = (("Ash", "Brand", "Cald", "Dun", "Ester", "Fal", "Gran", "Hol", "Iver", "Kest", "Lang", "Morn", "Nor", "Oster", "Pell", "Rav", "Stan", "Thorn", "Ul", "Wen"), ("ber", "den", "ford", "gard", "holt", "lund", "mark", "ner", "rick", "sen", "strom", "tell", "vik", "wald", "wick", "yard"))
-CYRILLIC = str.maketrans({"a": "а", "b": "б", "c": "к", "d": "д", "e": "е", "f": "ф", "g": "г", "h": "х", "i": "и", "j": "й", "k": "к", "l": "л", "m": "м", "n": "н", "o": "о", "p": "п", "q": "к", "r": "р", "s": "с", "t": "т", "u": "у", "v": "в", "w": "в", "x": "к", "y": "ы", "z": "з"})
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+CYRILLIC = str.maketrans(LATIN, "абкдефгхийклмнопкрстуввкыз")
+GREEK = str.maketrans(LATIN, "αβκδεφγχιικλμνοπκρστυβωξυζ")
+#: Words of an address that tell nothing about where it is.
+ADDRESS_WORDS = frozenset(
+    """street road lane close crescent avenue way terrace court drive place square gardens row walk mews hill grove green park rise rue calle avenida boulevard
+    via viale plaza paseo chemin allée carrer quai impasse flat apt apartment unit wohnung piso appartement c o de la le les du des del der die das den dem an am
+    im in of the at""".split()
+)
+ADDRESS_TAIL = re.compile(r"(?:stra(?:ss|ß)e|weg|kamp|gasse|platz|allee|damm|ring|ufer|steig|chaussee|laan|straat|gatan|vägen)$")
+WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+ADDRESSED = ("dr", "prof", "mr", "mrs", "ms", "herr", "frau")
+#: Draws after which surrogates get longer, so that there is always a free one.
+LENGTHEN, LENGTHEN_DIGITS = 50, 1000
 
 
 def identity(kind: str, value: str) -> str:
@@ -219,7 +232,8 @@ def identity(kind: str, value: str) -> str:
     order, the address of an email in any spelling."""
     low = unicodedata.normalize("NFKC", value).lower()
     if kind == "phone":
-        return "".join(c for c in low.partition("ext")[0] if c.isdigit())
+        spelt = re.sub(_DIGIT_WORD, lambda m: str(DIGIT_WORDS.index(m.group())), low.partition("ext")[0])
+        return "".join(c for c in spelt if c.isdigit())
     if kind == "person":
         return " ".join(sorted(name_parts(low)))
     if kind == "email":
@@ -228,9 +242,25 @@ def identity(kind: str, value: str) -> str:
     return "".join(c for c in low if c.isalnum())
 
 
+def cased(made: str, like: str) -> str:
+    return made.upper() if like.isupper() and len(like) > 1 else made.lower() if like.islower() else made
+
+
+def in_script(c: str, number: int) -> str:
+    """A letter of the script and case of ``c``."""
+    if "LATIN" in unicodedata.name(c, ""):
+        new = LATIN[number % 26]
+        return new.upper() if c.isupper() else new
+    first = ord(c) & ~0x1F
+    kind = unicodedata.category(c)
+    near = [x for x in map(chr, range(first, first + 32)) if unicodedata.category(x) == kind]
+    return near[number % len(near)]
+
+
 class Surrogates:
     """Keyed replacements within one record: a detail gets the same one wherever it is mentioned, two details never the
-    same (a taken one is drawn again), and format, case, script and gender of the original stay."""
+    same (a taken one is drawn again, after LENGTHEN draws a longer one), and format, case, script and gender of the
+    original stay. Of an address the kinds of street stay, the names of street and town and all numbers go."""
 
     def __init__(self, key: bytes, scope: str = ""):
         self.key, self.scope, self.given, self.taken = key, scope, {}, {}
@@ -238,7 +268,7 @@ class Surrogates:
     def _stream(self, kind: str, ident: str, turn: int) -> Iterator[int]:
         block = 0
         while True:
-            yield from hmac.new(self.key, f"{self.scope}\x1f{kind}\x1f{ident}\x1f{turn}\x1f{block}".encode(), hashlib.sha256).digest()
+            yield from hmac.digest(self.key, f"{self.scope}\x1f{kind}\x1f{ident}\x1f{turn}\x1f{block}".encode(), "sha256")
             block += 1
 
     def of(self, kind: str, value: str) -> str:
@@ -247,138 +277,204 @@ class Surrogates:
         while True:
             made = self._make(kind, value, ident, turn)
             mark = (kind, identity(kind, made))
-            owner = self.taken.setdefault(mark, ident)
-            if owner == ident and mark[1] != ident or turn > 50:
+            if mark[1] != ident and self.taken.setdefault(mark, ident) == ident:
                 self.given[kind, ident] = turn
                 return made
             turn += 1
 
-    def part(self, word: str, family: bool, turn: int) -> str:
-        """A name part drawn by the part itself, so that 'Ann Lee' and 'A. Lee' keep one family name."""
-        draw = self._stream("part", f"{word.lower()}{family}", turn)
-        if family:
-            made = FAMILY[0][next(draw) % len(FAMILY[0])] + FAMILY[1][next(draw) % len(FAMILY[1])]
-        else:
-            made = GIVEN_STEMS[next(draw) % len(GIVEN_STEMS)] + (FEMALE if word.lower().endswith(("a", "e", "ine", "а", "я")) else MALE)[next(draw) % 6]
-        if any("Ѐ" <= c <= "ӿ" for c in word):
-            made = made.lower().translate(CYRILLIC).capitalize()
-        return made.upper() if word.isupper() and len(word) > 1 else made.lower() if word.islower() else made
+    def _made_up(self, word: str, role: str, turn: int) -> str:
+        """A word drawn by the word itself, so that 'Ann Lee' and 'A. Lee' keep one family name; never the word itself.
+        Scripts that names can't be spelt in get letters of their own."""
+        low = word.lower()
+        for again in range(256):
+            draw = self._stream("part", f"{low}{role}{again or ''}", turn)
+            if not ("LATIN" in (script := unicodedata.name(word[0], "")) or "CYRILLIC" in script or "GREEK" in script):
+                made = "".join(in_script(c, next(draw)) if c.isalpha() else c for c in word)
+                made += "".join(in_script(word[0], next(draw)) for _ in range(turn // LENGTHEN))
+            else:
+                if role == "given":
+                    made = GIVEN_STEMS[next(draw) % len(GIVEN_STEMS)] + (FEMALE if low.endswith(("a", "e", "ine", "а", "я", "η", "α")) else MALE)[next(draw) % 6]
+                else:
+                    made = FAMILY[0][next(draw) % len(FAMILY[0])] + FAMILY[1][next(draw) % len(FAMILY[1])]
+                made += "".join(FAMILY[1][next(draw) % len(FAMILY[1])] for _ in range(turn // LENGTHEN))
+                if "CYRILLIC" in script or "GREEK" in script:
+                    made = made.lower().translate(CYRILLIC if "CYRILLIC" in script else GREEK).capitalize()
+            if made.lower() != low:
+                break
+        return cased(made, word)
 
     def _make(self, kind: str, value: str, ident: str, turn: int) -> str:
-        draw = self._stream(kind, ident, turn)
         if kind == "person":
-            words = list(re.finditer(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", value))
-            full = [m for m in words if len(m.group()) > 1 and m.group().lower() not in ("dr", "prof", "mr", "mrs", "ms", "herr", "frau")]
-            family = full[0] if "," in value and full else full[-1] if full else None
-            out, at = [], 0
-            for m in words:
-                w = m.group()
-                if m in full:
-                    new = self.part(w, m is family, turn)
-                else:
-                    new = w if len(w) > 1 else GIVEN_STEMS[next(self._stream("part", w.lower(), turn)) % 20][0]
-                out += [value[at : m.start()], new]
-                at = m.end()
-            return "".join([*out, value[at:]])
+            return self._name(value, turn)
+        if kind == "address":
+            return self._address(value, ident, turn)
+        draw = self._stream(kind, ident, turn)
+        marks = {i for m in EMAIL_MARKS.finditer(value) for i in range(*m.span())} if kind == "email" else ()
         out = []
         for i, c in enumerate(value):
-            rest = value[i + 1 : i + 2]
             if c.isdigit():
                 keep = kind == "phone" and value[:1] == "+" and i < 3  # the country stays
                 out.append(c if keep else str(next(draw) % 10))
-            elif c.isalpha() and kind in ("email", "id_number") and not _is_mark(value, i):
-                new = chr(97 + next(draw) % 26)
-                out.append(new.upper() if c.isupper() else new)
-            elif c.isalpha() and kind == "address" and c.isupper() and rest.islower():
-                out.append(chr(65 + next(draw) % 26))
+            elif c.isalpha() and kind == "phone":
+                out.append(c)
+            elif c.isalpha() and i not in marks:
+                out.append(in_script(c, next(draw)))
             else:
                 out.append(c)
-        return "".join(out)
+        if kind == "phone" and not any(c.isdigit() for c in value):  # written in words
+            out = [DIGIT_WORDS[next(draw) % 10] if w in DIGIT_WORDS else w for w in re.split(r"([^\W\d_]+)", value.lower())]
+        more = turn // (LENGTHEN if kind == "email" else LENGTHEN_DIGITS)
+        extra = "".join(LATIN[next(draw) % 26] if kind == "email" else str(next(draw) % 10) for _ in range(more))
+        return extra + "".join(out) if kind == "email" else "".join(out) + extra
+
+    def _name(self, value: str, turn: int) -> str:
+        words = list(WORDS.finditer(value))
+        full = [m for m in words if len(m.group()) > 1 and m.group().lower() not in ADDRESSED]
+        if not full:
+            full = [m for m in words if m.group().lower() not in ADDRESSED]  # names of one sign
+        family = full[0] if "," in value and full else full[-1] if full else None
+        out, at = [], 0
+        for m in words:
+            w = m.group()
+            if m in full:
+                new = self._made_up(w, "family" if m is family else "given", turn)
+            else:
+                new = w if len(w) > 1 else in_script(w, next(self._stream("part", w.lower(), turn)))
+            out += [value[at : m.start()], new]
+            at = m.end()
+        return "".join([*out, value[at:]])
+
+    def _address(self, value: str, ident: str, turn: int) -> str:
+        draw = self._stream("address", ident, turn)
+        out, at = [], 0
+        for m in ADDRESS_PART.finditer(value):
+            w = m.group()
+            low = w.lower()
+            beside = value[max(0, m.start() - 1) : m.start()] + value[m.end() : m.end() + 1]
+            if w.isdigit():
+                new = str(next(draw) % 9 + 1) + "".join(str(next(draw) % 10) for _ in w[1:])
+            elif low in ADDRESS_WORDS:
+                new = w
+            elif len(w) == 1 or any(c.isdigit() for c in beside):  # of a post code or a house number
+                new = "".join(in_script(c, next(draw)) if c.isalpha() else c for c in w)
+            elif (end := ADDRESS_TAIL.search(low)) and end.start():
+                new = cased(self._made_up(w[: end.start()], "place", turn) + w[end.start() :].lower(), w)
+            else:
+                new = self._made_up(w, "place", turn)
+            out += [value[at : m.start()], new]
+            at = m.end()
+        return "".join([*out, value[at:]])
 
 
-def _is_mark(value: str, i: int) -> bool:
-    """A letter of 'at', 'dot' or of the ending of a domain, which stay readable."""
-    for m in re.finditer(r"(?<![\w])(?:at|AT|dot|DOT)(?![\w])|[A-Za-z]+$", value):
-        if m.start() <= i < m.end():
-            return True
-    return False
+ADDRESS_PART = re.compile(r"\d+|[^\W\d_]+(?:['’-][^\W\d_]+)*")
+#: 'at', 'dot' and the ending of a domain, which stay readable.
+EMAIL_MARKS = re.compile(r"(?<!\w)(?:at|AT|dot|DOT)(?!\w)|[A-Za-z]+$")
 
 
 # Operators
 
+SPANS = "array<struct<a:int,b:int,line:bigint,kind:string,value:string,parts:array<string>>>"
+
 
 def _scan(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys..., line, kind, parts): the details of each text by line; kind '' marks a possible name."""
-    kept = texts.select(*keys, F.col(text).alias("__text")).where(F.length("__text") > 0)
+    """(keys..., mark, spans): the details of each text that has some; kind '' marks a possible name. mark tells texts of
+    one record apart. A possible name that an email of the same text spells is a name."""
+    shipped(texts.sparkSession)
+    kept = texts.select(*keys, F.xxhash64(text).alias("mark"), F.col(text).alias("__text")).where(F.length("__text") > 0)
     kinds = ", ".join(f"`{k}` {kept.schema[k].dataType.simpleString()}" for k in keys)
+    n = len(keys)
+    inner = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("line", pa.int64()), ("kind", pa.string()), ("value", pa.string()), ("parts", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, line, kind, parts = [], [], [], []
-            for i, value in enumerate(batch.column(len(keys))):
+            owner, spans = [], []
+            for i, value in enumerate(batch.column(n + 1)):
                 t = value.as_py()
                 certain, possible = detect(t)
+                if not certain and not possible:
+                    continue
+                mailed = {p for a, b, k in certain if k == "email" for p in name_parts(t[a:b].partition("@")[0].replace("_", " "))} if possible else ()
+                rows = []
                 for a, b, k in (*certain, *((a, b, "") for a, b in possible)):
-                    owner.append(i)
-                    line.append(t.count("\n", 0, a) + 1)
-                    kind.append(k)
-                    parts.append(name_parts(t[a:b]) if k in ("person", "") else [])
+                    parts = name_parts(t[a:b]) if k in ("person", "") else []
+                    sure = "person" if not k and len(parts) > 1 and all(p in mailed for p in parts) else k
+                    rows.append({"a": a, "b": b, "line": t.count("\n", 0, a) + 1, "kind": sure, "value": t[a:b], "parts": parts})
+                owner.append(i)
+                spans.append(rows)
             take = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(len(keys))), pa.array(line, pa.int64()), pa.array(kind, pa.string()), pa.array(parts, pa.list_(pa.string()))], names=[*keys, "line", "kind", "parts"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(n + 1)), pa.array(spans, pa.list_(inner))], names=[*keys, "mark", "spans"])
+
+    return kept.mapInArrow(run, f"{kinds}, mark bigint, spans {SPANS}")
 
-    return kept.mapInArrow(run, f"{kinds}, line bigint, kind string, parts array<string>")
 
+def _known(seen: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """(part): parts of names. Counted are the records that announce a name with the part, and those that have it where a
+    name may be; a part of names is announced in ``share`` of both together at least."""
+    each = seen.select(*keys, F.explode("spans").alias("s")).select(*keys, (F.col("s.kind") == "person").alias("said"), F.explode("s.parts").alias("part")).distinct()
+    return each.groupBy("part").agg((F.count_if("said") / F.count("*")).alias("rate")).where(F.col("rate") >= share).select("part")
 
-def found_lines(texts: DataFrame, keys: list[str], text: str, least: int = 5) -> DataFrame:
-    """(keys..., line, kind): one row for each line of a text and each kind of detail in it; line counts from 1 at line
-    feeds.
 
-    Forms, phrases and formats decide; a line that is or begins with what looks like a name counts if each part of it is
-    part of names announced in ``least`` records at least. Those parts are counted over all records and joined, so no
-    list of names is fetched. Null and empty texts have no rows; repeated rows count once; placeholders are no details.
+def replaced(texts: DataFrame, keys: list[str], text: str, surrogate_key: bytes, share: float = 0.2) -> DataFrame:
+    """(keys..., mark, spans): for each text with details their places, kinds and keyed surrogates; spans holds
+    (a, b, line, kind, value, surrogate) in order. mark is xxhash64 of the text.
+
+    Forms, phrases and formats find details; a line that is or begins with what looks like a name counts if each part of
+    it is a part of names: of all records that have the part where a name may stand, ``share`` at least announce it as
+    one. That is a rate, so it means the same in small and in large tables. The parts are counted over all records and
+    joined, so no list of names is fetched. Null and empty texts have no rows, repeated rows count once.
     """
-    seen = stored(_scan(texts, keys, text))
-    return _decided(seen, keys, least).select(*keys, "line", "kind").distinct()
+    seen = stored(_scan(texts, keys, text).dropDuplicates([*keys, "mark"]))
+    open_ = seen.select(*keys, "mark", F.explode("spans").alias("s")).where("s.kind = '' and size(s.parts) > 0").select(*keys, "mark", "s.a", F.array_distinct("s.parts").alias("parts"))
+    hits = open_.select(*keys, "mark", "a", F.size("parts").alias("n"), F.explode("parts").alias("part")).join(_known(seen, keys, share), "part")
+    named = hits.groupBy(*keys, "mark", "a", "n").count().where("count = n").groupBy(*keys, "mark").agg(F.collect_list("a").alias("named"))  # places in one text
+    rows = seen.join(named, [*keys, "mark"], "left").select(*keys, "mark", "spans", "named")
+    n = len(keys)
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    inner = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("line", pa.int64()), ("kind", pa.string()), ("value", pa.string()), ("surrogate", pa.string())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            ids = list(zip(*(batch.column(k).to_pylist() for k in range(n)), strict=True))
+            for ident, spans, named_ in zip(ids, batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist(), strict=True):
+                own, there = Surrogates(surrogate_key, "\x1f".join(map(str, ident))), set(named_ or ())
+                kept = sorted((s["a"], s["b"], s["line"], s["kind"] or "person", s["value"]) for s in spans if s["kind"] or s["a"] in there)
+                out.append([{"a": a, "b": b, "line": line, "kind": kind, "value": value, "surrogate": own.of(kind, value)} for a, b, line, kind, value in kept])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n + 1)), pa.array(out, pa.list_(inner))], names=[*keys, "mark", "spans"])
+
+    return rows.mapInArrow(run, f"{kinds}, mark bigint, spans array<struct<a:int,b:int,line:bigint,kind:string,value:string,surrogate:string>>")
 
-def _decided(seen: DataFrame, keys: list[str], least: int) -> DataFrame:
-    known = seen.where("kind = 'person'").select(*keys, F.explode("parts").alias("part")).distinct().groupBy("part").count().where(F.col("count") >= least).select("part")
-    open_ = seen.where("kind = '' and size(parts) > 0").select(*keys, "line", F.array_distinct("parts").alias("parts")).distinct()
-    named = open_.select(*keys, "line", F.size("parts").alias("n"), F.explode("parts").alias("part")).join(known, "part").groupBy(*keys, "line", "n").count().where("count = n")
-    return seen.where("kind <> ''").select(*keys, "line", "kind").union(named.select(*keys, "line", F.lit("person").alias("kind")))
 
+def found_lines(texts: DataFrame, keys: list[str], text: str, surrogate_key: bytes = b"example", share: float = 0.2) -> DataFrame:
+    """(keys..., line, kind): one row for each line of a text and each kind of detail in it that gets a surrogate; line
+    counts from 1 at line feeds. Placeholders are no details. Nulls, empty texts and repeats as in replaced."""
+    spans = replaced(texts, keys, text, surrogate_key, share).select(*keys, F.explode("spans").alias("s"))
+    return spans.where("s.surrogate <> s.value").select(*keys, "s.line", "s.kind").distinct()
 
-def masked(texts: DataFrame, keys: list[str], text: str, least: int = 5, surrogate_key: bytes | None = None) -> DataFrame:
+
+def masked(texts: DataFrame, keys: list[str], text: str, share: float = 0.2, surrogate_key: bytes | None = None) -> DataFrame:
     """(keys..., text, details): the texts with each detail replaced by its typed placeholder or, with a key, by a
     surrogate that is the same for all mentions in a record; details counts the replacements.
 
     Everything else stays as it is, byte for byte. Null texts stay null, empty ones empty, repeated rows give one row.
     """
-    seen = stored(_scan(texts, keys, text))
-    names = _decided(seen, keys, least).where("kind = 'person'").groupBy(*keys).agg(F.collect_set("line").alias("__lines"))
-    rows = texts.select(*keys, F.col(text).alias("__text")).distinct().join(names, keys, "left").select(*keys, "__text", "__lines")
+    spans = replaced(texts, keys, text, surrogate_key or b"example", share)
+    rows = texts.select(*keys, F.col(text).alias("__text"), F.xxhash64(text).alias("mark")).distinct()
+    same = [rows[k].eqNullSafe(spans[k]) for k in (*keys, "mark")]
+    rows = rows.join(spans, same, "left").select(*(rows[k] for k in keys), "__text", "spans")
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, count = [], []
-            for i in range(batch.num_rows):
-                t = batch.column(n)[i].as_py()
-                if not t:
-                    out.append(t)
-                    count.append(0)
-                    continue
-                certain, possible = detect(t)
-                lines = set(batch.column(n + 1)[i].as_py() or ())
-                spans = sorted([*certain, *((a, b, "person") for a, b in possible if t.count("\n", 0, a) + 1 in lines)])
-                own = Surrogates(surrogate_key, "\x1f".join(str(batch.column(k)[i].as_py()) for k in range(n))) if surrogate_key else None
+            for t, spans_ in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
                 made, at = [], 0
-                for a, b, k in spans:
-                    made += [t[at:a], own.of(k, t[a:b]) if own else PLACEHOLDER[k]]
-                    at = b
-                out.append("".join([*made, t[at:]]))
-                count.append(len(spans))
+                for s in spans_ or ():
+                    made += [t[at : s["a"]], s["surrogate"] if surrogate_key else PLACEHOLDER[s["kind"]]]
+                    at = s["b"]
+                out.append("".join([*made, t[at:]]) if made else t)
+                count.append(len(spans_ or ()))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), pa.array(out, pa.string()), pa.array(count, pa.int64())], names=[*keys, "text", "details"])
 
     return rows.mapInArrow(run, f"{kinds}, text string, details bigint")
