@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stored
+from ..runtime import shipped, stored
 
 #: Function words of the four languages, each its own class in the sequences.
 FUNCTION_WORDS = {
@@ -28,9 +27,8 @@ CODE = {c: i for i, c in enumerate((*OTHERS, *sorted(WORDS)))}
 NAMES = tuple(CODE)
 NEWLINE = 255
 TOKEN = re.compile(
-    r"(\n)|(<a\b[^>\n]*>|</a>|\[[^\]\n]*\]\([^)\n]*\)|(?:https?://|www\.)\S+)|(<[^>\n]{1,200}>|&\w{1,8};)|([#@]\w+)|(\d[\d.,:/]*)|(\w+(?:[-'’.+#]\w+)*[+#]*)|([.!?…](?=\s|$))|([|>»·•/\\<=~]|\((?:more|mehr|plus|más)\))|([,–—])|(\*\*|__|`)|([^\w\s])"
+    r"((?!https?://|www\.)[^\W\d]\w*(?:[-'’.+#]\w+)*[+#]*)|(\n)|(<a\b[^>\n]*>|</a>|\[[^\]\n]*\]\([^)\n]*\)|(?:https?://|www\.)\S+)|(<[^>\n]{1,200}>|&\w{1,8};)|([#@]\w+)|(\d[\d.,:/]*)|([.!?…](?=\s|$))|([|>»·•/\\<=~]|\((?:more|mehr|plus|más)\))|([,–—])|(\*\*|`)|([^\w\s])"
 )
-ORDER = 3
 FUNCTION = np.zeros(256, bool)
 FUNCTION[[CODE[w] for w in WORDS]] = True
 REPEAT = np.zeros(256, bool)
@@ -39,35 +37,47 @@ LISTED = np.zeros(256, bool)
 LISTED[[CODE[c] for c in ("link", "linkr", "hash", "hashr", "bar", "Wr", "wr", "tag")]] = True
 
 
-def encoded(text: str) -> bytes:
+class Spelling(dict):
+    """word -> (lower-cased, class, whether it is a content word); worked out once for each word that a worker meets."""
+
+    LIMIT = 1_000_000
+
+    def __missing__(self, word: str) -> tuple[str, int, bool]:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        low = word.lower()
+        content = low not in WORDS
+        found = self[word] = (low, (CODE["w"] if word == low else CODE["W"]) if content else CODE[low], content)
+        return found
+
+
+def encoded(text: str, spelling: Spelling | None = None) -> bytes:
     """Classes of the tokens of a text, NEWLINE between lines. A content word that follows the same word as earlier in
     the page, a repeated tag and a repeated link have classes of their own."""
+    spelling = Spelling() if spelling is None else spelling
     out = bytearray()
+    add = out.append
     seen: set = set()
     last = ""
-    plain = (0, NEWLINE, CODE["link"], CODE["tag"], CODE["hash"], CODE["number"], 0, CODE["end"], CODE["bar"], CODE["comma"], 0, CODE["mark"])
-    upper, lower = CODE["W"], CODE["w"]
+    plain = (0, 0, NEWLINE, CODE["link"], CODE["tag"], CODE["hash"], CODE["number"], CODE["end"], CODE["bar"], CODE["comma"], 0, CODE["mark"])
     for m in TOKEN.finditer(text):
         i = m.lastindex
-        if i == 6:
-            word = m.group()
-            low = word.lower()
-            code = CODE.get(low)
-            if code is None or low in OTHERS:
-                code = lower if word == low else upper
+        if i == 1:
+            low, code, content = spelling[m.group()]
+            if content:
                 pair = (last, low)
                 if pair in seen:
                     code += 1
                 else:
                     seen.add(pair)
             last = low
-            out.append(code)
-        elif i == 2 or i == 4:
+            add(code)
+        elif i == 3 or i == 5:
             low = m.group().lower()
-            out.append(plain[i] + (low in seen))
+            add(plain[i] + (low in seen))
             seen.add(low)
         elif i != 10:  # marks of emphasis say nothing
-            out.append(plain[i])
+            add(plain[i])
     return bytes(out)
 
 
@@ -101,48 +111,37 @@ class Page:
 
 
 class ProseModel:
-    """A trigram model of word classes with Witten-Bell smoothing; its size depends on the classes, not on the data."""
-
-    def __init__(self, counts: dict[int, int]):
-        self.full = [Counter(), Counter(), Counter()]
-        for g, n in counts.items():
-            self.full[0][g & 0xFF] += n
-            self.full[1][g & 0xFFFF] += n
-            self.full[2][g] += n
-        self.total, self.kinds = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
-        for order in range(ORDER):
-            for g, n in self.full[order].items():
-                self.total[order][g >> 8] += n
-                self.kinds[order][g >> 8] += 1
-        self.known: dict[int, float] = {}
-        self.seen = np.array(sorted(counts), np.int64)
-        self.seen_bits = np.array([self.surprise(g) for g in self.seen.tolist()])
-        rows = sum(counts.values())
+    """A trigram model of word classes with Witten-Bell smoothing, in arrays: the counts of the trigrams seen and, of each
+    context of one or two classes, its rows and kinds. Its size depends on the classes, not on the data."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        order = np.argsort(grams)
+        self.grams, self.counts = grams[order].astype(np.int64), counts[order].astype(np.float64)
+        one = np.bincount(self.grams & 0xFF, self.counts, 256)
+        two = np.bincount(self.grams & 0xFFFF, self.counts, 1 << 16)
+        kinds = np.count_nonzero(one)
+        rows = one.sum()
+        single = (one + kinds / 256) / (rows + kinds) if rows else np.full(256, 1 / 256)
+        rows_2, kinds_2 = two.reshape(256, 256).sum(axis=1), np.count_nonzero(two.reshape(256, 256), axis=1)
+        with np.errstate(invalid="ignore"):
+            pair = (two.reshape(256, 256) + kinds_2[:, None] * single) / (rows_2 + kinds_2)[:, None]
+        self.pair = np.where(rows_2[:, None] > 0, pair, single[None]).reshape(-1)
+        self.rows, self.kinds = np.bincount(self.grams >> 8, self.counts, 1 << 16), np.bincount(self.grams >> 8, minlength=1 << 16)
         #: bits of a class in the prose it was trained on
-        self.usual = sum(self.surprise(g) * n for g, n in counts.items()) / rows if rows else 0.0
-
-    def surprise(self, gram: int) -> float:
-        """Bits of the last class after the two before."""
-        found = self.known.get(gram)
-        if found is None:
-            p = 1 / 256
-            for order, g in enumerate((gram & 0xFF, gram & 0xFFFF, gram)):
-                total = self.total[order].get(g >> 8, 0)
-                if total:
-                    kinds = self.kinds[order][g >> 8]
-                    p = (self.full[order].get(g, 0) + kinds * p) / (total + kinds)
-            found = self.known[gram] = -math.log2(p)
-        return found
+        self.usual = float((self.surprise(self.grams) * self.counts).sum() / rows) if rows else 0.0
+
+    def surprise(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last class of each trigram after the two before."""
+        seen = np.zeros(len(grams))
+        if len(self.grams):
+            at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+            seen = np.where(self.grams[at] == grams, self.counts[at], 0.0)
+        rows, kinds, pair = self.rows[grams >> 8], self.kinds[grams >> 8], self.pair[grams & 0xFFFF]
+        return -np.log2(np.where(rows > 0, (seen + kinds * pair) / np.maximum(rows + kinds, 1), pair))
 
     def bits(self, page: Page) -> np.ndarray:
         """Mean bits of each line: the logarithm of its perplexity."""
-        if not len(self.seen):
-            return np.array([sum(map(self.surprise, page.grams[page.of == i].tolist())) / (n + 1) for i, n in enumerate(page.size)])
-        at = np.minimum(np.searchsorted(self.seen, page.grams), len(self.seen) - 1)
-        each = self.seen_bits[at]
-        new = np.flatnonzero(self.seen[at] != page.grams)
-        each[new] = [self.surprise(g) for g in page.grams[new].tolist()]
-        return np.bincount(page.of, each, len(page.size)) / (page.size + 1)
+        return np.bincount(page.of, self.surprise(page.grams), len(page.size)) / (page.size + 1)
 
 
 STRUCTURE = re.compile(r"\s*(?:#{1,6}\s|\*[^*\n]+\*\s*$)")
@@ -153,12 +152,15 @@ def encode(docs: DataFrame, key: str, text: str) -> DataFrame:
     line, negative for headings and emphasised lines."""
     kind = docs.schema[key].dataType.simpleString()
 
+    shipped(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelling = Spelling()
         for batch in batches:
             codes, lengths = [], []
             for value in batch.column(1):
                 t = value.as_py()
-                codes.append(encoded(t))
+                codes.append(encoded(t, spelling))
                 lengths.append([-len(x) if STRUCTURE.match(x) else len(x) for x in t.split("\n")])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), pa.array(lengths, pa.list_(pa.int32()))], names=["key", "codes", "lengths"])
 
@@ -179,7 +181,8 @@ def trained(pages: DataFrame) -> ProseModel:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
 
     sums = pages.select("codes").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    return ProseModel({r["gram"]: r["n"] for r in sums.collect()})  # bounded by the number of classes, not by the pages
+    frame = sums.toPandas()  # two numbers for each trigram of the 177 classes, 90 MB at most, whatever the pages
+    return ProseModel(frame["gram"].to_numpy(np.int64), frame["n"].to_numpy(np.int64))
 
 
 def stuffed_pages(docs: DataFrame, key: str, text: str, share: float = 0.5, high: float = 2.8, low: float = 1.4, function: float = 0.12, repeats: float = 0.25) -> DataFrame:
