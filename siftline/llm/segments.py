@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import shipped
+
 CHARS = 4
 #: How much a boundary counts, beside the depth of its cohesion valley: heading, entry, line, sentence, word, none.
 STRENGTH = (1.0, 0.8, 0.5, 0.25, 0.0, 0.0)
@@ -150,6 +152,7 @@ def pieces(rows: DataFrame, keys: list[str], text: str, limit: int = 350, overla
     Texts within the limit are left out by a filter that runs before any Python. Null texts give no rows; repeated rows
     count once; ties between boundaries go to the later one.
     """
+    shipped(rows.sparkSession)
     bar = over if over is not None else limit
     kept = rows.select(*keys, F.col(text).alias("__text")).where(F.length("__text") >= (bar + 1) * CHARS).dropDuplicates()
     kinds = ", ".join(f"`{k}` {kept.schema[k].dataType.simpleString()}" for k in keys)
