@@ -122,9 +122,26 @@ def test_similar_keys_equal_brute_force(spark):
 def test_nearest_reference(spark):
     df = spark.createDataFrame([("m", "a", [1.0, 0.1]), ("m", "b", [-1.0, 0.0]), ("m", "a", [1.0, 0.1])], "grp string, id string, v array<float>")
     u = similar.usable(df, "grp", "id", "v")
-    ref = [("x", np.array([1.0, 0.0])), ("w", np.array([1.0, 0.0])), ("y", np.array([0.0, 1.0])), ("null", None)]
-    assert {(r["key"], r["ref"]) for r in similar.nearest_reference(u, ref, 0.8).collect()} == {("a", "w")}
-    assert similar.nearest_reference(u, [], 0.8).count() == 0
+    ref = spark.createDataFrame([("x", [2.0, 0.0]), ("w", [1.0, 0.0]), ("y", [0.0, 1.0]), ("null", None), ("zero", [0.0, 0.0]), ("long", [1.0, 0.0, 0.0])], "key string, vec array<double>")
+    for size in (1, 1 << 20):  # one entry in a block, all in one
+        assert {(r["key"], r["ref"]) for r in similar.nearest_reference(u, ref, "key", "vec", 0.8, 2, block_bytes=size).collect()} == {("a", "w")}
+    assert similar.nearest_reference(u, ref.limit(0), "key", "vec", 0.8, 2).count() == 0
+
+
+def test_router_copies_and_recall():
+    g = np.random.default_rng(4)
+    x = g.normal(size=(12_000, 48))
+    x[6000:] = x[:6000] + 0.2 * g.normal(size=(6000, 48))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    router = similar.Router(x[:4000], 30, 0.02)
+    home = np.empty(len(x), int)
+    for s, rows in enumerate(router.route(x, 0.0)):
+        home[rows] = s
+    near = [set(rows.tolist()) for rows in router.route(x, math.sqrt(0.2))]  # the whole radius: exact
+    true = [(i, j) for i, j in zip(*np.nonzero(x[:500] @ x.T >= 0.9)) if i != j]
+    assert len(true) > 100 and all(i in near[home[j]] for i, j in true)
+    assert router.leaves == len(near) > 100 and len(np.unique(home)) > 100
+    assert similar.Router(np.ones((50, 4), np.float32), 5, 0.1).leaves == 1
 
 
 # canonical names
@@ -211,6 +228,7 @@ def test_masked_keeps_the_rest(spark):
     assert lines[5] == "Identification: SSN [id]" and lines[6] == "Referee: [name] ([email])" and lines[7] == "Address: [address]"
     assert lines[8:] == TEXT.split("\n")[8:] and got[0]["details"] == 8
     again = {r["no"]: r["text"] for r in personal.masked(df, ["no"], "t", surrogate_key=b"k").collect()}
+    assert again[7] is None and again[8] == "" and not re.search("millpond|pellham|drosk|990-83", again[0].lower())
     s = again[0].split("\n")
     first, last = re.match(r"# (\w+) (\w+)$", s[0]).groups()
     assert s[3] == f"Signed, {last.upper()}, {first}" and "Wexcombe" not in again[0]
@@ -223,6 +241,27 @@ def test_surrogates_are_distinct():
     made = [s.of("phone", v) for v in values]
     assert len(set(made)) == 300 and made == [s.of("phone", v) for v in values]
     assert s.of("person", "Anna Lee").split()[-1] == s.of("person", "A. Lee").split()[-1]
+    for kind, values in {"id_number": range(3000), "person": [f"A{chr(97 + i % 26)}{chr(97 + i // 26)} B" for i in range(600)], "phone": [f"0 {i}" for i in range(200)], "email": [f"{c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz"]}.items():
+        s = personal.Surrogates(b"key", kind)  # more details than there are surrogates of the format: they get longer
+        made = [s.of(kind, str(v)) for v in values]
+        assert len({personal.identity(kind, m) for m in made}) == len(made)
+        assert all(personal.identity(kind, m) != personal.identity(kind, str(v)) for m, v in zip(made, values))
+
+
+@pytest.mark.parametrize("value, keeps, gone", [("8 Millpond Close, Pellham", "close", ("millpond", "pellham")), ("8 millpond close, pellham", "close", ("millpond", "pellham")), ("FLAT 3, 22 KING STREET, LONDON SW1A 2AA", "street", ("king", "london", "sw1a")), ("Lindenstraße 14, 04109 Leipzig", "straße", ("linden", "leipzig", "04109")), ("12 rue de la Gare, Lyon", "rue de la", ("gare", "lyon"))])
+def test_surrogate_addresses_hide_street_and_town(value, keeps, gone):
+    made = personal.Surrogates(b"key", "r").of("address", value)
+    assert keeps in made.lower() and not any(w in made.lower() for w in gone)
+    assert made.isupper() == value.isupper() and made.islower() == value.islower()
+
+
+@pytest.mark.parametrize("value", ["Дмитрий Иванов", "Νίκος Παπάς", "王小明", "محمد علي", "Łukasz Żak"])
+def test_surrogate_names_keep_the_script(value):
+    import unicodedata
+
+    made = personal.Surrogates(b"key", "r").of("person", value)
+    script = lambda t: {unicodedata.name(c).split()[0] for c in t if c.isalpha()}
+    assert script(made) == script(value) and not set(made.split()) & set(value.split())
 
 
 # survivors
@@ -251,14 +290,25 @@ def test_source_quality_recovers_truth():
             facts.append((said, true))
             counts[said] = counts.get(said, 0) + 1
     patterns = [(s, tuple(sorted(set(skill) - set(s))), n) for s, n in counts.items()]
-    quality, post = survivors.source_quality(patterns)
-    p = dict(zip([x[0] for x in patterns], post))
+    quality, prior = survivors.source_quality(patterns)
+    p = {x[0]: survivors.posterior(x, quality, prior) for x in patterns}
     right = np.mean([(p[s] >= 0.5) == t for s, t in facts])
     votes = np.mean([(len(s) >= 2) == t for s, t in facts])
     assert right > 0.95 and right > votes
     assert quality["good"][0] > quality["bad"][0] and quality["good"][1] > quality["bad"][1]
 
 
+def test_source_quality_of_a_table(spark):
+    r = random.Random(6)
+    claims = [(g, s, v) for g in range(60) for v in range(4) for s in "abcd" if r.random() < (0.7 if v < 2 else 0.15)]
+    df = spark.createDataFrame(claims, "grp int, source string, value int")
+    members = spark.createDataFrame([(g, s) for g in range(60) for s in "abcd"], "grp int, source string")
+    sides = [survivors.true_values(df, members, pattern_limit=limit) for limit in (survivors.PATTERN_LIMIT, 0)]
+    rows = [[{(x["grp"], x["value"]): x["posterior"] for x in kept.collect()}, {x["source"]: (x["sensitivity"], x["specificity"]) for x in quality.collect()}] for kept, quality in sides]
+    for a, b in zip(*rows):
+        assert set(a) == set(b) and len(a) and all(np.allclose(a[k], b[k], atol=1e-6) for k in a)
+
+
 # segments
 
 
@@ -334,6 +384,64 @@ def test_exchanged_name_that_no_item_holds_is_found(spark, limit):
     assert got == {1: (0, n), 2: (0, n), 3: (0, n), 4: (n, 0), 5: (n, 0), 11: (0, n)}
 
 
+def test_runs_of_slots_and_tables_of_numbers(spark):
+    """Slots are consistent over a whole run, and windows of placeholders count only as they are."""
+    q = "we paid 40 euros for each of the 40 old chairs and then sold all of them on the market for 90 euros without any loss to us"
+    other = q.replace("40", "55").replace("90", "70")
+    torn = q.replace("paid 40", "paid 55").replace("the 40", "the 56").replace("90", "70")
+    numbers = " ".join(str(1000 + i) for i in range(40))
+    rows = [(1, other), (2, torn), (3, " ".join(str(7000 + i) for i in range(60))), (4, "see " + numbers + " here"), (5, q), (6, q.replace("90", "91"))]
+    items = spark.createDataFrame([(9, q), (8, numbers)], "i int, t string")
+    got = {(r["key"], r["item"]): (r["exact"], r["reworded"]) for r in leaks.leaks(spark.createDataFrame(rows, "id int, t string"), "id", "t", items, "i", "t").collect()}
+    n = len(q.split()) - 12
+    assert got[1, 9] == (0, n) and (2, 9) not in got and (3, 8) not in got and got[4, 8] == (28, 0) and got[5, 9] == (n, 0)
+    assert sum(got[6, 9]) == n and min(got[6, 9]) > 0
+
+
+@pytest.mark.parametrize("limit", [leaks.BROADCAST_WINDOWS, 0])
+def test_reworded_equal_brute_force(spark, limit):
+    """All windows, their runs and slots by plain loops."""
+    r = random.Random(8)
+    item = lambda i: " ".join(r.choice(VOCAB[:60]) if r.random() < 0.7 else r.choice([str(r.randrange(9)), "euros", "days"]) for _ in range(30))
+    items = [(i, item(i)) for i in range(8)]
+    docs = []
+    for i in range(60):
+        ws = items[i % 8][1].split()
+        swap = {str(d): str(r.randrange(20, 29)) for d in range(9)} if i % 2 else {}
+        part = [swap.get(w, w) for w in ws[r.randrange(6) : 20 + r.randrange(10)]]
+        if i % 5 == 0:
+            part[r.randrange(len(part))] = str(r.randrange(30, 39))
+        docs.append((i, text(6, i) + " " + " ".join(part) + " " + text(6, 99 + i)))
+    t = leaks.Template(())
+    want = {}
+    for d, dt in docs:
+        b = W.words(dt)
+        for i, it in items:
+            a = W.words(it)
+            exact = reworded = 0
+            for apart in range(-len(b), len(a)):
+                hits = []
+                for p in range(len(b) - 12):
+                    q = p + apart
+                    if 0 <= q <= len(a) - 13:
+                        x, y = a[q : q + 13], b[p : p + 13]
+                        if x == y or [t.of(w) for w in x] == [t.of(w) for w in y] and sum(t.of(w) == w for w in x) >= 5:
+                            hits.append((p, x == y))
+                while hits:
+                    run = [hits.pop(0)]
+                    while hits and hits[0][0] - run[-1][0] <= 13:
+                        run.append(hits.pop(0))
+                    lo, hi = run[0][0], run[-1][0] + 13
+                    exact += sum(e for _, e in run)
+                    pairs = set(zip(a[lo + apart : hi + apart], b[lo:hi]))
+                    if len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}):
+                        reworded += sum(not e for _, e in run)
+            if exact or reworded:
+                want[d, i] = (exact, reworded)
+    got = {(x["key"], x["item"]): (x["exact"], x["reworded"]) for x in leaks.leaks(spark.createDataFrame(docs, "id int, t string"), "id", "t", spark.createDataFrame(items, "i int, t string"), "i", "t", broadcast_windows=limit).collect()}
+    assert got == want and sum(b > 0 for _, b in want.values()) > 5 and sum(a > 0 for a, _ in want.values()) > 5
+
+
 # mixing
 
 
