@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from .sets import ranked
 
 LEVELS = {"listed": 1, "used": 2, "led": 3}
@@ -13,58 +14,95 @@ MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?"
 #: Month and year, yyyy-mm, m/d/yy, mm/yyyy, year.
 DATE = rf"(?i){MONTH}\s+\d{{4}}|\d{{4}}-\d{{1,2}}|\d{{1,2}}/\d{{1,2}}/\d{{2,4}}|\d{{1,2}}/\d{{4}}|(?<!\d)(?:19|20)\d{{2}}(?!\d)"
 OPEN = r"(?i)\b(current|present|now|to date|today|ongoing)\b"
-#: Month that open-ended jobs are counted to.
+SEPARATOR = r"(?i)to|-|–|—|through|until|till"
+#: Month that open-ended jobs are counted to, where the caller names none.
 UNTIL = 2026 * 12
+#: Months of the longest job that counts, and the first year.
+LONGEST, FIRST_YEAR = 600, 1950
+
+#: Words in titles that tell the kind of a section, the first kind that fits counts.
+SECTION_KINDS = {
+    "education": "education|academic|degree|coursework|training and|schooling",
+    "experience": "experience|employment|work history|professional background|career|positions|projects|accomplishments|achievements|internship|history",
+    "skills": "skill|highlight|qualification|competenc|expertise|technical|technolog|tools|proficien|strength|certification|licens|languages|software",
+    "summary": "summary|profile|objective|about|overview|focus|introduction",
+    "skip": "interest|hobbies|personal|references|affiliation|additional|activities|awards|honors|military|volunteer|publications|presentations",
+}
+#: Verbs that open a line about leading.
+LEADING = r"(?i)^\W*(led|lead|managed|owned|architected|directed|headed|spearheaded|drove|oversaw|founded|established|supervised|coordinated a team|built and led|mentored)\b"
+#: Levels of education, the highest first, in the education section and, stricter, anywhere.
+EDUCATION = {
+    "phd": r"\b(ph\.?\s?d\.?|doctor of|doctorate|d\.?phil|dr\.? of)\b",
+    "master": r"\b(master('s|s)?( of| in| degree)?|m\.?s\.?c?\.?|m\.?a\.?|mba|m\.?eng\.?|m\.?ed\.?|ll\.?m\.?|m\.?phil|msc|meng)\b",
+    "bachelor": r"\b(bachelor('s|s)?( of| in| degree)?|b\.?s\.?c?\.?|b\.?a\.?|b\.?e\.?|b\.?tech\.?|b\.?eng\.?|bba|bsn|ll\.?b\.?|bsc|beng|b\.?com)\b",
+    "associate": r"\b(associate('s|s)? (degree|of|in)|a\.?a\.?s?\.?|a\.?s\.?)\b",
+    "high_school": r"\b(high school|ged|secondary school|hs diploma|diploma)\b",
+}
+EDUCATION_ANYWHERE = {"phd": r"\b(ph\.?d|doctorate)\b", "master": r"\b(master('s|s)? (of|in|degree)|mba)\b", "bachelor": r"\b(bachelor('s|s)? (of|in|degree))\b"}
+
+
+def first_match(text: Column, patterns: dict[str, str], otherwise: str | None = None) -> Column:
+    """The name of the first pattern found in the text, whatever the case."""
+    out = F.lit(otherwise).cast("string")
+    for name, pattern in reversed(patterns.items()):
+        out = F.when(text.rlike(f"(?i){pattern}"), name).otherwise(out)
+    return out
 
 
 def section_kind(c: Column) -> Column:
-    low = F.lower(c)
-    return (
-        F.when(low.rlike("education|stud|school|training"), "education")
-        .when(low.rlike("experience|employment|work|career"), "experience")
-        .when(low.rlike("skill|competenc"), "skills")
-        .when(low.rlike("summary|profile|about|objective"), "summary")
-        .when(low.rlike("reference|further"), "skip")
-        .otherwise("other")
-    )
-
-
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Lines with section and entry: each line takes the last heading before it in its text."""
-    parts = docs.where(F.col(text).isNotNull()).select(key, F.split(F.replace(F.col(text), F.lit("\r"), F.lit("")), "\n").alias("ls"))
-    starts = parts.select(key, F.posexplode("ls").alias("i", "line"))
-    w = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    name = F.trim(F.regexp_replace("line", "^#+ +", ""))
-    top, sub = F.col("line").rlike("^##? "), F.col("line").rlike("^### ")
-    return starts.select(
-        key,
-        (F.col("i") + 1).cast("bigint").alias("line_no"),
-        "line",
-        F.last(F.when(top, name), ignorenulls=True).over(w).alias("section"),
-        F.last(F.when(sub, name).when(top, F.lit("")), ignorenulls=True).over(w).alias("entry"),
-    )
+    return first_match(c, SECTION_KINDS, "other")
 
 
 def parsed_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line_no, line, section, entry, kind) of the lines with content."""
-    rows = _lines(docs, key, text).where((F.trim("line") != "") & ~F.col("line").rlike("^#"))
-    return rows.withColumn("entry", F.nullif("entry", F.lit(""))).withColumn("kind", section_kind(F.col("section")))
+    """(key, line_no, role, text, section, kind, entry, entry_no) of all lines that aren't blank.
+
+    role: headline (a first line '# x'), section ('## x'), entry ('### x'), meta (a line in single asterisks), else line;
+    text is without marks of headings, asterisks and bullets. section is the last title above, 'Preamble' (a summary)
+    before the first; kind its kind; entry the last '### ' title above in the section, null without one; entry_no the
+    line it stands in, or the one of the section. Places of headings are found in arrays, so nothing is shuffled."""
+    lines = F.split(F.replace(F.col(text), F.lit("\r"), F.lit("")), "\n")
+    rows = docs.where(F.col(text).isNotNull()).select(key, F.transform(lines, lambda x: F.rtrim(x)).alias("ls"))
+    numbers = F.sequence(F.lit(1), F.size("ls"))
+    at = lambda test: F.filter(numbers, lambda i: test(F.element_at("ls", i)))
+    rows = rows.select(key, "ls", at(lambda x: x.startswith("## ")).alias("tops"), at(lambda x: x.startswith("### ")).alias("subs"), at(lambda x: F.trim(x) != "").alias("full"))
+    rows = rows.select(key, F.get("full", F.lit(0)).alias("first"), "tops", "subs", F.explode(F.transform("full", lambda i: F.struct(i.alias("n"), F.element_at("ls", i).alias("line")))).alias("x"), "ls")
+    last = lambda places: F.array_max(F.filter(places, lambda p: p <= F.col("x.n")))
+    rows = rows.select(key, "first", "ls", F.col("x.n").alias("n"), F.col("x.line").alias("line"), last("tops").alias("top"), last("subs").alias("sub"))
+    line, top, sub = F.col("line"), F.col("top"), F.when(F.coalesce(F.col("sub") > F.coalesce("top", F.lit(0)), F.lit(False)), F.col("sub"))
+    role = (
+        F.when((F.col("n") == F.col("first")) & line.startswith("# "), "headline")
+        .when(line.startswith("## "), "section")
+        .when(line.startswith("### "), "entry")
+        .when(line.rlike(r"^\*(?!\*).+\*$"), "meta")
+        .otherwise("line")
+    )
+    plain = F.when(role.isin("headline", "section", "entry"), F.trim(F.regexp_replace(line, "^#+ ", ""))).when(role == "meta", F.trim(F.regexp_replace(line, r"^\*|\*$", ""))).otherwise(F.trim(F.regexp_replace(F.trim(line), "^[-*•] +", "")))
+    title = lambda i, marks: F.trim(F.substring(F.element_at("ls", i), F.lit(marks + 2), F.length(F.element_at("ls", i))))
+    parsed = rows.select(key, F.col("n").cast("bigint").alias("line_no"), role.alias("role"), plain.alias("text"), F.when(role == "headline", None).when(top.isNull(), "Preamble").otherwise(title(top, 2)).alias("section"), F.when(sub.isNotNull(), title(sub, 3)).alias("entry"), F.coalesce(sub, top, F.lit(0)).cast("bigint").alias("entry_no"))
+    kind = F.when(F.col("role") == "headline", None).when((F.col("section") == "Preamble") & (F.col("entry_no") == 0), "summary").otherwise(section_kind(F.col("section")))
+    return parsed.select(key, "line_no", "role", "text", "section", kind.alias("kind"), "entry", "entry_no")
 
 
 def section_sizes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    rows = _lines(docs, key, text).where("section is not null")
-    content = (F.trim("line") != "") & ~F.col("line").rlike("^#")
-    return rows.groupBy(key, "section").agg(F.count_if(content).alias("lines"), F.count_distinct(F.nullif("entry", F.lit(""))).alias("entries")).withColumn("kind", section_kind(F.col("section")))
+    rows = parsed_lines(docs, key, text).where("section is not null")
+    return rows.groupBy(key, "section", "kind").agg(F.count_if(F.col("role") == "line").alias("lines"), F.count_if(F.col("role") == "entry").alias("entries"))
 
 
-def _month(text: Column, pattern_month: str, pattern_year: str) -> Column:
-    month = F.floor((F.instr(F.lit(MONTHS), F.regexp_extract(text, pattern_month, 1)) + 2) / 3)
-    return F.regexp_extract(text, pattern_year, 1).cast("int") * 12 + month - 1
+def meta_lines(lines: DataFrame, key: str) -> DataFrame:
+    """(key, line_no, kind, entry, entry_no, company, location, dates_text) of the meta lines of parsed_lines: 'company —
+    location · dates', any part of which may be missing. Dates alone are no company."""
+    head, tail = F.trim(F.substring_index("text", "·", 1)), F.trim(F.regexp_extract("text", "^[^·]*·(.*)$", 1))
+    tail = F.array_join(F.transform(F.split(tail, "·"), lambda x: F.trim(x)), " · ")
+    rows = lines.where("role = 'meta'").select(key, "line_no", "kind", "entry", "entry_no", head.alias("head"), tail.alias("tail"))
+    dated = ~F.col("head").contains(" — ") & F.col("head").rlike(DATE) & (F.col("tail") == "")
+    empty = lambda c: F.nullif(F.trim(c), F.lit(""))
+    company = F.when(dated, None).when(F.col("head").contains(" — "), empty(F.regexp_extract("head", "^(.*?) — ", 1))).otherwise(empty(F.col("head")))
+    return rows.select(key, "line_no", "kind", "entry", "entry_no", company.alias("company"), F.when(F.col("head").contains(" — "), empty(F.regexp_extract("head", "^.*? — (.*)$", 1))).alias("location"), F.when(dated, F.col("head")).otherwise(empty(F.col("tail"))).alias("dates_text"))
 
 
 def _date(text: Column, end: bool = False) -> Column:
-    """Months since year 0 of a date in any of the forms of DATE; a year alone is its January, as an end its December."""
-    low = F.replace(F.lower(F.trim(text)), F.lit("sept"), F.lit("sep"))
+    """Months since year 0 of a lower-cased date in any of the forms of DATE; a year alone is its January, as an end its December."""
+    low = text
     part = lambda pattern, i: F.regexp_extract(low, pattern, i).try_cast("int")
     month = lambda m: F.greatest(F.lit(1), F.least(F.lit(12), m)) - 1
     named, day, two = rf"^({MONTH})\s+(\d{{4}})$", r"^(\d{1,2})/\d{1,2}/(\d{2,4})$", r"^(\d{1,2})/(\d{4})$"
@@ -79,41 +117,44 @@ def _date(text: Column, end: bool = False) -> Column:
     ).cast("bigint")
 
 
-def date_ranges(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, start_month, end_month) of the jobs, in months since year 0; open jobs end in UNTIL.
-
-    The dates stand after the first '·' of a line in asterisks, or are the whole of it: two dates in any form with any
-    words between them, one with a word for an open end, or one alone. A range that ends before it starts is none."""
-    plain = F.replace(F.col(text), F.lit("\r"), F.lit(""))
-    lines = docs.where(F.col(text).isNotNull()).select(key, F.explode(F.regexp_extract_all(plain, F.lit(r"(?m)^\*(?!\*)([^\n]+)\*[ \t]*$"), F.lit(1))).alias("line"))
-    head, tail = F.trim(F.substring_index("line", "·", 1)), F.regexp_extract("line", "^[^·]*·(.*)$", 1)
-    when = F.when(F.trim(tail) != "", tail).when(~head.contains(" — "), head)
-    found = lines.select(key, when.alias("when")).where("`when` is not null").select(key, "when", F.regexp_extract_all("when", F.lit(DATE), F.lit(0)).alias("dates")).where("size(dates) > 0")
-    rest = F.regexp_replace("when", rf"(?is)^.*?(?:{DATE})", "")
-    parsed = F.transform("dates", lambda x: F.struct(_date(x).alias("start"), _date(x, True).alias("end")))
-    opened, alone = rest.rlike(OPEN), ~rest.rlike(r"(?i)to|-|–|—|through|until|till")
-    both = found.select(key, F.explode(F.array(F.struct(parsed.alias("p"), opened.alias("opened"), alone.alias("alone")))).alias("x"))
-    end = F.when(F.size("x.p") > 1, F.col("x.p")[1]["end"]).when(F.col("x.opened"), F.lit(UNTIL)).when(F.col("x.alone"), F.col("x.p")[0]["end"])
-    ranges = both.select(key, F.col("x.p")[0]["start"].alias("start_month"), end.cast("bigint").alias("end_month"))
-    return ranges.where("start_month <= end_month and start_month >= 1950 * 12").distinct()
-
-
-def line_date_ranges(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """date_ranges of lines of the one form '*x — y · Mon YYYY to Mon YYYY*', which the SQL of the queries reads."""
-    pattern = r"(?m)^\*.+ — .+ · [A-Z][a-z]{2} [0-9]{4} to (?:[A-Z][a-z]{2} [0-9]{4}|Current|Present|Now)\*$"
-    plain = F.replace(F.col(text), F.lit("\r"), F.lit(""))
-    lines = docs.where(F.col(text).isNotNull()).select(key, F.explode(F.regexp_extract_all(plain, F.lit(pattern), F.lit(0))).alias("line"))
-    begin = _month(F.col("line"), "· ([A-Z][a-z]{2}) [0-9]{4} to ", "· [A-Z][a-z]{2} ([0-9]{4}) to ")
-    open_ = F.col("line").rlike(r" to (Current|Present|Now)\*$")
-    end = F.when(open_, F.lit(UNTIL)).otherwise(_month(F.when(~open_, F.col("line")), r" to ([A-Z][a-z]{2}) [0-9]{4}\*", r" to [A-Z][a-z]{2} ([0-9]{4})\*"))
-    return lines.select(key, begin.cast("bigint").alias("start_month"), end.cast("bigint").alias("end_month")).where("start_month <= end_month and start_month >= 1950 * 12").distinct()
+def with_months(rows: DataFrame, text: str = "dates_text", until: int = UNTIL) -> DataFrame:
+    """The rows with start_month, end_month (months since year 0) and open from a text of dates: two dates in any of the
+    forms with any words between them, one with a word for an open end, which ``until`` stands for, or one alone. Null
+    where there is no range, or one that ends before it starts."""
+    found = once(rows, __d=F.regexp_extract_all(text, F.lit(DATE), F.lit(0)), __r=F.regexp_replace(text, rf"(?is)^.*?(?:{DATE})", ""))
+    low = lambda i: F.replace(F.lower(F.trim(F.get("__d", F.lit(i)))), F.lit("sept"), F.lit("sep"))
+    found = once(found, __1=low(0), __2=low(1), __one=F.size("__d") == 1)
+    alone = F.when(F.col("__one") & ~F.col("__r").rlike(SEPARATOR), _date(F.col("__1"), True))
+    found = once(found, __s=_date(F.col("__1")), __b=_date(F.col("__2"), True), __a=alone, __o=F.col("__one") & F.col("__r").rlike(OPEN))
+    found = once(found, __e=F.coalesce("__b", F.when(F.col("__o"), F.lit(until)), "__a").cast("bigint"))
+    fits = F.coalesce(F.col("__e") >= F.col("__s"), F.lit(False)) | (F.col("__o") & F.col("__s").isNotNull())
+    months = [F.when(fits, F.col(a)).alias(b) for a, b in (("__s", "start_month"), ("__e", "end_month"), ("__o", "open"))]
+    return found.select(*rows.columns, *months)
+
+
+def date_ranges(docs: DataFrame, key: str, text: str, until: int = UNTIL) -> DataFrame:
+    """(key, start_month, end_month) of the jobs in sections of experience that count towards years: they start between
+    FIRST_YEAR and the year of ``until`` and last LONGEST months at most."""
+    jobs = with_months(meta_lines(parsed_lines(docs, key, text).where("kind = 'experience'"), key), until=until)
+    length = F.col("end_month") - F.col("start_month") + 1
+    kept = jobs.where(F.col("start_month").between(FIRST_YEAR * 12, until // 12 * 12 + 11) & length.between(1, LONGEST))
+    return kept.select(key, "start_month", "end_month").distinct()
 
 
 def education(docs: DataFrame, key: str, text: str) -> DataFrame:
-    rows = _lines(docs, key, text).where(section_kind(F.col("section")) == "education")
-    line = F.col("line")
-    level = F.when(line.rlike("(?i)phd|doctor"), 5).when(line.rlike(r"(?i)\bmsc|master|\bma\b|mba"), 4).when(line.rlike(r"(?i)\bbsc|bachelor|\bba\b"), 3).when(line.rlike("(?i)diploma"), 2).when(line.rlike("(?i)apprenticeship"), 1)
-    return rows.groupBy(key).agg(F.max(level).alias("level")).where("level is not null")
+    """(key, level): the highest level named in sections of education, else what the whole text says more clearly."""
+    lines = parsed_lines(docs, key, text).where("kind = 'education' and role in ('entry', 'line')")
+    level = F.min(F.when(first_match(F.col("text"), EDUCATION).isNotNull(), F.array_position(F.array(*map(F.lit, EDUCATION)), first_match(F.col("text"), EDUCATION))))
+    named = lines.groupBy(key).agg(level.alias("place")).where("place is not null").select(key, F.element_at(F.array(*map(F.lit, EDUCATION)), F.col("place").cast("int")).alias("level"))
+    other = docs.join(named.select(key), key, "left_anti").select(key, first_match(F.col(text), EDUCATION_ANYWHERE).alias("level")).where("level is not null")
+    return named.union(other)
+
+
+def current_title(lines: DataFrame, key: str) -> DataFrame:
+    """(key, title) from parsed_lines: the first entry of experience that has a meta line, else the headline."""
+    job = F.min(F.when((F.col("role") == "meta") & (F.col("kind") == "experience") & (F.coalesce("entry", F.lit("")) != ""), F.struct("line_no", "entry")))["entry"]
+    head = F.max(F.when(F.col("role") == "headline", F.col("text")))
+    return lines.groupBy(key).agg(F.coalesce(job, head).alias("title")).where("title is not null")
 
 
 def registered(deliveries: DataFrame, registry: DataFrame) -> DataFrame:

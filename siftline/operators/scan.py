@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import shipped
+
 TOKEN = re.compile(r"[a-z0-9][a-z0-9+#./&'-]*[a-z0-9+#]|[a-z0-9]")
 LONGEST = 5
 #: Forms that may go to every worker; a vocabulary is curated by hand and far below it.
@@ -30,10 +32,11 @@ def longest_matches(tokens: list[str], forms: dict[tuple[str, ...], tuple[int, b
     return out
 
 
-def scan(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    """(key, term_id, hits, sure): terms by their names and aliases; forms of ``ambiguous`` count only in texts that also
-    hold a sure form of the term. Null texts give no rows. A greedy scan depends on the order of tokens, which built-in
+def scan(docs: DataFrame, key: str, text: str, terms: DataFrame, sure_only: bool = True) -> DataFrame:
+    """(key, term_id, hits): terms by their names and aliases; forms of ``ambiguous`` count only in texts that also
+    hold a sure form of the term, unless ``sure_only`` is off: then (key, term_id, hits, sure) has all. Null texts give no rows. A greedy scan depends on the order of tokens, which built-in
     expressions can't follow, so it runs in Arrow batches; nothing is shuffled."""
+    shipped(docs.sparkSession)
     listed = terms.select("term_id", F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>"))).alias("forms"), F.coalesce("ambiguous", F.array().cast("array<string>")).alias("unsure"))
     rows = listed.select("term_id", F.explode("forms").alias("form"), "unsure").limit(FORM_LIMIT + 1).collect()
     if len(rows) > FORM_LIMIT:
@@ -49,25 +52,28 @@ def scan(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            owner, term, hits = [], [], []
+            owner, term, hits, certain = [], [], [], []
             for i, value in enumerate(batch.column(1)):
                 count: dict[int, list[int]] = {}
                 for t, sure in longest_matches(TOKEN.findall(value.as_py().lower()), known):
                     count.setdefault(t, [0, 0])[sure] += 1
                 for t, (unsure, sure) in count.items():
-                    if sure:
+                    if sure or not sure_only:
+                        certain.append(sure)
                         owner.append(i)
                         term.append(t)
                         hits.append(unsure + sure)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(term, pa.int64()), pa.array(hits, pa.int64())], names=["key", "term_id", "hits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(term, pa.int64()), pa.array(hits, pa.int64()), pa.array(certain, pa.int64())], names=["key", "term_id", "hits", "sure"])
 
-    return docs.select(F.col(key), F.col(text)).where(F.col(text).isNotNull()).mapInArrow(run, f"key {kind}, term_id bigint, hits bigint")
+    found = docs.select(F.col(key), F.col(text)).where(F.col(text).isNotNull()).mapInArrow(run, f"key {kind}, term_id bigint, hits bigint, sure bigint")
+    return found.drop("sure") if sure_only else found
 
 
 def hashed_embedding(texts: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:
     """(key, vec, tokens): a deterministic unit vector of each text from its hashed tokens, for tests without a model."""
     import xxhash
 
+    shipped(texts.sparkSession)
     kind = texts.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,3 +91,22 @@ def hashed_embedding(texts: DataFrame, key: str, text: str, size: int = 64) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in vecs], pa.list_(pa.float32())), pa.array(sizes, pa.int64())], names=["key", "vec", "tokens"])
 
     return texts.select(F.col(key), F.col(text)).where(F.col(text).isNotNull()).mapInArrow(run, f"key {kind}, vec array<float>, tokens bigint")
+
+
+def near_names(names: DataFrame, key: str, name: str, least: float) -> DataFrame:
+    """(key, near, edits, alike): pairs of names, each once, that are alike: 1 - edits / length of the longer is ``least``
+    or more. Of a name cut into as many segments as edits are allowed and one more, one at least is left whole, at a place
+    moved by no more than the edits; segments meet in an equality join and edits are then counted."""
+    one = names.where(F.length(name) > 0).select(F.col(key).alias("k"), F.col(name).alias("n")).distinct()
+    allowed = lambda longest: F.floor(longest * (1 - least) + 1e-9).cast("int")
+    sized = one.select("k", "n", F.length("n").alias("len")).withColumn("most", allowed(F.floor(F.col("len") / least + 1e-9)))
+    parts = F.col("most") + 1
+    cut = lambda i: F.floor(F.col("len") * i / parts).cast("int")
+    held = sized.select("k", "n", "len", "most", F.explode(F.transform(F.sequence(F.lit(0), F.col("most")), lambda i: F.struct(cut(i).alias("at"), F.substring(F.col("n"), cut(i) + 1, cut(i + 1) - cut(i)).alias("s")))).alias("x"))
+    held = held.select("k", "n", "len", "most", "x.at", "x.s").where("s <> ''")
+    sizes = held.select(F.length("s").alias("l")).distinct()
+    spots = sized.join(sizes, F.col("l") <= F.col("len")).select("k", "n", F.explode(F.transform(F.sequence(F.lit(0), F.col("len") - F.col("l")), lambda i: F.struct(i.alias("at"), F.substring(F.col("n"), i + 1, F.col("l")).alias("s")))).alias("x"))
+    a, b = held.alias("a"), spots.select("k", "n", "x.at", "x.s").distinct().alias("b")
+    met = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.abs(F.col("a.at") - F.col("b.at")) <= F.col("a.most"))).select(F.least("a.k", "b.k").alias("k"), F.greatest("a.k", "b.k").alias("near"), F.when(F.col("a.k") < F.col("b.k"), F.col("a.n")).otherwise(F.col("b.n")).alias("x"), F.when(F.col("a.k") < F.col("b.k"), F.col("b.n")).otherwise(F.col("a.n")).alias("y")).where("k <> near").distinct()
+    scored = met.withColumn("edits", F.levenshtein("x", "y")).withColumn("alike", F.round(1 - F.col("edits") / F.greatest(F.length("x"), F.length("y")), 6))
+    return scored.where(F.col("alike") >= least).select(F.col("k").alias(key), "near", "edits", "alike")

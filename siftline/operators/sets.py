@@ -31,13 +31,23 @@ def ordered_minus(a: DataFrame, b: DataFrame, item: str = "doc_no", pos: str = "
     return ranked(a.join(b.select(item), item, "left_anti"), [F.col(pos)], item).select(item, "pos")
 
 
-def ranked(df: DataFrame, order: list[Column], *keep: str, name: str = "pos") -> DataFrame:
+#: Rows that one task may number, where the caller knows their number.
+ONE_TASK = 500_000
+
+
+def ranked(df: DataFrame, order: list[Column], *keep: str, name: str = "pos", rows: int | None = None, weight: str | None = None) -> DataFrame:
     """Positions from 1 over the whole set, without a single-partition window: rows are range-partitioned, numbered in
-    their partition, and shifted by the counts of the partitions before."""
+    their partition, and shifted by the counts of the partitions before. With a ``weight`` the position is 1 plus the
+    weights of all rows before. ``rows``, where known to be ONE_TASK at most, lets one task do it; the result is the same."""
+    size = F.col(weight) if weight else F.lit(1)
+    if rows is not None and rows <= ONE_TASK:
+        before = F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+        return df.withColumn(name, (F.coalesce(before, F.lit(0)) + 1).cast("bigint"))
     laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
     laid = stored(laid)  # range bounds come from a sample: both uses below must see the same partitions
-    laid = laid.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy("__id")))
-    sizes = laid.groupBy("__part").agg(F.count("*").alias("__n"))
+    inner = F.sum(size).over(Window.partitionBy("__part").orderBy("__id").rowsBetween(Window.unboundedPreceding, -1))
+    laid = laid.withColumn("__in", F.coalesce(inner, F.lit(0)) + 1)
+    sizes = laid.groupBy("__part").agg(F.sum(size).alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
     return laid.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn(name, (F.col("__before") + F.col("__in")).cast("bigint")).drop("__part", "__id", "__in", "__before")
 
@@ -63,3 +73,14 @@ def flags(members: dict[str, DataFrame], item: str = "doc_no") -> DataFrame:
     """(item, mask): bit i for the i-th filter, so that alone and leave-one-out counts of all come from one table."""
     marked = reduce(DataFrame.union, [m.select(item, F.lit(1 << i).alias("bit")) for i, m in enumerate(members.values())])
     return marked.distinct().groupBy(item).agg(F.sum("bit").cast("int").alias("mask"))
+
+
+def diagnosis(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """(condition, n, culprit): of an empty intersection the condition added last, and every one without which something
+    would be found, with how many; no rows if the intersection isn't empty. One scan counts everything."""
+    held = {n: F.coalesce(c, F.lit(False)) for n, c in conditions.items()}
+    every = lambda skip: reduce(lambda a, b: a & b, [c for n, c in held.items() if n != skip], F.lit(True))
+    counts = rows.agg(F.count_if(every(None)).alias("__all"), *[F.count_if(every(n)).alias(n) for n in held]).where("__all = 0")
+    last = list(held)[-1]
+    each = F.array(*[F.struct(F.lit(n).alias("condition"), F.col(n).alias("n"), F.lit(n == last).alias("culprit")) for n in held])
+    return counts.select(F.explode(each).alias("x")).select("x.*").where("n > 0 or culprit")

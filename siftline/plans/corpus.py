@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import components, extract, intervals
+from ..operators import components, extract, intervals, rates
 from ..runtime import table
 
 QUERIES: dict = {}
@@ -41,27 +41,55 @@ def clean_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "docs").where("markdown is not null").select("doc_no", T.collapse(F.col("markdown")).alias("text"))
 
 
-@query(r"""with r as (select doc_no, regexp_replace(regexp_replace(markdown, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), '(?i)(https?://[^\s)>\]]+|www\.[^\s)>\]]+)', '[url]', 'g') as t from docs where markdown is not null),
-    p as (select doc_no, t, list_filter(regexp_extract_all(t, '\+?[0-9(][0-9 ()./-]{7,}[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) between 10 and 15
-        and not regexp_matches(x, '^[ ()./-]*((19|20)[0-9]{2}|[0-9]{1,2})([ ()./-]+((19|20)[0-9]{2}|[0-9]{1,2}))*[ ()./-]*$')) as runs from r)
-    select doc_no, case when len(runs) = 0 then t else list_reduce(list_prepend(t, runs), lambda a, x: replace(a, x, '[phone]')) end as text from p""")
+_TIDIED = r"""a as (select *, regexp_replace(regexp_replace(regexp_replace(markdown, '[\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}\x{00AD}]', '', 'g'), '\r\n?', chr(10), 'g'), '[\t\x{00A0}]', ' ', 'g') as t1 from src where markdown is not null),
+    b as (select * exclude (t1), regexp_replace(regexp_replace(regexp_replace(t1, '([^ \n])  +', '\1 ', 'g'), '(?m) +$', '', 'g'), '(?m)^[ .,;:|_*~-]+$', '', 'g') as t2 from a),
+    tidy as (select * exclude (t2), regexp_replace(regexp_replace(regexp_replace(t2, '\n\n\n+', chr(10) || chr(10), 'g'), '^\n+', ''), '\n+$', '') || chr(10) as t from b)"""
+
+
+def _redacted_sql(source: str) -> str:
+    hosts = "|".join(h.replace(".", "\\.") for h in T.HOSTS)
+    return rf"""e as (select *, regexp_replace(t, '[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+(\.[\p{{L}}\p{{N}}_-]+)+', '[email]', 'g') as te from {source}),
+    u as (select *, regexp_replace(te, '(?i)(?:https?://|www\.)[^\s)<>\]]+|\b(?:{hosts})/[^\s)<>\]]+', '[url]', 'g') as tu from e),
+    k as (select *, string_split(regexp_replace(tu, '(^|[^\p{{L}}\p{{N}}_/])(\(?\+?[0-9][0-9\s().-]{{7,}}[0-9])([^\p{{L}}\p{{N}}_/]|$)', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g'), chr(1)) as ps from u),
+    f as (select * exclude (ps), ps[1] as p0, list_transform(range(2, len(ps) + 1), lambda i: struct_pack(run := string_split(ps[i], chr(2))[1], rest := string_split(ps[i], chr(2))[2], before := replace(ps[i - 1], chr(2), ''))) as cs from k),
+    g as (select * exclude (cs), p0 || list_aggregate(list_prepend('', list_transform(cs, lambda c: case when length(regexp_replace(c.run, '[^0-9]', '', 'g')) between 10 and 15 and len(list_filter(regexp_extract_all(c.run, '[0-9]+'), lambda d: length(d) > 2 and not regexp_matches(d, '^(19|20)[0-9][0-9]$'))) > 0
+        and not regexp_matches(c.run, '\(\s*(19|20)[0-9][0-9]\s*\)') and not regexp_matches(right(c.before, 8), '(?i)(isbn|issn|doi|patent|us|no\.?|#|id|pi)\s*:?\s*$') then '[phone]' || chr(2) else c.run end || c.rest)), 'string_agg', '') as tp from f),
+    clean as (select *, replace(tp, chr(2), '') as text, (len(string_split(te, '[email]')) - len(string_split(t, '[email]')))::int as emails, (len(string_split(tu, '[url]')) - len(string_split(te, '[url]')))::int as urls, (len(string_split(tp, chr(2))) - 1)::int as phones from g)"""
+
+
+@query(f"with src as (select doc_no, markdown from docs where markdown is not null), tidy as (select *, markdown as t from src), {_redacted_sql('tidy')} select doc_no, text, emails, urls, phones from clean")
 def clean_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "docs").where("markdown is not null").select("doc_no", T.redacted(F.col("markdown")).alias("text"))
+    """Texts without contact details, with the numbers of those taken out."""
+    return T.redaction(table(spark, d, "docs").where("markdown is not null").select("doc_no", F.col("markdown").alias("text")), "text")
+
+
+_HASHED = rf"src as (select raw_no, source, source_id, markdown from raw_docs), {_TIDIED}, {_redacted_sql('tidy')}, hashed as (select *, substr(sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))), 1, 16) as hash, len(regexp_extract_all(text, '\S+'))::int as words from clean)"
 
 
-@query(r"""select raw_no, substr(sha256(trim(regexp_replace(markdown, '\s+', ' ', 'g'))), 1, 16) as hash, len(regexp_extract_all(markdown, '\S+'))::int as words from raw_docs where len(regexp_extract_all(markdown, '\S+')) >= 5""")
+def _hashed(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries tidied, then redacted, then hashed; those with fewer than five words are left out."""
+    raw = table(spark, d, "raw_docs").where("markdown is not null").select("raw_no", "source", "source_id", T.tidied(F.col("markdown")).alias("t"))
+    return T.redaction(raw, "t").select("raw_no", "source", "source_id", T.content_hash(T.collapse(F.col("t"))).alias("hash"), T.word_count(F.col("t")).alias("words")).where("words >= 5")
+
+
+@query(f"with {_HASHED} select raw_no, hash, words from hashed where words >= 5")
 def corpus_hashed(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "raw_docs").select("raw_no", T.content_hash(T.collapse(F.col("markdown"))).alias("hash"), T.word_count(F.col("markdown")).alias("words"))
-    return rows.where("words >= 5")
+    return _hashed(spark, d).select("raw_no", "hash", "words")
+
 
+#: Which source's copy stands for a content that several deliver; sources not listed come after.
+SOURCE_ORDER = ("livedesk", "archive", "inbox")
 
-@query(r"""with k as (select raw_no, source, source_id, substr(sha256(trim(regexp_replace(markdown, '\s+', ' ', 'g'))), 1, 16) as hash from raw_docs where len(regexp_extract_all(markdown, '\S+')) >= 5)
-    select hash, min(raw_no) as first_no, count(*) as copies, list(source order by source, raw_no) as also_in from k group by hash""")
+
+@query(f"""with {_HASHED}, o as (select raw_no, source, hash, coalesce(list_position({list(SOURCE_ORDER)}, source), 99) as place from hashed where words >= 5),
+    w as (select *, row_number() over (partition by hash order by place, raw_no) as k, first_value(raw_no) over (partition by hash order by place, raw_no) as first_no, count(*) over (partition by hash) as copies from o) select raw_no, hash, first_no, copies, k > 1 as duplicate from w""")
 def corpus_exact_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """First copy of each content; the others are its provenance."""
-    k = table(spark, d, "raw_docs").where(T.word_count(F.col("markdown")) >= 5).select("raw_no", "source", T.content_hash(T.collapse(F.col("markdown"))).alias("hash"))
-    seen = F.transform(F.sort_array(F.collect_list(F.struct("source", "raw_no"))), lambda s: s["source"])
-    return k.groupBy("hash").agg(F.min("raw_no").alias("first_no"), F.count("*").alias("copies"), seen.alias("also_in"))
+    """Every delivery with the first copy of its content, in the order of the sources: the others are its provenance. The
+    first copy is a partial minimum, so a content that a third of all rows share is no list."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SOURCE_ORDER)), F.col("source")), F.lit(0)), F.lit(99))
+    k = _hashed(spark, d).select("raw_no", "hash", place.alias("place"))
+    first = k.groupBy("hash").agg(F.min(F.struct("place", "raw_no"))["raw_no"].alias("first_no"), F.count("*").alias("copies"))
+    return k.join(first, "hash").select("raw_no", "hash", "first_no", "copies", (F.col("raw_no") != F.col("first_no")).alias("duplicate"))
 
 
 @query(r"""with r as (select source, source_id, min(doc_no) as doc_no from docs group by 1, 2), i as (select distinct source, source_id from raw_docs),
@@ -79,13 +107,11 @@ def corpus_missing(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "docs").join(table(spark, d, "raw_docs").select("source", "source_id"), ["source", "source_id"], "left_anti").select("doc_no", "source", "source_id")
 
 
-@query(r"""with k as (select raw_no, source, source_id, substr(sha256(trim(regexp_replace(markdown, '\s+', ' ', 'g'))), 1, 16) as hash from raw_docs where markdown is not null)
-    select raw_no from k where not exists (select 1 from docs e where e.source = k.source and e.source_id = k.source_id) and not exists (select 1 from docs e where e.hash = k.hash)""")
+@query(f"""with {_HASHED} select raw_no, hash, words from hashed k where words >= 5 and not exists (select 1 from docs e where e.source = k.source and e.source_id = k.source_id) and not exists (select 1 from docs e where e.hash = k.hash)""")
 def corpus_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """Deliveries with neither a known key nor a known content."""
-    k = table(spark, d, "raw_docs").where("markdown is not null").select("raw_no", "source", "source_id", T.content_hash(T.collapse(F.col("markdown"))).alias("hash"))
+    """Deliveries with neither a known key nor a known content, cleaned as the first build cleans them."""
     known = table(spark, d, "docs")
-    return k.join(known.select("source", "source_id"), ["source", "source_id"], "left_anti").join(known.select("hash"), "hash", "left_anti").select("raw_no")
+    return _hashed(spark, d).join(known.select("source", "source_id"), ["source", "source_id"], "left_anti").join(known.select("hash"), "hash", "left_anti").select("raw_no", "hash", "words")
 
 
 @query(r"""select source, count(*) as docs, count(*) filter (where not regexp_matches(markdown, '(?m)^# ')) as no_headline, count(*) filter (where len(regexp_extract_all(markdown, '\S+')) < 50) as short,
@@ -97,67 +123,122 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return extract.quality_stats(rows)
 
 
-@query(r"""with h as (select doc_no, lower(headline) as h from profile where headline is not null) select distinct doc_no, case when regexp_matches(h, '\b(principal|chief|head|director)\b') then 'principal' when regexp_matches(h, '\b(lead|manager)\b') then 'lead'
-    when regexp_matches(h, '\b(senior|sr)\b') then 'senior' when regexp_matches(h, '\b(junior|jr|intern|trainee|assistant)\b') then 'junior' else 'mid' end as hint from h""")
+_HINT = "case " + " ".join(f"when regexp_matches({{0}}, '(?i){p}') then '{k}'" for k, p in T.SENIORITY_HINTS.items()) + " else 'mid' end"
+
+
+@query(f"select distinct doc_no, {_HINT.format('headline')} as hint from profile where headline is not null")
 def extract_seniority(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "profile").where("headline is not null").select("doc_no", T.seniority_hint(F.col("headline")).alias("hint")).distinct()
 
 
-_LINES = r"""l as (select doc_no, i::bigint as line_no, ls[i] as line from (select doc_no, string_split(replace(markdown, chr(13), ''), chr(10)) as ls from docs where markdown is not null), unnest(range(1, len(ls) + 1)) as r(i)),
-    s as (select *, last_value(case when regexp_matches(line, '^##? ') then trim(regexp_replace(line, '^#+ +', '')) end ignore nulls) over w as section, last_value(case when regexp_matches(line, '^### ') then trim(regexp_replace(line, '^#+ +', '')) when regexp_matches(line, '^##? ') then '' end ignore nulls) over w as entry
-        from l window w as (partition by doc_no order by line_no rows unbounded preceding))"""
-_KIND = "case when regexp_matches(lower({0}), 'education|stud|school|training') then 'education' when regexp_matches(lower({0}), 'experience|employment|work|career') then 'experience' when regexp_matches(lower({0}), 'skill|competenc') then 'skills' when regexp_matches(lower({0}), 'summary|profile|about|objective') then 'summary' when regexp_matches(lower({0}), 'reference|further') then 'skip' else 'other' end"
+@query(f"""with h as (select distinct d.doc_no, id, category, {_HINT.format("coalesce(headline, '')")} as hint from docs d left join profile p using (doc_no) where id is not null)
+    select doc_no, hint, greatest(15, least(250, round_even({rates.base_sql("category")} * {rates.multiplier_sql("hint")} * (0.8::double + 0.4::double * (('0x' || substr(sha256('rate:' || id), 1, 8))::bigint / 4294967295.0::double)), 0)))::bigint as rate from h""")
+def synthetic_rates(spark: SparkSession, d: str) -> DataFrame:
+    """A rate for records that state none: base of the category, level, and a draw fixed by the name of the record."""
+    h = table(spark, d, "docs").where("id is not null").join(table(spark, d, "profile").select("doc_no", "headline"), "doc_no", "left")
+    h = h.select("doc_no", "id", "category", T.seniority_hint(F.coalesce("headline", F.lit(""))).alias("hint")).distinct()
+    return h.select("doc_no", "hint", rates.synthetic(F.col("category"), F.col("id"), F.col("hint")).alias("rate"))
 
 
-@query(f"with {_LINES} select doc_no, line_no, line, section, nullif(entry, '') as entry, {_KIND.format('section')} as kind from s where trim(line) <> '' and not regexp_matches(line, '^#')")
+@query(f"""with p as (select distinct doc_no, rate, rate_source, headline from profile), h as (select p.*, id, category, {_HINT.format("coalesce(headline, '')")} as hint from p join docs using (doc_no) where id is not null)
+    select doc_no, coalesce(rate, greatest(15, least(250, round_even({rates.base_sql("category")} * {rates.multiplier_sql("hint")} * (0.8::double + 0.4::double * (('0x' || substr(sha256('rate:' || id), 1, 8))::bigint / 4294967295.0::double)), 0)))) as rate, case when rate is null then 'synthetic' else coalesce(rate_source, 'document') end as rate_source from h""")
+def rate_precedence(spark: SparkSession, d: str) -> DataFrame:
+    """The stated rate wins over the synthetic one, and the source says which it is."""
+    p = table(spark, d, "profile").select("doc_no", "rate", "rate_source", "headline").distinct().join(table(spark, d, "docs").where("id is not null").select("doc_no", "id", "category"), "doc_no")
+    made = rates.synthetic(F.col("category"), F.col("id"), T.seniority_hint(F.coalesce("headline", F.lit("")))).cast("double")
+    return p.select("doc_no", F.coalesce("rate", made).alias("rate"), F.when(F.col("rate").isNull(), "synthetic").otherwise(F.coalesce("rate_source", F.lit("document"))).alias("rate_source"))
+
+
+_KINDS = "case " + " ".join(f"when regexp_matches({{0}}, '(?i){p}') then '{k}'" for k, p in extract.SECTION_KINDS.items()) + " else 'other' end"
+_LINES = rf"""l as (select doc_no, i::bigint as line_no, rtrim(ls[i], ' ') as line from (select doc_no, string_split(replace(markdown, chr(13), ''), chr(10)) as ls from docs where markdown is not null), unnest(range(1, len(ls) + 1)) as r(i) where trim(ls[i]) <> ''),
+    m as (select *, min(line_no) over (partition by doc_no) = line_no and starts_with(line, '# ') as is_head, max(case when starts_with(line, '## ') then line_no end) over w as top, max(case when starts_with(line, '### ') then line_no end) over w as sub from l window w as (partition by doc_no order by line_no rows unbounded preceding)),
+    o as (select *, case when is_head then 'headline' when starts_with(line, '## ') then 'section' when starts_with(line, '### ') then 'entry' when regexp_matches(line, '^\*[^*].*\*$') then 'meta' else 'line' end as role from m),
+    t as (select doc_no, line_no, role, case when role in ('headline', 'section', 'entry') then trim(regexp_replace(line, '^#+ ', '')) when role = 'meta' then trim(regexp_replace(line, '^\*|\*$', '', 'g')) else trim(regexp_replace(trim(line), '^[-*•] +', '')) end as text, top, case when sub > coalesce(top, 0) then sub end as sub from o),
+    s as (select t.doc_no, t.line_no, t.role, t.text, case when t.role = 'headline' then null when t.top is null then 'Preamble' else a.text end as section, case when t.role = 'headline' then null when t.top is null and t.sub is null then 'summary' when t.top is null then {_KINDS.format("'Preamble'")} else {_KINDS.format("a.text")} end as kind, b.text as entry, coalesce(t.sub, t.top, 0)::bigint as entry_no
+        from t left join t a on a.doc_no = t.doc_no and a.line_no = t.top left join t b on b.doc_no = t.doc_no and b.line_no = t.sub)"""
+
+
+@query(f"with {_LINES} select * from s")
 def extract_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Every line of content with its section, entry and kind of section."""
+    """Every line with its role, section, kind of section and entry."""
     return extract.parsed_lines(table(spark, d, "docs"), "doc_no", "markdown")
 
 
-@query(f"with {_LINES} select doc_no, section, {_KIND.format('section')} as kind, count(*) filter (where trim(line) <> '' and not regexp_matches(line, '^#')) as lines, count(distinct nullif(entry, '')) as entries from s where section is not null group by all")
+@query(f"with {_LINES} select doc_no, section, kind, count(*) filter (where role = 'line') as lines, count(*) filter (where role = 'entry') as entries from s where section is not null group by all")
 def extract_section_sizes(spark: SparkSession, d: str) -> DataFrame:
     return extract.section_sizes(table(spark, d, "docs"), "doc_no", "markdown")
 
 
-_JOBS = r"""j as (select doc_no, line, regexp_extract(line, '· ([A-Z][a-z]{2}) ([0-9]{4}) to ', 1) as m1, regexp_extract(line, '· [A-Z][a-z]{2} ([0-9]{4}) to ', 1) as y1, regexp_extract(line, ' to ([A-Z][a-z]{2}) [0-9]{4}\*', 1) as m2, regexp_extract(line, ' to [A-Z][a-z]{2} ([0-9]{4})\*', 1) as y2
-        from l where regexp_matches(line, '^\*.+ — .+ · [A-Z][a-z]{2} [0-9]{4} to ([A-Z][a-z]{2} [0-9]{4}|Current|Present|Now)\*$')),
-    n as (select doc_no, y1::int * 12 + (instr('JanFebMarAprMayJunJulAugSepOctNovDec', m1) + 2) // 3 - 1 as s, case when y2 = '' then 2026 * 12 else y2::int * 12 + (instr('JanFebMarAprMayJunJulAugSepOctNovDec', m2) + 2) // 3 - 1 end as e from j),
-    v as (select distinct doc_no, s, e from n where s <= e and s >= 1950 * 12)"""
+_MONTH_NAME = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?"
+_DATES = rf"{_MONTH_NAME}\s+[0-9]{{4}}|[0-9]{{4}}-[0-9]{{1,2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}|[0-9]{{1,2}}/[0-9]{{4}}"
+_META = rf"""h as (select *, trim(string_split(text, '·')[1]) as head, array_to_string(list_transform(string_split(text, '·')[2:], lambda x: trim(x)), ' · ') as tail from s where role = 'meta'),
+    e as (select doc_no, line_no, kind, entry, entry_no, head, tail, not contains(head, ' — ') and tail = '' and regexp_matches(lower(head), '{_DATES}|(^|[^0-9])(19|20)[0-9][0-9]([^0-9]|$)') as dated from h),
+    meta as (select doc_no, line_no, kind, entry, entry_no, case when dated then null when contains(head, ' — ') then nullif(trim(string_split(head, ' — ')[1]), '') else nullif(head, '') end as company,
+        case when contains(head, ' — ') then nullif(trim(array_to_string(string_split(head, ' — ')[2:], ' — ')), '') end as location, case when dated then head else nullif(tail, '') end as dates_text from e)"""
+
+
+@query(f"with {_LINES}, {_META} select * from meta")
+def extract_meta(spark: SparkSession, d: str) -> DataFrame:
+    """Company, place and dates of each line about a job or a school."""
+    return extract.meta_lines(extract.parsed_lines(table(spark, d, "docs"), "doc_no", "markdown"), "doc_no")
 
 
-@query(f"with {_LINES}, {_JOBS} select doc_no, s::bigint as start_month, e::bigint as end_month from v")
+def _month_sql(x: str, end: bool) -> str:
+    m = f"(instr('janfebmaraprmayjunjulaugsepoctnovdec', {x}[1:3]) + 2) // 3 - 1"
+    part = lambda i, sep: f"string_split({x}, '{sep}')[{i}]::int"
+    return f"""case when regexp_matches({x}, '^[a-z]') then {x}[-4:]::int * 12 + {m} when contains({x}, '-') then {part(1, "-")} * 12 + greatest(1, least(12, {part(2, "-")})) - 1
+        when len(string_split({x}, '/')) = 3 then (case when {part(3, "/")} < 50 then 2000 when {part(3, "/")} < 100 then 1900 else 0 end + {part(3, "/")}) * 12 + greatest(1, least(12, {part(1, "/")})) - 1
+        when contains({x}, '/') then {part(2, "/")} * 12 + greatest(1, least(12, {part(1, "/")})) - 1 else {x}::int * 12 + {11 if end else 0} end"""
+
+
+#: Dates by their places: DuckDB has no look-around, so runs of digits are taken whole and all but years dropped.
+_RANGES = rf"""x as (select *, list_filter(regexp_extract_all(lower(dates_text), '{_DATES}|[0-9]+'), lambda x: not regexp_matches(x, '^[0-9]+$') or regexp_matches(x, '^(19|20)[0-9][0-9]$')) as ds from meta),
+    y as (select *, case when len(ds) > 0 then substr(lower(dates_text), instr(lower(dates_text), ds[1]) + length(ds[1])) end as rest from x),
+    z as (select *, {_month_sql("ds[1]", False)} as s0, case when len(ds) > 1 then {_month_sql("ds[2]", True)} when regexp_matches(rest, '\b(current|present|now|to date|today|ongoing)\b') then {extract.UNTIL} when not regexp_matches(rest, 'to|-|–|—|through|until|till') then {_month_sql("ds[1]", True)} end as e0,
+        len(ds) = 1 and regexp_matches(rest, '\b(current|present|now|to date|today|ongoing)\b') as open0 from y where len(ds) > 0),
+    ranges as (select doc_no, line_no, kind, s0::bigint as start_month, e0::bigint as end_month, open0 as open from z where e0 >= s0 or open0),
+    v as (select distinct doc_no, start_month as s, end_month as e from ranges where kind = 'experience' and start_month >= {extract.FIRST_YEAR * 12} and start_month <= {extract.UNTIL // 12 * 12 + 11} and end_month - start_month + 1 between 1 and {extract.LONGEST})"""
+
+
+@query(f"with {_LINES}, {_META}, {_RANGES} select doc_no, line_no, start_month, end_month, open from ranges")
 def extract_date_ranges(spark: SparkSession, d: str) -> DataFrame:
-    return extract.line_date_ranges(table(spark, d, "docs"), "doc_no", "markdown")
+    """The ranges of dates of all lines about jobs and schools, in any of the five forms."""
+    meta = extract.meta_lines(extract.parsed_lines(table(spark, d, "docs"), "doc_no", "markdown"), "doc_no")
+    return extract.with_months(meta).where("start_month is not null").select("doc_no", "line_no", "start_month", "end_month", "open")
 
 
-@query(f"""with {_LINES}, {_JOBS}, o as (select *, max(e) over (partition by doc_no order by s, e rows between unbounded preceding and 1 preceding) as before from v),
-    g as (select *, sum(case when before is null or s > before + 1 then 1 else 0 end) over (partition by doc_no order by s, e rows unbounded preceding) as island from o),
+@query(f"""with {_LINES}, {_META}, {_RANGES}, p as (select *, max(e) over (partition by doc_no order by s, e rows between unbounded preceding and 1 preceding) as before from v),
+    g as (select *, sum(case when before is null or s > before + 1 then 1 else 0 end) over (partition by doc_no order by s, e rows unbounded preceding) as island from p),
     u as (select doc_no, island, max(e) - min(s) + 1 as months from g group by 1, 2) select doc_no, round(sum(months) / 12.0, 1)::double as years, count(*) as islands from u group by 1""")
 def extract_years(spark: SparkSession, d: str) -> DataFrame:
     """Years of experience: the union of overlapping jobs in months."""
-    r = extract.line_date_ranges(table(spark, d, "docs"), "doc_no", "markdown")
-    u = intervals.merged(r, "doc_no", "start_month", "end_month")
-    return u.groupBy("doc_no").agg(F.round(F.sum(F.col("end_month") - F.col("start_month") + 1) / 12, 1).alias("years"), F.count("*").alias("islands"))
+    return intervals.years(extract.date_ranges(table(spark, d, "docs"), "doc_no", "markdown"), "doc_no")
 
 
-@query(f"""with {_LINES} select doc_no, count(*) filter (where regexp_matches(line, '(?i)^\\W*(led|managed|headed|directed|supervised)\\b')) as led, count(*) as bullets from s where regexp_matches(line, '^[-*•] ') and {_KIND.format('section')} = 'experience' group by 1""")
+@query(f"""with {_LINES} select doc_no, count(*) filter (where regexp_matches(text, '{extract.LEADING}')) as led, count(*) as lines from s where role = 'line' and kind = 'experience' group by 1""")
 def extract_led(spark: SparkSession, d: str) -> DataFrame:
-    lines = extract.parsed_lines(table(spark, d, "docs"), "doc_no", "markdown").where((F.col("kind") == "experience") & F.col("line").rlike("^[-*•] "))
-    return lines.groupBy("doc_no").agg(F.count_if(F.col("line").rlike(r"(?i)^\W*(led|managed|headed|directed|supervised)\b")).alias("led"), F.count("*").alias("bullets"))
+    lines = extract.parsed_lines(table(spark, d, "docs"), "doc_no", "markdown").where("kind = 'experience' and role = 'line'")
+    return lines.groupBy("doc_no").agg(F.count_if(F.col("text").rlike(extract.LEADING)).alias("led"), F.count("*").alias("lines"))
+
+
+def _levels_sql(text: str, patterns: dict[str, str]) -> str:
+    quoted = {k: p.replace("'", "''") for k, p in patterns.items()}
+    return "case " + " ".join(f"when bool_or(regexp_matches({text}, '(?i){p}')) then '{k}'" for k, p in quoted.items()) + " end"
 
 
-@query(f"""with {_LINES} select doc_no, max(case when regexp_matches(line, '(?i)phd|doctor') then 5 when regexp_matches(line, '(?i)\\bmsc|master|\\bma\\b|mba') then 4 when regexp_matches(line, '(?i)\\bbsc|bachelor|\\bba\\b') then 3 when regexp_matches(line, '(?i)diploma') then 2 when regexp_matches(line, '(?i)apprenticeship') then 1 end)::int as level from (select doc_no, section, coalesce(nullif(regexp_extract(line, '^### (.+)$', 1), ''), line) as line from s) where {_KIND.format('section')} = 'education' group by 1 having level is not null""")
+@query(f"""with {_LINES}, n as (select doc_no, {_levels_sql("text", extract.EDUCATION)} as level from s where kind = 'education' and role in ('entry', 'line') group by 1),
+    a as (select doc_no, {_levels_sql("markdown", extract.EDUCATION_ANYWHERE)} as level from docs where markdown is not null group by 1)
+    select doc_no, coalesce(n.level, a.level) as level from a left join n using (doc_no) where coalesce(n.level, a.level) is not null""")
 def extract_education(spark: SparkSession, d: str) -> DataFrame:
-    """Highest level named in the education section."""
+    """Highest level named in the education section, else in the whole text."""
     return extract.education(table(spark, d, "docs"), "doc_no", "markdown")
 
 
-@query(f"""with {_LINES}, f as (select doc_no, line_no, entry from s where {_KIND.format('section')} = 'experience' and coalesce(entry, '') <> '' and regexp_matches(line, '^\\*.+ · .+\\*$')) select doc_no, arg_min(entry, line_no) as title from f group by 1""")
+@query(f"""with {_LINES}, {_META}, f as (select doc_no, arg_min(entry, line_no) as title from meta where kind = 'experience' and coalesce(entry, '') <> '' group by 1), hd as (select doc_no, text from s where role = 'headline')
+    select doc_no, coalesce(f.title, hd.text) as title from f full join hd using (doc_no)""")
 def extract_current_title(spark: SparkSession, d: str) -> DataFrame:
-    """Title of the first job with a line of dates."""
-    jobs = extract.parsed_lines(table(spark, d, "docs"), "doc_no", "markdown").where((F.col("kind") == "experience") & F.col("entry").isNotNull() & F.col("line").rlike(r"^\*.+ · .+\*$"))
-    return jobs.groupBy("doc_no").agg(F.min_by("entry", "line_no").alias("title"))
+    """Title of the first job with a line about it, else the headline."""
+    return extract.current_title(extract.parsed_lines(table(spark, d, "docs"), "doc_no", "markdown"), "doc_no")
 
 
 @query(r"""select token, count(*) as n, count(distinct doc_no) as docs from (select doc_no, unnest(regexp_extract_all(lower(markdown), '[a-z0-9][a-z0-9+#./&''-]*[a-z0-9+#]|[a-z0-9]')) as token from docs) group by 1""")

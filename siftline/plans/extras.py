@@ -9,7 +9,8 @@ from ..functions import text as T
 from ..operators import extract, scan
 from ..operators.extract import level_rank
 from ..runtime import table
-from .corpus import _KIND, _LINES
+from .corpus import _LINES
+from .index import AVAILABILITY_SQL
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -58,12 +59,11 @@ def dictionary_counts(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("term_id").agg(F.count("*").alias("docs"), F.sum("hits").alias("hits"))
 
 
-@query(f"""with {_LINES}, f as (select doc_no, line_no, regexp_replace(line, '^[-*•] +', '') as t from s where {_KIND.format('section')} = 'experience' and regexp_matches(line, '^[-*•] ') and len(regexp_extract_all(line, '\\S+')) >= 5),
-    m as (select doc_no, arg_min(t, line_no) as t from f group by 1) select doc_no, case when length(t) > 110 then substr(t, 1, 110) || '…' else t end as did from m""")
+@query(f"""with {_LINES}, f as (select doc_no, arg_min(text, line_no) as t from s where kind = 'experience' and role = 'line' and len(regexp_extract_all(text, '\\S+')) >= 4 group by 1) select doc_no, case when length(t) > 110 then substr(t, 1, 110) || '…' else t end as did from f""")
 def did_fallback(spark: SparkSession, d: str) -> DataFrame:
     """First line of experience with four words, cut at 110 characters."""
-    lines = extract.parsed_lines(table(spark, d, "docs"), "doc_no", "markdown").where((F.col("kind") == "experience") & F.col("line").rlike("^[-*•] ") & (T.word_count(F.col("line")) >= 5))
-    m = lines.groupBy("doc_no").agg(F.min_by(F.regexp_replace("line", "^[-*•] +", ""), "line_no").alias("t"))
+    lines = extract.parsed_lines(table(spark, d, "docs"), "doc_no", "markdown").where((F.col("kind") == "experience") & (F.col("role") == "line") & (T.word_count(F.col("text")) >= 4))
+    m = lines.groupBy("doc_no").agg(F.min_by("text", "line_no").alias("t"))
     return m.select("doc_no", F.when(F.length("t") > 110, F.concat(F.substring("t", 1, 110), F.lit("…"))).otherwise(F.col("t")).alias("did"))
 
 
@@ -90,11 +90,12 @@ def evidence_rule(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("kind").agg(F.count_if(has).alias("strict"), F.count_if((F.col("kind") == "topic") | has).alias("normal"), F.count("*").alias("loose"), F.count_if(F.col("r") >= 2).alias("used"))
 
 
-@query("""with p as (select doc_no, max(availability) as a from profile group by 1) select doc_no from p where regexp_matches(lower(a), 'immediate|now|at once') or regexp_extract(lower(a), '([0-9]+) *week', 1) = '2'""")
+@query(f"""with p as (select doc_no, max(availability) as availability from profile group by 1) select doc_no from p where {AVAILABILITY_SQL} in ('now', '2w', '1m')""")
 def filter_availability(spark: SparkSession, d: str) -> DataFrame:
-    """Availability by its label; a missing one never matches."""
+    """Availability by its label, as are the wanted values; a missing one never matches."""
     p = table(spark, d, "profile").groupBy("doc_no").agg(F.max("availability").alias("a"))
-    return p.where(T.availability_label(F.col("a")).isin("now", "avail 2w")).select("doc_no")
+    wanted = [T.availability_label(F.lit(x)) for x in ("Immediate", "2 weeks", "1m")]
+    return p.where(T.availability_label(F.col("a")).isin(*wanted)).select("doc_no")
 
 
 @query(r"""with c as (select doc_no, unnest(chunks) as c from build_docs), s as (select doc_no, c.idx as idx, len(list_filter(['payment', 'gateway', 'audit', 'trail'], lambda w: contains(lower(c.text), w))) as score from c) select doc_no, max(score)::int as score, arg_max(idx, score * 100000 - idx) as idx from s group by 1 having max(score) >= 2""")

@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import cards as C
+from ..operators import chunks as K
+from ..operators import extract
 from ..operators import index as I
-from ..operators.extract import level_rank
+from ..runtime import prepared as once_built
 from ..runtime import table
+from . import prepared
+from .corpus import _KINDS
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -35,6 +40,12 @@ def chunk_sizes(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d).select("doc_no", "idx", size.alias("size"), (F.col("tokens").isNull() | (F.col("tokens") != size)).alias("wrong"), F.concat_ws(" / ", F.nullif("header", F.lit("")), "section").alias("context"))
 
 
+@query()
+def chunks_built(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in chunks by section and entry."""
+    return K.chunked(table(spark, d, "docs"), "doc_no", "markdown")
+
+
 _TF = r"""w as (select doc_no, regexp_extract_all(lower(markdown), '[a-z0-9]+') as ws from docs where not coalesce(deleted, false) and markdown is not null)"""
 
 
@@ -52,64 +63,144 @@ def _bm25_sql(words: list[str]) -> str:
 
 @query(_bm25_sql(["payment", "gateway", "python"]))
 def fulltext_bm25(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with all query words, by BM25."""
-    docs = table(spark, d, "docs").where("not coalesce(deleted, false) and markdown is not null").select("doc_no", T.words(F.col("markdown")).alias("ws"))
-    return I.bm25(docs, "doc_no", "ws", ["payment", "gateway", "python"]).withColumn("score", F.round("score", 6))
+    """Documents with all query words, by BM25; the words of the index are read by word."""
+    return I.bm25(prepared.words(spark, d), prepared.sizes(spark, d), "doc_no", ["payment", "gateway", "python"]).withColumn("score", F.round("score", 6))
 
 
 @query(r"""select doc_no from docs where regexp_matches(markdown, '(?i)\bdata\w*\W+contrac\w*')""")
 def fulltext_phrase(spark: SparkSession, d: str) -> DataFrame:
     """Phrase check by neighbouring stems."""
-    return table(spark, d, "docs").where(F.col("markdown").rlike("(?i)" + I.prefix_phrase("data contracts"))).select("doc_no")
+    pattern = I.phrase_pattern(F.array(F.lit("data"), F.lit("contracts")))
+    return table(spark, d, "docs").where(F.rlike("markdown", pattern)).select("doc_no")
+
+
+_CHUNKS_SQL = f"""ch as (select doc_no, c.idx as idx, doc_no || ':' || c.idx as chunk, {_KINDS.format("c.section")} as kind, c.text as text from (select doc_no, unnest(chunks) as c from build_docs)),
+    kv as (select substr(key, 1, 2) as pre, arg_min(vec, key)::double[] as vec from emb where model = 'hash-embed-96' and len(vec) = 96 and len(list_filter(vec, lambda x: x <> 0)) > 0 group by 1)"""
+POSTINGS_SQL = rf"""{_CHUNKS_SQL}, tm as (select * from terms where kind <> 'title'),
+    cl as (select term_id, doc_no, greatest(1, case level when 'led' then 3 when 'used' then 2 when 'listed' then 1 else 0 end) as r, via = 'llm' and kind = 'topic' as only_said from doc_terms join tm using (term_id)),
+    c1 as (select term_id, doc_no, max(case when not coalesce(only_said, false) then r end) as ev, max(case when only_said then r end) as said from cl group by 1, 2),
+    fo as (select term_id, unnest(list_prepend(canonical, coalesce(aliases, []))) as form, list_transform(coalesce(ambiguous, []), lambda x: lower(x)) as unsure from tm),
+    fw as (select distinct term_id, regexp_extract_all(lower(form), '[a-z0-9]+') as words from fo where not list_contains(unsure, lower(form))),
+    fx as (select term_id, words, len(list_distinct(words)) as n, '(?i)\b' || array_to_string(list_transform(words, lambda w: (case when length(w) <= 4 then w else substr(w, 1, greatest(4, length(w) - 2)) end) || '\w*'), '\W+') as pattern from fw where len(words) > 1 or length(words[1]) >= 4),
+    cw as (select chunk, doc_no, kind, text, regexp_extract_all(lower(text), '[a-z0-9]+') as ws from ch where text is not null), z as (select count(*) as docs, avg(len(ws)) as a from cw),
+    tf as (select chunk, doc_no, kind, len(ws) as n, u.word, count(*) as tf from cw, unnest(ws) as u(word) group by all), df as (select word, count(*) as df from tf group by 1),
+    sc as (select chunk, doc_no, tf.word, ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / a)) as part from tf join df using (word), z where kind = 'experience'),
+    ht as (select sc.chunk, sc.doc_no, x.term_id, x.words, x.pattern, x.n, sum(part) as score, count(*) as k from (select term_id, words, pattern, n, unnest(list_distinct(words)) as word from fx) x join sc using (word) group by all),
+    c2 as (select term_id, ht.doc_no, max(score) as bm25 from ht join ch using (chunk) where k = n and (len(words) = 1 or regexp_matches(ch.text, pattern)) group by 1, 2),
+    c3 as (select term_id, doc_no, max(list_cosine_similarity(vec, emb::double[])) as cosine from ch join kv on pre = substr(sha256(text), 1, 2), tm where kind_ok(ch.kind) and emb is not null and list_cosine_similarity(vec, emb::double[]) >= {prepared.TAU} group by 1, 2)""".replace("kind_ok(ch.kind)", "ch.kind <> 'education'") + r""",
+    su as (select term_id, doc_no, ev, said, null::double as bm25 from c1 union all select term_id, doc_no, null, null, bm25 from c2),
+    cx as (with recursive c as (select slug, unnest(implies) as implied, 1 as depth from tm union all select c.slug, unnest(t.implies), depth + 1 from c join tm t on t.slug = c.implied where depth < 5) select distinct x.term_id as skill, y.term_id as topic from c join tm x on x.slug = c.slug join tm y on y.slug = c.implied where c.slug <> c.implied),
+    al as (select term_id, doc_no, ev, said, bm25, null::double as cosine from su union all select topic, doc_no, ev, null, bm25, null from su join cx on skill = term_id where ev is not null or bm25 is not null union all select term_id, doc_no, null, null, null, cosine from c3),
+    ag as (select term_id, doc_no, max(ev) as ev, max(said) as said, max(bm25) as bm25, max(cosine) as cosine from al group by 1, 2),
+    pw as (select *, ev is not null or bm25 is not null as strong, case when ev is not null or bm25 is not null then coalesce(greatest(ev, said), 0) else 0 end as evidence from ag),
+    po as (select pw.term_id::bigint as term_id, kind, doc_no, coalesce('g' || dup_group, 'd' || doc_no) as person, evidence::int as evidence, coalesce(bm25, 0) as bm25, coalesce(cosine, 0) as cosine, strong, evidence >= 2 as used, not strong and cosine is not null as weak
+        from pw join tm on tm.term_id = pw.term_id join docs using (doc_no) where not coalesce(deleted, false) and (strong or cosine is not null))"""
+
+
+@query(f"with {POSTINGS_SQL} select term_id, doc_no, evidence, strong, used, weak from po")
+def postings(spark: SparkSession, d: str) -> DataFrame:
+    """Members of every term from claims, full text and vectors."""
+    return prepared.postings(spark, d).select("term_id", "doc_no", "evidence", "strong", "used", "weak")
 
 
-_POST = """p as (select term_id, doc_no, max(case when via <> 'llm-embed' then case level when 'led' then 3 when 'used' then 2 when 'listed' then 1 else 0 end end) as r from doc_terms where term_id is not null group by 1, 2)"""
+@query(f"with {POSTINGS_SQL} select term_id, doc_no, evidence, round(bm25, 6) as bm25, round(cosine, 6) as cosine from po")
+def member_scores(spark: SparkSession, d: str) -> DataFrame:
+    return prepared.postings(spark, d).select("term_id", "doc_no", "evidence", F.round("bm25", 6).alias("bm25"), F.round("cosine", 6).alias("cosine"))
 
 
-@query(f"""with {_POST} select term_id, doc_no, coalesce(r, 0)::int as evidence_rank, r is not null as strong, coalesce(r >= 2, false) as used, r is null as weak from p""")
-def postings(spark: SparkSession, d: str) -> DataFrame:
-    return I.postings(table(spark, d, "doc_terms"))
+@query(f"with {POSTINGS_SQL} select term_id, count(*) filter (where strong) as n_strong, count(*) filter (where used) as n_used, count(*) filter (where weak) as n_weak from po group by 1")
+def posting_counts(spark: SparkSession, d: str) -> DataFrame:
+    return prepared.postings(spark, d).groupBy("term_id").agg(F.count_if("strong").alias("n_strong"), F.count_if("used").alias("n_used"), F.count_if("weak").alias("n_weak"))
 
 
-@query(f"""with {_POST} select term_id, count(*) filter (where r is not null) as n_strong, count(*) filter (where r >= 2) as n_used, count(*) filter (where r is null) as n_weak from p group by 1""")
-def posting_counts(spark: SparkSession, d: str) -> DataFrame:
-    return I.postings(table(spark, d, "doc_terms")).groupBy("term_id").agg(F.count_if("strong").alias("n_strong"), F.count_if("used").alias("n_used"), F.count_if("weak").alias("n_weak"))
+@query(f"with {POSTINGS_SQL} select term_id, doc_no, round(bm25, 6) as bm25 from po where bm25 > 0")
+def channel_fulltext(spark: SparkSession, d: str) -> DataFrame:
+    """Members that full text makes."""
+    return prepared.postings(spark, d).where("bm25 > 0").select("term_id", "doc_no", F.round("bm25", 6).alias("bm25"))
+
+
+@query(f"with {_CHUNKS_SQL} select doc_no, max(list_cosine_similarity(vec, emb::double[])) >= 0.3 as near, round(max(list_cosine_similarity(vec, emb::double[])), 6) as cosine from ch join kv on pre = substr(sha256(text), 1, 2), (select emb from terms where slug = 'data-pipelines') where kind <> 'education' group by 1")
+def channel_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity of each document to a query vector: that of its best chunk, education aside."""
+    q = table(spark, d, "terms").where("slug = 'data-pipelines'").select(F.lit(0).alias("term_id"), "emb").limit(1)
+    best = I.near_terms(prepared.chunks(spark, d), q, -1.0)
+    return best.select("doc_no", (F.col("cosine") >= 0.3).alias("near"), F.round("cosine", 6).alias("cosine"))
+
+
+def _round_trip(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "doc_terms").where("term_id is not null").select("term_id", "doc_no").distinct()
+    return rows.groupBy("term_id", F.floor(F.col("doc_no") / 32768).cast("int").alias("bucket")).agg(F.base64(F.bitmap_construct_agg(F.col("doc_no") % 32768)).alias("bits"))
 
 
-@query("""select term_id, doc_no // 32768 as bucket, count(distinct doc_no) as members from doc_terms where term_id is not null group by 1, 2""")
+@query("""select distinct term_id, doc_no from doc_terms where term_id is not null""")
 def posting_bitmaps(spark: SparkSession, d: str) -> DataFrame:
-    """Postings as bitmaps of a fixed size for each term and bucket of documents, counted again from the bitmaps."""
-    bits = table(spark, d, "doc_terms").where("term_id is not null").groupBy("term_id", F.floor(F.col("doc_no") / 32768).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.col("doc_no") % 32768).alias("bits"))
-    return bits.select("term_id", "bucket", F.bitmap_count("bits").alias("members"))
+    """Postings as bitmaps in base64 for each term and bucket of documents, and read back."""
+    return I.members_of(once_built(spark, d, "bitmaps", _round_trip)).select("term_id", "doc_no")
 
 
-@query(f"""with {_POST}, c as (select p.term_id, y.term_id as topic, doc_no, r from p join terms x on x.term_id = p.term_id, unnest(x.implies) as u(i) join terms y on y.slug = u.i where r is not null)
-    select topic as term_id, doc_no, max(r)::int as inherited from c group by 1, 2""")
+@query("""with a as (select distinct term_id, doc_no from doc_terms where term_id is not null), o as (select distinct term_id, doc_no from doc_terms where term_id is not null and level = 'led'), g as (select doc_no from docs where coalesce(deleted, false)),
+    x as (select term_id, doc_no from a where (term_id, doc_no) not in (select term_id, doc_no from o) and doc_no not in (select doc_no from g)) select term_id, doc_no // 32768 as bucket, count(*) as members from x group by 1, 2""")
+def bitmaps_maintained(spark: SparkSession, d: str) -> DataFrame:
+    """Bitmaps with new members added, some taken out and deleted documents discarded, without unpacking them."""
+    dt = table(spark, d, "doc_terms").where("term_id is not null").select("term_id", "doc_no", "level")
+    pack = lambda rows: I.bitmaps(rows.select("term_id", "doc_no"))
+    old, new, off = pack(dt.where("level <> 'listed' or level is null")), pack(dt.where("level = 'listed'")), pack(dt.where("level = 'led'"))
+    gone = table(spark, d, "docs").where("coalesce(deleted, false)").select("doc_no")
+    kept = I.bitmaps_without(I.bitmaps_without(I.bitmaps_or(old, new), off, ["term_id", "bucket"]), I.bitmaps(gone.select(F.lit(0).alias("term_id"), "doc_no")).drop("term_id"), ["bucket"])
+    return kept.select("term_id", "bucket", F.bitmap_count("bits").alias("members")).where("members > 0")
+
+
+@query(f"with {POSTINGS_SQL} select topic::bigint as term_id, doc_no, max(ev)::int as evidence, round(max(bm25), 6) as bm25 from su join cx on skill = term_id where ev is not null or bm25 is not null group by 1, 2")
 def topics_inherited(spark: SparkSession, d: str) -> DataFrame:
-    """Topics get the strong evidence of the skills that imply them."""
-    terms = table(spark, d, "terms")
-    up = terms.select("term_id", F.explode("implies").alias("slug")).join(terms.select("slug", F.col("term_id").alias("topic")), "slug").select("term_id", "topic")
-    strong = I.postings(table(spark, d, "doc_terms")).where("strong").join(up, "term_id")
-    return strong.groupBy(F.col("topic").alias("term_id"), "doc_no").agg(F.max("evidence_rank").alias("inherited"))
+    """What topics get from the skills that imply them, over any number of steps."""
+    terms = table(spark, d, "terms").where("kind <> 'title'")
+    return I.inherited(I.sure(table(spark, d, "doc_terms"), terms, prepared.chunks(spark, d)), terms).groupBy(F.col("term_id").cast("bigint").alias("term_id"), "doc_no").agg(F.max("ev").alias("evidence"), F.round(F.max("bm25"), 6).alias("bm25"))
+
+
+AVAILABILITY_SQL = r"""case when trim(availability) = '' then null when regexp_matches(lower(trim(availability)), '^(avail )?(immediate|now$)') then 'now' when regexp_matches(lower(trim(availability)), '^(notice |avail )?[0-9]+\s*[wmd](eeks?|onths?|ays?)?$')
+    then regexp_extract(availability, '[0-9]+') || lower(regexp_extract(lower(availability), '[0-9]+\s*([wmd])', 1)) else substr(lower(trim(availability)), 1, 14) end"""
+
+
+_CARD_PARTS = f"""pr as (select doc_no, max(current_title) as title, max(headline) as headline, max(years) as years, max(rate) as rate, max(currency) as currency, max(location) as location, bool_or(remote) as remote, max(availability) as availability, max(did) as did from profile group by 1),
+    sk as (select doc_no, canonical, max(case level when 'led' then 3 when 'used' then 2 when 'listed' then 1 else 0 end) as r from doc_terms join terms using (term_id) where kind = 'skill' and via <> 'implied' group by 1, 2),
+    sl as (select doc_no, coalesce(list(canonical order by r desc, canonical) filter (where r >= 2), []) as used, coalesce(list(canonical order by canonical) filter (where r = 1), []) as listed from sk group by 1),
+    cp as (select pr.doc_no, d.id, concat_ws(' · ', d.id, substr(case when tt = upper(tt) and tt <> lower(tt) then list_aggregate(list_transform(string_split(lower(tt), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') else tt end, 1, 60), case when years >= 2 then round_even(years, 0)::int || 'y' when years is not null then printf('%.1f', years) || 'y' end,
+        case when rate is not null then coalesce(case currency when 'EUR' then '€' when 'USD' then '$' when 'GBP' then '£' else currency || ' ' end, '€') || round_even(rate, 0)::bigint || '/h' end,
+        case when location is not null then trim(split_part(location, ',', 1)) || case when remote then ' (remote ok)' else '' end when remote then 'remote ok' end, 'avail ' || {AVAILABILITY_SQL}) as facts,
+        coalesce(used, []) as used, coalesce(listed, []) as listed, rtrim(regexp_replace(trim(coalesce(did, '')), '\\.+$', '')) as did from (select *, coalesce(title, headline) as tt from pr) pr join docs d using (doc_no) left join sl using (doc_no))"""
 
 
-@query("""with p as (select doc_no, max(current_title) as title, max(seniority) as seniority, max(location) as location, max(years) as years from profile group by 1),
-    s as (select doc_no, list_sort(list(distinct canonical) filter (where level <> 'listed')) as used, list_sort(list(distinct canonical) filter (where level = 'listed')) as listed from doc_terms join terms using (term_id) where via <> 'implied' group by 1)
-    select p.doc_no, concat_ws(' · ', title, lower(seniority), split_part(location, ',', 1)) as facts, years, coalesce(s.used, []) as used, coalesce(s.listed, []) as listed from p left join s using (doc_no)""")
+def _card_parts(spark: SparkSession, d: str) -> DataFrame:
+    p = prepared.profile(spark, d).where("id is not null")
+    t = table(spark, d, "doc_terms").where("via <> 'implied'").join(table(spark, d, "terms").where("kind = 'skill'").select("term_id", "canonical"), "term_id")
+    r = t.groupBy("doc_no", "canonical").agg(F.max(extract.level_rank(F.col("level"))).alias("r"))
+    named = F.sort_array(F.collect_list(F.when(F.col("r") >= 2, F.struct((-F.col("r")).alias("r"), "canonical"))))
+    s = r.groupBy("doc_no").agg(F.transform(named, lambda x: x["canonical"]).alias("used"), F.sort_array(F.collect_list(F.when(F.col("r") == 1, F.col("canonical")))).alias("listed"))
+    c = {n: F.col(n) for n in ("id", "years", "rate", "currency", "location", "remote", "availability")} | {"title": F.coalesce("current_title", "headline")}
+    return p.join(s, "doc_no", "left").select("doc_no", "id", C.facts(c).alias("facts"), "used", "listed", "did")
+
+
+@query(f"""with {_CARD_PARTS}, st as (select *, len(listed) as a, greatest(len(used) - 4, 0) as b, greatest(0, ceil((length(did) - 41) / 20.0))::int as cuts from cp),
+    k as (select st.*, r.k from st, unnest(range(0, len(listed) + len(used) + cuts + 1)) as r(k)),
+    n as (select *, len(used) - least(greatest(0, k - a), b) - greatest(0, k - a - b - cuts) as nu, a - least(k, a) as nl, least(greatest(0, k - a - b), cuts) as nd from k),
+    w as (select doc_no, k, a + len(used) + cuts as last, facts, array_to_string(used[:greatest(nu, 0)], ', ') as us, array_to_string(listed[:nl], ', ') as ls, case when nd > 0 then rtrim(substr(did, 1, greatest(40, length(did) - nd * 20 - 1))) || '…' else did end as did from n),
+    x as (select doc_no, k, last, concat_ws(chr(10), facts, case when us <> '' or ls <> '' then 'skills: ' || concat_ws(' · ', nullif(us, ''), case when ls <> '' then 'listed only: ' || ls end) end, case when did <> '' then 'did: ' || did end) as text from w)
+    select doc_no, arg_min(text, k) as text, greatest(1, length(arg_min(text, k)) // 4)::bigint as tokens from x where length(text) // 4 <= 110 or k = last group by 1""")
 def cards(spark: SparkSession, d: str) -> DataFrame:
-    """The parts of a result card: facts, terms used and terms only listed."""
-    p = table(spark, d, "profile").groupBy("doc_no").agg(F.max("current_title").alias("title"), F.max("seniority").alias("seniority"), F.max("location").alias("location"), F.max("years").alias("years"))
-    t = table(spark, d, "doc_terms").where("via <> 'implied'").join(table(spark, d, "terms").select("term_id", "canonical"), "term_id")
-    s = t.groupBy("doc_no").agg(F.sort_array(F.collect_set(F.when(F.col("level") != "listed", F.col("canonical")))).alias("used"), F.sort_array(F.collect_set(F.when(F.col("level") == "listed", F.col("canonical")))).alias("listed"))
-    none = F.array().cast("array<string>")
-    return p.join(s, "doc_no", "left").select("doc_no", F.concat_ws(" · ", "title", F.lower("seniority"), F.split_part("location", F.lit(","), F.lit(1))).alias("facts"), "years", F.coalesce("used", none).alias("used"), F.coalesce("listed", none).alias("listed"))
+    """Result cards within 110 tokens."""
+    return C.rendered(_card_parts(spark, d)).select("doc_no", "text", "tokens")
 
 
-_AVAIL = """case when trim(availability) = '' then null when regexp_matches(lower(trim(availability)), 'immediate|now|at once') then 'now' when regexp_matches(lower(trim(availability)), '[0-9]+ *(week|month)')
-    then 'avail ' || (regexp_extract(lower(trim(availability)), '([0-9]+) *(week|month)', 1)::int * case when contains(lower(availability), 'month') then 4 else 1 end) || 'w' else substr(lower(trim(availability)), 1, 20) end"""
+@query(f"""with {_CARD_PARTS} select doc_no, used, listed, nullif(did, '') as did from cp where length(concat_ws(chr(10), facts, 'skills: ' || concat_ws(' · ', nullif(array_to_string(used, ', '), ''), case when len(listed) > 0 then 'listed only: ' || array_to_string(listed, ', ') end), case when did <> '' then 'did: ' || did end)) // 4 <= 110 and len(used) + len(listed) > 0""")
+def cards_read_back(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of cards that needed no trimming, read back from their text."""
+    parts = _card_parts(spark, d)
+    shown = C.read_back(C.rendered(parts).where("size(used) + size(listed) > 0"), "text")
+    whole = (F.size("used") == F.size("used_shown")) & (F.size("listed") == F.size("listed_shown")) & (F.coalesce("did_shown", F.lit("")) == F.col("did"))
+    return shown.where(whole).select("doc_no", F.col("used_shown").alias("used"), F.col("listed_shown").alias("listed"), F.col("did_shown").alias("did"))
 
 
-@query(f"""select distinct doc_no, {_AVAIL} as label, case when current_title = upper(current_title) and current_title <> lower(current_title) then list_aggregate(list_transform(string_split(lower(current_title), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') else current_title end as title from profile""")
+@query(f"""select distinct doc_no, {AVAILABILITY_SQL} as label, case when current_title = upper(current_title) and current_title <> lower(current_title) then list_aggregate(list_transform(string_split(lower(current_title), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') else current_title end as title from profile""")
 def card_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "profile").select("doc_no", T.availability_label(F.col("availability")).alias("label"), T.title_case_if_upper(F.col("current_title")).alias("title")).distinct()
 
@@ -172,8 +263,3 @@ def embedding_misses(spark: SparkSession, d: str) -> DataFrame:
     total = k.agg(F.count("*").alias("texts"), F.count_distinct("h").alias("distinct_texts"))
     miss = k.select("key").distinct().join(table(spark, d, "emb").select("key"), "key", "left_anti").agg(F.count("*").alias("misses"))
     return total.crossJoin(miss)  # one row each
-
-
-@query("""select doc_no, term_id, max(case level when 'led' then 3 when 'used' then 2 when 'listed' then 1 else 0 end)::int as evidence_rank, count(distinct section) as sections from doc_terms where term_id is not null group by 1, 2""")
-def member_scores(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "doc_terms").where("term_id is not null").groupBy("doc_no", "term_id").agg(F.max(level_rank(F.col("level"))).alias("evidence_rank"), F.count_distinct("section").alias("sections"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,9 +41,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all machines share")
         found = tempfile.mkdtemp(prefix="siftline-")
-        import atexit
-
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -77,11 +80,44 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     shipped(spark)
-    path = os.path.join(shared_folder(spark), f"siftline-{uuid.uuid4().hex}")
+    folder = os.path.join(shared_folder(spark), f"siftline-{spark.sparkContext.applicationId}")
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_removed, spark, folder)
+    path = os.path.join(folder, uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_FOLDERS: set[str] = set()
+
+
+def _removed(spark: SparkSession, folder: str) -> None:
+    """Deletes what this application stored, when its driver ends; what a killed one leaves is named by its id."""
+    with contextlib.suppress(Exception):  # the session may have ended before
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_PREPARED: dict[tuple, DataFrame] = {}
+
+
+def version(spark: SparkSession, folder: str) -> tuple:
+    """The version of the tables of a folder: name, length and time of each file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
+def prepared(spark: SparkSession, folder: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A table of the index, built from the tables of a folder once for each version of them, then read from the shared
+    folder: what a search reads is prepared by the build, as are postings and profiles."""
+    key = (spark.sparkContext.applicationId, folder, name, version(spark, folder))
+    if key not in _PREPARED:
+        _PREPARED[key] = stored(build(spark, folder))
+    return _PREPARED[key]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     shipped(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")

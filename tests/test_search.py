@@ -27,11 +27,89 @@ def test_laws(index):
 
 def test_suggested_counts_are_delivered(index):
     view = index.search(Criteria(min_years=3))
-    names = {r["term_id"]: (r["kind"], r["canonical"]) for r in index.terms.collect()}
-    for r in view.suggestions(3).collect():
-        kind, name = names[r["term_id"]]
-        c = Criteria(**{"skills" if kind == "skill" else "topics": [name]}, strict=True)
-        assert view.add(c).count() == r["n"]
+    fields = {"skill": lambda v: {"skills": [v], "strict": True}, "seniority": lambda v: {"seniority": [v]}, "where": lambda v: {"location": [v]}, "remote": lambda v: {"remote": True}, "avail": lambda v: {"availability": [v]}, "rate": lambda v: {"rate_max": float(v)}}
+    rows = view.suggestions(40).collect()
+    assert {r["grp"] for r in rows} >= {"seniority", "where", "avail"}
+    for r in rows:
+        if r["grp"] in fields:
+            assert view.add(Criteria(**fields[r["grp"]](r["value"]))).count() == r["n"], r
+
+
+def test_availability_is_read_in_any_wording(index):
+    found = {w: set(ids(index.search(Criteria(availability=[w])))) for w in ("2 weeks", "2w", "avail 2w", "Immediate", "now", "1 month", "1m", "3 months")}
+    assert found["2 weeks"] == found["2w"] == found["avail 2w"] and found["2w"] and found["Immediate"] == found["now"] != found["2w"]
+    assert found["1 month"] == found["1m"] and found["1m"] and found["3 months"] and not found["1m"] & found["3 months"]
+
+
+def test_unknown_names_fall_back_to_text(index):
+    assert set(ids(index.search(Criteria(skills=["release notes"])))) == set(ids(index.search(Criteria(text="release notes")))) != set()
+    assert set(ids(index.search(Criteria(text="the release of notes")))) == set(ids(index.search(Criteria(text="release notes"))))
+
+
+def test_vectors_of_a_text(spark):
+    v = next(r["emb"] for r in spark.read.parquet(f"{DATA}/terms.parquet").where("slug = 'data-pipelines'").collect())
+    calls = []
+    index = Index.open(spark, DATA, lambda t: calls.append(t) or v)
+    c = Criteria(text="release notes")
+    rows = index.condition(c).collect()
+    weak = {r["doc_no"] for r in rows if not r["strong"]}
+    strong = {r["doc_no"] for r in rows if r["strong"]}
+    plain = {r["doc_no"] for r in Index.open(spark, DATA).condition(c).collect()}
+    assert strong == plain and not weak & strong and all(r["near"] >= 0.35 for r in rows if not r["strong"])
+    assert index.vector("release notes") and calls == ["release notes"]
+    s = index.search(c).summary().first()
+    assert s["members"] == s["strong"] + s["weak"]
+
+
+def test_query_document(index):
+    text = "# Wanted\nNice to have:\n- Python\n- Docker or Terraform\n- a sense of humour and more\n"
+    alone = {r["doc_no"]: r for r in index.condition(Criteria(like=text)).collect()}
+    assert alone and all(0 < r["cover"] <= 1 for r in alone.values())
+    skills = {n: {r["doc_no"] for r in index.condition(Criteria(skills=[n])).collect()} for n in ("Python", "Docker", "Terraform")}
+    assert set(alone) == set().union(*skills.values())  # one of two lines is enough
+    assert set(ids(index.search(Criteria(skills=["Python"], like=text)))) == set(ids(index.search(Criteria(skills=["Python"]))))  # terms decide
+    name = index.docs.where("id is not null and markdown is not null").select("id", "markdown").first()
+    assert index.query_text(name["id"]) == name["markdown"] and index.query_text("words") == "words"
+
+
+def test_empty_views_say_why(index):
+    a, b = Criteria(skills=["Python"]), Criteria(min_years=70)
+    view = index.search(a).add(b)
+    assert view.count() == 0
+    rows = {r["condition"]: (r["n"], r["culprit"]) for r in view.diagnosis().collect()}
+    assert rows == {b.key(): (index.search(a).count(), True)}
+    assert index.search(a).diagnosis().count() == 0
+    shown = view.snapshot()
+    assert "diagnosis" in shown and "suggestions" not in shown and shown["rows"].count() == 0 and shown["summary"].first()["members"] == 0
+
+
+def test_drop_by_word(index):
+    view = index.search(Criteria(skills=["Python"]), Criteria(min_years=3), Criteria(rate_max=100))
+    assert len(view.drop_word("python").conditions) == 2 and len(view.cleared().conditions) == 0
+    for word, code in (("nothing", "NOT_FOUND"), ("3", None), ("a", "AMBIGUOUS")):
+        if code:
+            with pytest.raises(SearchError, match=code):
+                view.drop_word(word)
+    assert ids(view.sorted(F.col("rate").desc()).unsorted()) == ids(view)
+
+
+def test_a_new_version_is_seen(spark, tmp_path):
+    import shutil
+
+    folder = tmp_path / "v"
+    folder.mkdir()
+    for name in ("docs", "profile", "terms", "doc_terms", "build_docs", "emb"):
+        shutil.copy(f"{DATA}/{name}.parquet", folder / f"{name}.parquet")
+    index = Index.open(spark, str(folder))
+    view = index.search(Criteria(min_years=3))
+    before = ids(view)
+    assert view.refreshed() is view
+    docs = spark.read.parquet(str(folder / "docs.parquet"))
+    docs.withColumn("deleted", (F.col("doc_no") == before[0]) | F.coalesce("deleted", F.lit(False))).coalesce(1).write.parquet(str(tmp_path / "new"))
+    part = next(p for p in (tmp_path / "new").iterdir() if p.suffix == ".parquet")
+    shutil.copy(part, folder / "docs.parquet")
+    after = view.refreshed()
+    assert after is not view and before[0] not in ids(after)
 
 
 def test_pages_and_sort(index):
@@ -56,21 +134,21 @@ def test_text_beside_terms(index):
 
 
 def test_order_fuses_all_ranked_conditions(index):
-    skill, text = Criteria(skills=["Python", "Docker"], mode="any"), Criteria(text="the")
+    skill, text = Criteria(skills=["Python", "Docker"], mode="any"), Criteria(text="release")
     view = index.search(skill).add(text)
     a, b = ({r["doc_no"]: r for r in index.condition(c).collect()} for c in (skill, text))
-    years = {r["doc_no"]: r["years"] for r in index.profile.collect()}
     docs = [r["doc_no"] for r in view.members().collect()]
-    lists = [{d: x[d] for d in docs if x.get(d) is not None} for x in (years, {d: r["evidence"] for d, r in a.items()}, {d: r["score"] for d, r in b.items()})]
+    lists = [{d: x[d] for d in docs if x.get(d) is not None} for x in (*({d: r[s] for d, r in a.items()} for s in ("evidence", "bm25", "cosine")), {d: r["score"] for d, r in b.items()})]
     rank = lambda x, d: 1 + sum(d not in x or x[d] < v for k, v in x.items() if k != d)
     fused = {d: sum(1 / (60 + rank(x, d)) for x in lists) for d in docs}
-    assert len(docs) > 2 and ids(view) == sorted(docs, key=lambda d: (-a[d]["coverage"] - b[d]["coverage"], -fused[d], d))
+    assert len(docs) > 2 and ids(view) == sorted(docs, key=lambda d: (-a[d]["coverage"] - b[d]["coverage"], -round(fused[d], 12), d))
 
 
 def test_keys_and_errors(index):
     assert Criteria(skills=["Python", " docker"]).key() == Criteria(skills=["DOCKER", "python"]).key() != Criteria(skills=["python"]).key()
     assert Criteria(rate_max="1,200 €").rate_max == 1200
-    for bad in ({"mode": "some"}, {"min_years": -1}, {"seniority": ["boss"]}):
+    assert Criteria(skills="Python | Docker").skills == ["Python", "Docker"] and Criteria(remote="yes").remote is True
+    for bad in ({"mode": "some"}, {"min_years": -1}, {"seniority": ["boss"]}, {"min_years": "many"}, {"remote": "perhaps"}):
         with pytest.raises(SearchError):
             Criteria(**bad)
     with pytest.raises(SearchError, match="nearest: python"):
