@@ -128,6 +128,14 @@ def redaction(df: DataFrame, text: str) -> DataFrame:
     return df.drop("__e", "__u", "__p", "__o")
 
 
+def redacted(c: Column) -> Column:
+    """The text of redaction() as one expression, for a single value; for tables redaction() works each step out once."""
+    c = F.regexp_replace(F.regexp_replace(c, EMAIL, "[email]"), URL, "[url]")
+    parts = F.split(F.regexp_replace(c, PHONE_RUN, "\x01$1\x02"), "\x01")
+    judged = F.transform(parts, lambda x, i: F.when((i > 0) & valid_phone(F.substring_index(x, "\x02", 1), F.replace(F.get(parts, i - 1), F.lit("\x02"), F.lit(""))), F.concat(F.lit("[phone]"), F.substring_index(x, "\x02", -1))).otherwise(F.replace(x, F.lit("\x02"), F.lit(""))))
+    return F.when(c.isNotNull(), F.array_join(judged, ""))
+
+
 def availability_label(c: Column) -> Column:
     """'2w', '1m', '10d' for a notice that starts with a number, 'now' for immediate ones, else the first 14 characters of
     the lower-cased text; null for blanks. A label is its own label."""

@@ -78,8 +78,8 @@ def parsed_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
     plain = F.when(role.isin("headline", "section", "entry"), F.trim(F.regexp_replace(line, "^#+ ", ""))).when(role == "meta", F.trim(F.regexp_replace(line, r"^\*|\*$", ""))).otherwise(F.trim(F.regexp_replace(F.trim(line), "^[-*•] +", "")))
     title = lambda i, marks: F.trim(F.substring(F.element_at("ls", i), F.lit(marks + 2), F.length(F.element_at("ls", i))))
-    parsed = rows.select(key, F.col("n").cast("bigint").alias("line_no"), role.alias("role"), plain.alias("text"), F.when(role == "headline", None).when(top.isNull(), "Preamble").otherwise(title(top, 2)).alias("section"), F.when(sub.isNotNull(), title(sub, 3)).alias("entry"), F.coalesce(sub, top, F.lit(0)).cast("bigint").alias("entry_no"))
-    kind = F.when(F.col("role") == "headline", None).when((F.col("section") == "Preamble") & (F.col("entry_no") == 0), "summary").otherwise(section_kind(F.col("section")))
+    parsed = rows.select(key, F.col("n").cast("bigint").alias("line_no"), role.alias("role"), plain.alias("text"), F.when(role == "headline", None).when(top.isNull(), "Preamble").otherwise(title(top, 2)).alias("section"), F.when(sub.isNotNull(), title(sub, 3)).alias("entry"), F.coalesce(sub, top, F.lit(0)).cast("bigint").alias("entry_no"), "top")
+    kind = F.when(F.col("role") == "headline", None).when(F.col("top").isNull(), "summary").otherwise(section_kind(F.col("section")))
     return parsed.select(key, "line_no", "role", "text", "section", kind.alias("kind"), "entry", "entry_no")
 
 
@@ -132,10 +132,11 @@ def with_months(rows: DataFrame, text: str = "dates_text", until: int = UNTIL) -
     return found.select(*rows.columns, *months)
 
 
-def date_ranges(docs: DataFrame, key: str, text: str, until: int = UNTIL) -> DataFrame:
-    """(key, start_month, end_month) of the jobs in sections of experience that count towards years: they start between
-    FIRST_YEAR and the year of ``until`` and last LONGEST months at most."""
-    jobs = with_months(meta_lines(parsed_lines(docs, key, text).where("kind = 'experience'"), key), until=until)
+def date_ranges(docs: DataFrame, key: str, text: str, until: int = UNTIL, kind: str | None = None) -> DataFrame:
+    """(key, start_month, end_month) of the jobs that count towards years, of one kind of section or of all: they start
+    between FIRST_YEAR and the year of ``until`` and last LONGEST months at most."""
+    lines = parsed_lines(docs, key, text)
+    jobs = with_months(meta_lines(lines if kind is None else lines.where(F.col("kind") == kind), key), until=until)
     length = F.col("end_month") - F.col("start_month") + 1
     kept = jobs.where(F.col("start_month").between(FIRST_YEAR * 12, until // 12 * 12 + 11) & length.between(1, LONGEST))
     return kept.select(key, "start_month", "end_month").distinct()

@@ -68,3 +68,58 @@ def deltas(events: DataFrame, session: str, at: str, item: str, value: str) -> D
     before = laid.select(F.col(session).alias("__of"), (F.col("__pos") + 1).alias("__next"), F.col(value).alias("__was"))
     rows = laid.join(before, (F.col("__pos") == F.col("__next")) & F.col(session).eqNullSafe(F.col("__of")), "left").join(first, F.col(session).eqNullSafe(F.col("__session")))
     return rows.select(session, (F.col("__pos") - F.col("__first") + 1).alias("step"), item, (F.col(value) - F.col("__was")).alias("delta"))
+
+
+def newest_on_lineage(steps: DataFrame, judgments: DataFrame, criterion: str, node: str = "id", parent: str = "parent", rounds: int = 30) -> DataFrame:
+    """(node, judgment_id, at): for each step the newest judgment by a criterion on it or any step before it, by pointer
+    doubling. Criteria are the same whatever their case and spacing. judgments: (step, judgment_id, criterion, at);
+    steps without one have no row."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    own = judgments.where(plain(F.col("criterion")) == plain(F.lit(criterion))).groupBy("step").agg(F.max(F.struct("at", "judgment_id")).alias("best"))
+    at = steps.join(own, F.col(node) == F.col("step"), "left").select(F.col(node).alias("node"), F.coalesce(parent, node).alias("up"), "best")
+    at = stored(at)
+    for _ in range(rounds):
+        above = at.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("best").alias("other"))
+        hopped = stored(at.join(above, "up").select("node", F.col("next").alias("up"), F.greatest("best", "other").alias("best"), (F.col("next") != F.col("up")).alias("moved")))
+        at = hopped.drop("moved")
+        if hopped.where("moved").isEmpty():
+            break
+    return at.where("best is not null").select("node", "best.judgment_id", "best.at")
+
+
+#: People that one ranking may judge, and of one call of the judge.
+MOST_JUDGED, BATCH = 50, 25
+
+
+def rank_job(members: DataFrame, judgments: DataFrame, judgment: str, limit: int = MOST_JUDGED) -> DataFrame:
+    """(doc_no, batch): what a ranking has still to judge, in batches: members without a score in the judgment, by number.
+    More members than ``limit`` are refused, since a judge reads them all."""
+    n = members.limit(limit + 1).count()
+    if n > limit:
+        raise ValueError(f"TOO_MANY: more than {limit} members; narrow first")
+    done = judgments.where((F.col("judgment_id") == judgment) & F.col("score").isNotNull()).select("doc_no")
+    rest = members.select("doc_no").distinct().join(done, "doc_no", "left_anti")
+    return rest.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("doc_no")) - 1) / BATCH).cast("int"))  # limit rows
+
+
+def landed(judgments: DataFrame, judgment: str, members: DataFrame) -> DataFrame:
+    """One row (members, scored, missing, finished) of a ranking that may have been stopped half-way."""
+    s = members.select("doc_no").distinct().join(judgments.where(F.col("judgment_id") == judgment).groupBy("doc_no").agg(F.max("score").alias("score")), "doc_no", "left")
+    return s.agg(F.count("*").alias("members"), F.count("score").alias("scored"), F.count_if(F.col("score").isNull()).alias("missing")).withColumn("finished", F.col("missing") == 0)
+
+
+def lockouts(events: DataFrame, user: str, at: str, failed: Column, seconds: int, limit: int) -> DataFrame:
+    """(user, at, until): failures that make ``limit`` within the seconds up to them, and when the user may try again."""
+    w = Window.partitionBy(user).orderBy(F.unix_seconds(F.col(at).cast("timestamp"))).rangeBetween(-seconds, 0)
+    rows = events.where(failed).select(user, at).withColumn("n", F.count("*").over(w)).withColumn("oldest", F.min(at).over(w))
+    return rows.where(F.col("n") >= limit).select(user, at, (F.col("oldest") + F.expr(f"interval {seconds} seconds")).alias("until")).distinct()
+
+
+def nearest_rank(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, a column for each share): the value at place round(share x (n - 1)) of the sorted values, halves to the even
+    place, from the counts of distinct values."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("k"))
+    upto = counts.withColumn("upto", F.sum("k").over(Window.partitionBy(group).orderBy(value)))
+    n = counts.groupBy(group).agg(F.sum("k").alias("n"))
+    both = upto.join(n, group)
+    return both.groupBy(group).agg(*[F.min(F.when(F.col("upto") > F.bround(F.lit(q) * (F.col("n") - 1), 0), F.col(value))).alias(name) for name, q in shares.items()])

@@ -154,7 +154,7 @@ _LINES = rf"""l as (select doc_no, i::bigint as line_no, rtrim(ls[i], ' ') as li
     m as (select *, min(line_no) over (partition by doc_no) = line_no and starts_with(line, '# ') as is_head, max(case when starts_with(line, '## ') then line_no end) over w as top, max(case when starts_with(line, '### ') then line_no end) over w as sub from l window w as (partition by doc_no order by line_no rows unbounded preceding)),
     o as (select *, case when is_head then 'headline' when starts_with(line, '## ') then 'section' when starts_with(line, '### ') then 'entry' when regexp_matches(line, '^\*[^*].*\*$') then 'meta' else 'line' end as role from m),
     t as (select doc_no, line_no, role, case when role in ('headline', 'section', 'entry') then trim(regexp_replace(line, '^#+ ', '')) when role = 'meta' then trim(regexp_replace(line, '^\*|\*$', '', 'g')) else trim(regexp_replace(trim(line), '^[-*•] +', '')) end as text, top, case when sub > coalesce(top, 0) then sub end as sub from o),
-    s as (select t.doc_no, t.line_no, t.role, t.text, case when t.role = 'headline' then null when t.top is null then 'Preamble' else a.text end as section, case when t.role = 'headline' then null when t.top is null and t.sub is null then 'summary' when t.top is null then {_KINDS.format("'Preamble'")} else {_KINDS.format("a.text")} end as kind, b.text as entry, coalesce(t.sub, t.top, 0)::bigint as entry_no
+    s as (select t.doc_no, t.line_no, t.role, t.text, case when t.role = 'headline' then null when t.top is null then 'Preamble' else a.text end as section, case when t.role = 'headline' then null when t.top is null then 'summary' else {_KINDS.format("a.text")} end as kind, b.text as entry, coalesce(t.sub, t.top, 0)::bigint as entry_no
         from t left join t a on a.doc_no = t.doc_no and a.line_no = t.top left join t b on b.doc_no = t.doc_no and b.line_no = t.sub)"""
 
 
@@ -212,7 +212,7 @@ def extract_date_ranges(spark: SparkSession, d: str) -> DataFrame:
     u as (select doc_no, island, max(e) - min(s) + 1 as months from g group by 1, 2) select doc_no, round(sum(months) / 12.0, 1)::double as years, count(*) as islands from u group by 1""")
 def extract_years(spark: SparkSession, d: str) -> DataFrame:
     """Years of experience: the union of overlapping jobs in months."""
-    return intervals.years(extract.date_ranges(table(spark, d, "docs"), "doc_no", "markdown"), "doc_no")
+    return intervals.years(extract.date_ranges(table(spark, d, "docs"), "doc_no", "markdown", kind="experience"), "doc_no")
 
 
 @query(f"""with {_LINES} select doc_no, count(*) filter (where regexp_matches(text, '{extract.LEADING}')) as led, count(*) as lines from s where role = 'line' and kind = 'experience' group by 1""")

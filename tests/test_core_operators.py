@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import text as T
 from siftline.operators import extract, intervals, ranking, sessions, sets, units
-from siftline.operators.index import prefix_phrase
+from siftline.operators import index as I
 
 
 def one(spark, value, f):
@@ -36,7 +36,8 @@ def test_tokens(spark):
 
 def test_availability(spark):
     got = [one(spark, v, T.availability_label) for v in ("2 weeks", "notice 3 months", "Immediately", "", None, "some other long text here")]
-    assert got == ["avail 2w", "avail 12w", "now", None, None, "some other long text"]
+    assert got == ["2w", "3m", "now", None, None, "some other lon"]
+    assert [one(spark, v, T.availability_label) for v in ("2w", "3m", "now", "10 days")] == ["2w", "3m", "now", "10d"]
 
 
 def test_combined(spark):
@@ -69,8 +70,10 @@ def test_lineage(spark):
     assert got[39] == (0, 39) and got[100] == (100, 0) and got[7] == (0, 7)
 
 
-def test_prefix_phrase():
-    assert prefix_phrase("data pipelines") == r"\bdata\w*\W+pipelin\w*"
+def test_phrase_pattern(spark):
+    words = lambda c: I.phrase_pattern(F.split(c, " "))
+    assert one(spark, "data pipelines", words) == r"(?i)\bdata\w*\W+pipelin\w*"
+    assert one(spark, "ab abcde", words) == r"(?i)\bab\w*\W+abcd\w*"
 
 
 REFS = [("currency", "EUR", 1.0), ("currency", "GBP", 1.15), ("period", "hour", 1.0), ("period", "day", 8.0), ("period", "year", 1920.0), ("scale", "thousand", 1000.0), ("scale", "cent", 0.01)]
