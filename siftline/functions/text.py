@@ -172,3 +172,14 @@ def seniority_hint(c: Column) -> Column:
     for name, pattern in reversed(SENIORITY_HINTS.items()):
         out = F.when(c.rlike(f"(?i){pattern}"), name).otherwise(out)
     return out
+
+
+def without_repeats(df: DataFrame, text: str) -> DataFrame:
+    """The rows with the text less each line that equals the last line with content before it, and their number as dropped.
+    All inside the array of lines: nothing is shuffled."""
+    lines = once(df, __l=F.split(F.replace(F.col(text), F.lit("\r"), F.lit("")), "\n"))
+    full = once(lines, __f=F.filter(F.transform("__l", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: F.trim(s["x"]) != ""))
+    again = F.filter(F.zip_with(F.slice("__f", F.lit(2), F.greatest(F.size("__f") - 1, F.lit(0))), F.slice("__f", F.lit(1), F.greatest(F.size("__f") - 1, F.lit(0))), lambda a, b: F.when(a["x"] == b["x"], a["i"])), lambda i: i.isNotNull())
+    gone = once(full, __g=again)
+    kept = F.filter("__l", lambda x, i: ~F.array_contains("__g", i))
+    return gone.withColumn(text, F.array_join(kept, "\n")).withColumn("dropped", F.size("__g").cast("bigint")).drop("__l", "__f", "__g")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import shipped
+from ..runtime import shipped, stored
 
 TOKEN = re.compile(r"[a-z0-9][a-z0-9+#./&'-]*[a-z0-9+#]|[a-z0-9]")
 LONGEST = 5
@@ -69,6 +69,35 @@ def scan(docs: DataFrame, key: str, text: str, terms: DataFrame, sure_only: bool
     return found.drop("sure") if sure_only else found
 
 
+def extracted(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """(key, term_id, level, evidence, section): the terms that a document names, each at its best level with the line that
+    says so. Lines of experience say 'used', those that open with a verb of leading 'led', the headline and all other
+    sections 'listed'; education and sections to skip say nothing.
+
+    An ambiguous form counts where the document also holds a sure form of the term, or its section a word of the term's
+    ``context`` (array, if the table has one; of several words all must be there); what counts once counts everywhere.
+    Lines are scanned where they are parsed; marks of certainty meet by document and term."""
+    from . import extract
+
+    lines = extract.parsed_lines(docs.where(F.col(key).isNotNull()).select(key, text).distinct(), key, text).where("role in ('headline', 'entry', 'line') and not coalesce(kind in ('education', 'skip'), false)")
+    rows = lines.select(F.concat_ws("\x1f", F.col(key).cast("string"), "line_no").alias("__k"), key, "line_no", "role", "kind", "section", F.col("text").alias("t"))
+    rows = stored(rows)
+    hits = scan(rows, "__k", "t", terms, sure_only=False).withColumnRenamed("key", "__k")
+    level = F.when(F.coalesce(F.col("kind") != "experience", F.lit(True)), 1).when(F.col("t").rlike(extract.LEADING), 3).otherwise(2)
+    met = stored(rows.join(hits, "__k").select(key, "line_no", F.coalesce("section", F.lit("headline")).alias("section"), "term_id", "sure", level.alias("level"), F.substring("t", 1, 200).alias("evidence")))
+    confirmed = met.where("sure > 0").select(key, "term_id")
+    if "context" in terms.columns:
+        words = terms.select("term_id", F.explode("context").alias("phrase")).select("term_id", "phrase", F.array_distinct(F.regexp_extract_all(F.lower("phrase"), F.lit(TOKEN.pattern), F.lit(0))).alias("ws")).where("size(ws) > 0")
+        there = rows.select(key, F.coalesce("section", F.lit("headline")).alias("section"), F.explode(F.regexp_extract_all(F.lower("t"), F.lit(TOKEN.pattern), F.lit(0))).alias("word")).distinct()
+        open_ = met.where("sure = 0").select(key, "section", "term_id").distinct().join(words.select("term_id", "phrase", F.size("ws").alias("n"), F.explode("ws").alias("word")), "term_id")
+        said = open_.join(there, [key, "section", "word"]).groupBy(key, "section", "term_id", "phrase", "n").count().where("count = n")
+        confirmed = confirmed.union(said.select(key, "term_id"))
+    kept = met.join(confirmed.distinct(), [key, "term_id"], "left_semi")
+    best = kept.groupBy(key, "term_id").agg(F.max(F.struct("level", (-F.col("line_no")).alias("first"), "evidence", "section")).alias("b"))
+    names = F.element_at(F.array(*map(F.lit, extract.LEVELS)), F.col("b.level"))
+    return best.select(key, "term_id", names.alias("level"), "b.evidence", "b.section")
+
+
 def hashed_embedding(texts: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:
     """(key, vec, tokens): a deterministic unit vector of each text from its hashed tokens, for tests without a model."""
     import xxhash

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import stored
+from .components import union_find
 from .sets import ranked
 
 
@@ -40,10 +41,17 @@ def lineage(steps: DataFrame, node: str = "id", parent: str = "parent", rounds:
     return at.select("node", F.col("up").alias("root"), "depth")
 
 
-def trailing(events: DataFrame, user: str, ts: str, seconds: int, value: Column) -> DataFrame:
-    """Every event with count and sum of its user over the seconds up to it."""
-    w = Window.partitionBy(user).orderBy(F.unix_seconds(F.col(ts).cast("timestamp"))).rangeBetween(-seconds, 0)
-    return events.withColumn("recent", F.count("*").over(w)).withColumn("recent_sum", F.sum(value).over(w))
+def trailing(events: DataFrame, user: str, ts: str, seconds: int, value: Column, count: str = "recent", total: str = "recent_sum") -> DataFrame:
+    """Every event with count and sum of its user over the seconds up to it.
+
+    Time is cut into spans of that length; an event is also seen by the span after its own, so a span sees all that its
+    events reach back to, and the events of one user are spread over as many tasks as there are spans."""
+    secs = F.unix_seconds(F.col(ts).cast("timestamp"))
+    span = F.floor(secs / seconds)
+    rows = events.withColumn("__s", secs).withColumn("__v", value).withColumn("__span", F.explode(F.array(span, span + 1)))
+    w = Window.partitionBy(user, "__span").orderBy("__s").rangeBetween(-seconds, 0)
+    seen = rows.withColumn(count, F.count("*").over(w)).withColumn(total, F.sum("__v").over(w))
+    return seen.where(F.col("__span") == F.floor(F.col("__s") / seconds)).drop("__s", "__v", "__span")
 
 
 def reopens(events: DataFrame, user: str, ts: str, seconds: int, limit: int) -> DataFrame:
@@ -55,9 +63,28 @@ def reopens(events: DataFrame, user: str, ts: str, seconds: int, limit: int) ->
 
 
 def within_budget(turns: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
-    """The newest turns whose sizes add up to the budget at most."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return turns.withColumn("upto", F.sum(size).over(w)).where(F.col("upto") <= budget)
+    """The newest turns whose sizes add up to the budget at most. A turn has one token at least, so no more than
+    ``budget`` turns of a session are looked at: each task keeps those before the shuffle."""
+    w = Window.partitionBy(key).orderBy(F.col(order).desc())
+    last = turns.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= budget).drop("__n")
+    return last.withColumn("upto", F.sum(F.greatest(F.lit(1), F.col(size))).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= budget)
+
+
+def numbered(rows: DataFrame, session: str, order: list[Column], name: str = "step") -> DataFrame:
+    """The rows with their number in their session and whether it is the last, as ``last``. Numbers come from ranges of
+    session and order, so a session with most of the rows is split over tasks."""
+    laid = stored(ranked(rows, [F.col(session), *order], name="__pos"))
+    ends = laid.groupBy(F.col(session).alias("__session")).agg(F.min("__pos").alias("__first"), F.max("__pos").alias("__last"))
+    both = laid.join(ends, F.col(session).eqNullSafe(F.col("__session")))
+    return both.withColumn(name, F.col("__pos") - F.col("__first") + 1).withColumn("last", F.col("__pos") == F.col("__last")).drop("__pos", "__session", "__first", "__last")
+
+
+def shared(users: DataFrame, links: DataFrame) -> DataFrame:
+    """(leader, people, total): users (user, value) linked by (a, b), over any number of links, with one allowance; the
+    smallest user leads. Users without links are alone."""
+    roots = union_find(links)
+    led = users.join(roots, F.col("user") == F.col("node"), "left").select(F.coalesce("root", "user").alias("leader"), "value")
+    return led.groupBy("leader").agg(F.count("*").alias("people"), F.sum("value").alias("total"))
 
 
 def deltas(events: DataFrame, session: str, at: str, item: str, value: str) -> DataFrame:
@@ -109,10 +136,10 @@ def landed(judgments: DataFrame, judgment: str, members: DataFrame) -> DataFrame
 
 
 def lockouts(events: DataFrame, user: str, at: str, failed: Column, seconds: int, limit: int) -> DataFrame:
-    """(user, at, until): failures that make ``limit`` within the seconds up to them, and when the user may try again."""
-    w = Window.partitionBy(user).orderBy(F.unix_seconds(F.col(at).cast("timestamp"))).rangeBetween(-seconds, 0)
-    rows = events.where(failed).select(user, at).withColumn("n", F.count("*").over(w)).withColumn("oldest", F.min(at).over(w))
-    return rows.where(F.col("n") >= limit).select(user, at, (F.col("oldest") + F.expr(f"interval {seconds} seconds")).alias("until")).distinct()
+    """(user, at, until): failures that make ``limit`` or more within the seconds up to them, and when the user may try
+    again: once the last of them is as many seconds old."""
+    rows = trailing(events.where(failed), user, at, seconds, F.lit(1))
+    return rows.where(F.col("recent") >= limit).select(user, at, (F.col(at) + F.expr(f"interval {seconds} seconds")).alias("until")).distinct()
 
 
 def nearest_rank(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import extract, scan
+from ..operators import extract, scan, vocab
+from ..operators import sessions as S
 from ..operators.extract import level_rank
 from ..runtime import table
 from .corpus import _LINES
-from .index import AVAILABILITY_SQL
+from . import prepared
+from .index import AVAILABILITY_SQL, POSTINGS_SQL
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -80,14 +82,11 @@ def claims_merged(spark: SparkSession, d: str) -> DataFrame:
     return j.select("doc_no", "term_id", F.greatest(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))).alias("level_rank"), F.when(F.col("a").isNull(), "llm").when(F.col("b").isNull(), "dict").otherwise("dict+llm").alias("via"))
 
 
-@query(f"""with p as (select d.term_id, doc_no, max(case when via <> 'llm-embed' then {_RANK} end) as r from doc_terms d where d.term_id is not null group by 1, 2)
-    select kind, count(*) filter (where r is not null) as strict, count(*) filter (where kind = 'topic' or r is not null) as normal, count(*) as loose, count(*) filter (where r >= 2) as used from p join terms using (term_id) group by 1""")
+@query(f"""with {POSTINGS_SQL} select kind, count(*) filter (where strong) as strict, count(*) filter (where kind = 'topic' or strong) as normal, count(*) as loose, count(*) filter (where used) as used from po group by 1""")
 def evidence_rule(spark: SparkSession, d: str) -> DataFrame:
     """How many members each rule of evidence lets in, by kind of term."""
-    p = table(spark, d, "doc_terms").where("term_id is not null").groupBy("term_id", "doc_no").agg(F.max(F.when(F.col("via") != "llm-embed", level_rank(F.col("level")))).alias("r"))
-    j = p.join(table(spark, d, "terms").select("term_id", "kind"), "term_id")
-    has = F.col("r").isNotNull()
-    return j.groupBy("kind").agg(F.count_if(has).alias("strict"), F.count_if((F.col("kind") == "topic") | has).alias("normal"), F.count("*").alias("loose"), F.count_if(F.col("r") >= 2).alias("used"))
+    p = prepared.postings(spark, d)
+    return p.groupBy("kind").agg(F.count_if("strong").alias("strict"), F.count_if((F.col("kind") == "topic") | F.col("strong")).alias("normal"), F.count("*").alias("loose"), F.count_if("used").alias("used"))
 
 
 @query(f"""with p as (select doc_no, max(availability) as availability from profile group by 1) select doc_no from p where {AVAILABILITY_SQL} in ('now', '2w', '1m')""")
@@ -116,15 +115,36 @@ def interleaved(spark: SparkSession, d: str) -> DataFrame:
     return r.select("kind", "canonical", "n", F.row_number().over(Window.orderBy("rn", "kind")).cast("bigint").alias("pos"))  # eight rows
 
 
-@query("""select case when slug = 'react' then 'angular' else slug end as slug, list_sort(list_distinct(flatten(list(list_concat(aliases, case when slug = 'react' then [canonical] else [] end))))) as forms, list_sort(list_distinct(flatten(list(list_transform(implies, lambda x: case when x = 'react' then 'angular' else x end))))) as implied from terms where kind = 'skill' group by 1""")
+@query("""with r as (select case when slug = 'react' then 'angular' else slug end as to_slug, case when slug <> 'react' then canonical end as name, list_concat(coalesce(aliases, []), case when slug = 'react' then [canonical] else [] end) as f, list_transform(coalesce(implies, []), lambda x: case when x = 'react' then 'angular' else x end) as i from terms where kind = 'skill'),
+    g as (select to_slug, max(name) as canonical, list_sort(list_distinct(flatten(list(f)))) as forms, list_sort(list_distinct(flatten(list(i)))) as i from r group by 1) select to_slug as slug, canonical, forms, list_filter(i, lambda x: x <> to_slug) as implied from g""")
 def vocab_merge(spark: SparkSession, d: str) -> DataFrame:
-    """One term merged into another: its forms move, references to it are turned, a term never implies itself."""
-    gone, kept = "react", "angular"
-    t = table(spark, d, "terms").where("kind = 'skill'")
-    turned = F.transform("implies", lambda x: F.when(x == gone, F.lit(kept)).otherwise(x))
-    rows = t.select(F.when(F.col("slug") == gone, kept).otherwise(F.col("slug")).alias("slug"), F.concat("aliases", F.when(F.col("slug") == gone, F.array("canonical")).otherwise(F.array().cast("array<string>"))).alias("f"), turned.alias("i"))
-    flat = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c))))
-    return rows.groupBy("slug").agg(flat("f").alias("forms"), F.array_remove(flat("i"), F.first("slug")).alias("implied"))
+    """One term merged into another: its forms move, references to it are turned."""
+    return vocab.merged(table(spark, d, "terms").where("kind = 'skill'"), "react", "angular")
+
+
+@query("""with t as (select slug, canonical, aliases, implies from terms where kind <> 'title' union all select 'new-tool', 'New Tool', ['Python', 'NT'], ['nowhere']), f as (select slug, lower(unnest(list_prepend(canonical, coalesce(aliases, [])))) as form from t)
+    select form, count(distinct slug) as terms from f group by 1 having count(distinct slug) > 1 union all select 'missing: ' || i, count(*) from (select unnest(implies) as i from t) where i not in (select slug from t) group by 1""")
+def vocab_lint(spark: SparkSession, d: str) -> DataFrame:
+    """What a careless addition to the vocabulary breaks: a form of another term and an implied term that doesn't exist."""
+    t = table(spark, d, "terms").where("kind <> 'title'")
+    return vocab.problems(vocab.aliased(vocab.added(t, "new-tool", "New Tool", "skill", ["Python"], ["nowhere"]), "new-tool", "NT"))
+
+
+@query(f"""with {POSTINGS_SQL}, t(tau) as (values (0.35), (0.4), (0.45), (0.5), (0.55), (0.6)), c as (select tau, kind, count(*) filter (where strong and cosine >= tau) as tp, count(*) filter (where not strong and cosine >= tau) as fp, count(*) filter (where strong and cosine < tau) as fn from po, t group by 1, 2)
+    select tau::double as tau, kind, tp, fp, fn, round(tp / nullif(tp + fp, 0)::double, 6) as precision, round(tp / nullif(tp + fn, 0)::double, 6) as recall from c""")
+def quality_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall of the vector channel against strong evidence for six thresholds."""
+    taus = F.explode(F.array(*[F.lit(t) for t in (0.35, 0.4, 0.45, 0.5, 0.55, 0.6)]))
+    near = F.col("cosine") >= F.col("tau")
+    c = prepared.postings(spark, d).select("kind", "strong", "cosine", taus.alias("tau")).groupBy("tau", "kind").agg(F.count_if(F.col("strong") & near).alias("tp"), F.count_if(~F.col("strong") & near).alias("fp"), F.count_if(F.col("strong") & ~near).alias("fn"))
+    share = lambda a, b: F.round(F.col("tp") / F.nullif(F.col(a) + F.col(b), F.lit(0)), 6)
+    return c.select("*", share("tp", "fp").alias("precision"), share("tp", "fn").alias("recall"))
+
+
+@query()
+def extract_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of every document with level, evidence and section, by the dictionary alone."""
+    return scan.extracted(table(spark, d, "docs"), "doc_no", "markdown", table(spark, d, "terms").where("kind <> 'title'"))
 
 
 @query("""with p as (select doc_no, max(location) as location, max(years) as years, max(rate) as rate, bool_or(lower(rate_source) like '%synthetic%') as guess from profile group by 1) select doc_no, trim(split_part(location, ',', 1)) as place, case when years is null then '–' else floor(years)::int || ' y' end as years, case when rate is null then '–' when coalesce(guess, false) then '~' || floor(rate)::bigint else floor(rate)::bigint::varchar end as rate from p""")
@@ -137,10 +157,9 @@ def display_labels(spark: SparkSession, d: str) -> DataFrame:
 @query("""with e as (select user_id, event_id, event_type, row_number() over (partition by user_id order by ts, event_id) as step, count(*) over (partition by user_id) as n from events) select user_id, step, case event_type when 'purchase' then '+' when 'refund' then '−' else '·' end || ' ' || event_type as words, step = n as current from e""")
 def history_list(spark: SparkSession, d: str) -> DataFrame:
     """Numbered steps of each session with the current one marked."""
-    w = Window.partitionBy("user_id")
-    e = table(spark, d, "events").withColumn("step", F.row_number().over(w.orderBy("ts", "event_id")).cast("bigint")).withColumn("n", F.count("*").over(w))
+    e = S.numbered(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", [F.col("ts"), F.col("event_id")])
     sign = F.when(F.col("event_type") == "purchase", "+").when(F.col("event_type") == "refund", "−").otherwise("·")
-    return e.select("user_id", "step", F.concat_ws(" ", sign, "event_type").alias("words"), (F.col("step") == F.col("n")).alias("current"))
+    return e.select("user_id", "step", F.concat_ws(" ", sign, "event_type").alias("words"), F.col("last").alias("current"))
 
 
 @query("""with r(name, place) as (values ('Brand#11', 1), ('Brand#33', 2)), b as (select distinct p_brand from part) select p_brand, row_number() over (order by place nulls last, p_brand) as pos from b left join r on name = p_brand order by pos limit 6""")
