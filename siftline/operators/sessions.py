@@ -103,8 +103,9 @@ def newest_on_lineage(steps: DataFrame, judgments: DataFrame, criterion: str, no
     steps without one have no row."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     own = judgments.where(plain(F.col("criterion")) == plain(F.lit(criterion))).groupBy("step").agg(F.max(F.struct("at", "judgment_id")).alias("best"))
-    at = steps.join(own, F.col(node) == F.col("step"), "left").select(F.col(node).alias("node"), F.coalesce(parent, node).alias("up"), "best")
-    at = stored(at)
+    there = steps.select(F.col(node).alias("__there")).distinct()
+    at = steps.join(own, F.col(node) == F.col("step"), "left").join(there, F.col(parent) == F.col("__there"), "left")  # a parent that is no step is none
+    at = stored(at.select(F.col(node).alias("node"), F.coalesce("__there", node).alias("up"), "best"))
     for _ in range(rounds):
         above = at.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("best").alias("other"))
         hopped = stored(at.join(above, "up").select("node", F.col("next").alias("up"), F.greatest("best", "other").alias("best"), (F.col("next") != F.col("up")).alias("moved")))
