@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,15 +22,17 @@ def _named(spark: SparkSession, folder: str) -> DataFrame:
     terms = table(spark, folder, "terms").select("term_id", "kind", "canonical", "aliases")
     titles = table(spark, folder, "profile").select("doc_no", F.col("current_title").alias("value"))
     names = table(spark, folder, "doc_terms").where("term_id is null").select("doc_no", F.col("evidence").alias("value"))
-    out = None
-    for field, rows, kinds, wording in (("current_title", titles, ["title"], canonical.TITLES), ("evidence", names, ["skill", "topic"], canonical.SKILLS)):
+
+    def part(field: str, rows: DataFrame, kinds: list[str]) -> DataFrame:
         rows = rows.where("value is not null and doc_no is not null").distinct()
         listed = terms.where(F.col("kind").isin(kinds))
-        found = canonical.canonical(rows, "value", listed, "term_id", "canonical", "aliases", wording)
+        found = canonical.canonical(rows, "value", listed, "term_id", "canonical", "aliases")
         told = found.join(listed.select(F.col("term_id").cast("bigint").alias("term"), "canonical"), "term", "left").where("canonical is null or canonical <> value")
-        part = rows.join(told.select("value", "term", "edits"), "value").select(F.lit(field).alias("field"), F.col("doc_no").cast("bigint").alias("doc_no"), "value", F.coalesce("term", F.lit(-1)).cast("bigint").alias("term_id"), "edits")
-        out = part if out is None else out.union(part)
-    return out
+        return rows.join(told.select("value", "term", "edits"), "value").select(F.lit(field).alias("field"), F.col("doc_no").cast("bigint").alias("doc_no"), "value", F.coalesce("term", F.lit(-1)).cast("bigint").alias("term_id"), "edits")
+
+    with ThreadPoolExecutor(2) as pool:  # the two lists have nothing to do with each other: their small jobs run side by side
+        a, b = pool.map(part, ("current_title", "evidence"), (titles, names), (["title"], ["skill", "topic"]))
+    return a.union(b)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
