@@ -16,6 +16,6 @@ def merged(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
 
 
 def years(ranges: DataFrame, key: str) -> DataFrame:
-    """(key, years, islands) of (key, start_month, end_month): months of the union in years to one decimal."""
+    """(key, years, islands) of (key, start_month, end_month): months of the union in years to one decimal, halves to the even one."""
     u = merged(ranges, key, "start_month", "end_month")
-    return u.groupBy(key).agg(F.round(F.sum(F.col("end_month") - F.col("start_month") + 1) / 12, 1).alias("years"), F.count("*").alias("islands"))
+    return u.groupBy(key).agg(F.bround(F.sum(F.col("end_month") - F.col("start_month") + 1) / 12, 1).alias("years"), F.count("*").alias("islands"))

@@ -209,7 +209,7 @@ def extract_date_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {_LINES}, {_META}, {_RANGES}, p as (select *, max(e) over (partition by doc_no order by s, e rows between unbounded preceding and 1 preceding) as before from v),
     g as (select *, sum(case when before is null or s > before + 1 then 1 else 0 end) over (partition by doc_no order by s, e rows unbounded preceding) as island from p),
-    u as (select doc_no, island, max(e) - min(s) + 1 as months from g group by 1, 2) select doc_no, round(sum(months) / 12.0, 1)::double as years, count(*) as islands from u group by 1""")
+    u as (select doc_no, island, max(e) - min(s) + 1 as months from g group by 1, 2) select doc_no, round_even(sum(months)::double / 12, 1) as years, count(*) as islands from u group by 1""")
 def extract_years(spark: SparkSession, d: str) -> DataFrame:
     """Years of experience: the union of overlapping jobs in months."""
     return intervals.years(extract.date_ranges(table(spark, d, "docs"), "doc_no", "markdown", kind="experience"), "doc_no")
