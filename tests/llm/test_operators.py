@@ -147,11 +147,16 @@ def test_router_copies_and_recall():
 # canonical names
 
 
-def _canonical(spark, values, wording=canonical.TITLES):
-    terms = [(1, "Data Engineer", ["ETL Developer"], "x"), (2, "Scrum Master", None, "x"), (3, "Accountant", [], "x"), (4, "Sales Manager", ["Sales Lead"], "x"), (5, "C++", ["cpp"], "x"), (6, "Network Engineer", [], "x")]
-    ref = spark.createDataFrame(terms, "id int, name string, aliases array<string>, value string")
-    df = spark.createDataFrame([(v, 1) for v in values], "value string, term int")
-    return {r["value"]: (r["term"], r["edits"]) for r in canonical.canonical(df, "value", ref, "id", "name", "aliases", wording).collect()}
+TERMS = [(1, "Data Engineer", ["ETL Developer"], "x"), (2, "Scrum Master", None, "x"), (3, "Accountant", [], "x"), (4, "Sales Manager", ["Sales Lead"], "x"), (5, "C++", ["cpp"], "x"), (6, "Network Engineer", [], "x"), (7, "Business Analyst", [], "x")]
+#: Values that show what is written around names: each wording with three terms, some with another end every time.
+AROUND = [f"{w}{n}" for w in ("currently ", "Title - ", "sr. ", "good knowledge of ") for n in ("Data Engineer", "Accountant", "Scrum Master", "C++")] + [f"{n}{w}" for w in (" (m/f/d)", " III", " (advanced)") for n in ("Data Engineer", "Accountant", "Scrum Master")]
+AROUND += [f"{n}{w}{i}" for w in (", Acme ", " at Acme ") for i, n in zip(("Foods", "Hotels", "Energy"), ("Data Engineer", "Accountant", "Sales Manager"), strict=True)] + ["Accountant - Level 3", "Data Engineer - level 1", "Scrum Master - Level 2"]
+
+
+def _canonical(spark, values, around=AROUND):
+    ref = spark.createDataFrame(TERMS, "id int, name string, aliases array<string>, value string")
+    df = spark.createDataFrame([(v, 1) for v in [*values, *around]], "value string, term int")
+    return {r["value"]: (r["term"], r["edits"]) for r in canonical.canonical(df, "value", ref, "id", "name", "aliases").collect() if r["value"] in values}
 
 
 def test_canonical(spark):
@@ -161,8 +166,19 @@ def test_canonical(spark):
     }
     got = _canonical(spark, [*want, None, "Falconer"])
     assert {k: v[0] for k, v in got.items()} == want
-    assert _canonical(spark, []) == {}
-    assert _canonical(spark, ["good knowledge of CPP", "c++ (advanced)", "C#"], canonical.SKILLS) == {"good knowledge of CPP": (5, 0), "c++ (advanced)": (5, 0), "C#": (None, None)}
+    assert _canonical(spark, [], []) == {}
+    assert _canonical(spark, ["good knowledge of CPP", "c++ (advanced)", "C#"]) == {"good knowledge of CPP": (5, 0), "c++ (advanced)": (5, 0), "C#": (None, None)}
+
+
+def test_wordings_are_learned_from_the_values(spark):
+    """A wording counts once the values show it with three terms; short words, slips in them and wordings in wordings too."""
+    odd = ["formerly known as Accountant", "Acountant of note", "Analyst in spe"]
+    assert {v: t for v, (t, _) in _canonical(spark, odd).items()} == {v: None for v in odd}
+    shown = [f"formerly known as {n}" for n in ("Data Engineer", "Scrum Master", "Sales Manager")] + [f"{n} of note" for n in ("Data Engineer", "Scrum Master", "Sales Manager")]
+    got = _canonical(spark, [*odd, "formerly known as currently Scrum Master", "formerly kown as Data Engineer"], [*AROUND, *shown])
+    assert {v: t for v, (t, _) in got.items()} == {"formerly known as Accountant": 3, "Acountant of note": 3, "Analyst in spe": None, "formerly known as currently Scrum Master": 2, "formerly kown as Data Engineer": 1}
+    short = _canonical(spark, ["Netwrok Engr", "Data Engr", "Network Engr", "Bus. Analyst"])
+    assert {v: t for v, (t, _) in short.items()} == {"Netwrok Engr": 6, "Data Engr": 1, "Network Engr": 6, "Bus. Analyst": 7}
 
 
 def test_pigeonhole_finds_all_within_edits(spark):
