@@ -100,21 +100,21 @@ def meta_lines(lines: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "line_no", "kind", "entry", "entry_no", company.alias("company"), F.when(F.col("head").contains(" — "), empty(F.regexp_extract("head", "^.*? — (.*)$", 1))).alias("location"), F.when(dated, F.col("head")).otherwise(empty(F.col("tail"))).alias("dates_text"))
 
 
-def _date(text: Column, end: bool = False) -> Column:
-    """Months since year 0 of a lower-cased date in any of the forms of DATE; a year alone is its January, as an end its December."""
-    low = text
-    part = lambda pattern, i: F.regexp_extract(low, pattern, i).try_cast("int")
-    month = lambda m: F.greatest(F.lit(1), F.least(F.lit(12), m)) - 1
-    named, day, two = rf"^({MONTH})\s+(\d{{4}})$", r"^(\d{1,2})/\d{1,2}/(\d{2,4})$", r"^(\d{1,2})/(\d{4})$"
+def _date(name: str, end: bool = False) -> Column:
+    """Months since year 0 of a lower-cased date in any of the forms of DATE, from a column by name; a year alone is its
+    January, as an end its December. One SQL expression, which is quicker to build than its parts."""
+    c = f"`{name}`"
+    part = lambda pattern, i: f"try_cast(regexp_extract({c}, r'{pattern}', {i}) as int)"
+    month = lambda m: f"greatest(1, least(12, {m})) - 1"
+    day, two = r"^(\d{1,2})/\d{1,2}/(\d{2,4})$", r"^(\d{1,2})/(\d{4})$"
     year = part(day, 2)
-    full = F.when(year < 50, year + 2000).when(year < 100, year + 1900).otherwise(year)
-    return (
-        F.when(low.rlike(named), part(named, 2) * 12 + F.floor((F.instr(F.lit(MONTHS.lower()), F.substring(low, 1, 3)) + 2) / 3) - 1)
-        .when(low.rlike(r"^\d{4}-\d{1,2}$"), part(r"^(\d{4})", 1) * 12 + month(part(r"-(\d{1,2})$", 1)))
-        .when(low.rlike(day), full * 12 + month(part(day, 1)))
-        .when(low.rlike(two), part(two, 2) * 12 + month(part(two, 1)))
-        .when(low.rlike(r"^\d{4}$"), low.try_cast("int") * 12 + (11 if end else 0))
-    ).cast("bigint")
+    return F.expr(
+        f"""cast(case when {c} rlike r'^{MONTH}\\s+\\d{{4}}$' then {part(r"(\d{4})$", 1)} * 12 + floor((instr('{MONTHS.lower()}', left({c}, 3)) + 2) / 3) - 1
+        when {c} rlike r'^\\d{{4}}-\\d{{1,2}}$' then {part(r"^(\d{4})", 1)} * 12 + {month(part(r"-(\d{1,2})$", 1))}
+        when {c} rlike r'{day}' then (case when {year} < 50 then 2000 when {year} < 100 then 1900 else 0 end + {year}) * 12 + {month(part(day, 1))}
+        when {c} rlike r'{two}' then {part(two, 2)} * 12 + {month(part(two, 1))}
+        when {c} rlike r'^\\d{{4}}$' then try_cast({c} as int) * 12 + {11 if end else 0} end as bigint)"""
+    )
 
 
 def with_months(rows: DataFrame, text: str = "dates_text", until: int = UNTIL) -> DataFrame:
@@ -124,8 +124,8 @@ def with_months(rows: DataFrame, text: str = "dates_text", until: int = UNTIL) -
     found = once(rows, __d=F.regexp_extract_all(text, F.lit(DATE), F.lit(0)), __r=F.regexp_replace(text, rf"(?is)^.*?(?:{DATE})", ""))
     low = lambda i: F.replace(F.lower(F.trim(F.get("__d", F.lit(i)))), F.lit("sept"), F.lit("sep"))
     found = once(found, __1=low(0), __2=low(1), __one=F.size("__d") == 1)
-    alone = F.when(F.col("__one") & ~F.col("__r").rlike(SEPARATOR), _date(F.col("__1"), True))
-    found = once(found, __s=_date(F.col("__1")), __b=_date(F.col("__2"), True), __a=alone, __o=F.col("__one") & F.col("__r").rlike(OPEN))
+    alone = F.when(F.col("__one") & ~F.col("__r").rlike(SEPARATOR), _date("__1", True))
+    found = once(found, __s=_date("__1"), __b=_date("__2", True), __a=alone, __o=F.col("__one") & F.col("__r").rlike(OPEN))
     found = once(found, __e=F.coalesce("__b", F.when(F.col("__o"), F.lit(until)), "__a").cast("bigint"))
     fits = F.coalesce(F.col("__e") >= F.col("__s"), F.lit(False)) | (F.col("__o") & F.col("__s").isNotNull())
     months = [F.when(fits, F.col(a)).alias(b) for a, b in (("__s", "start_month"), ("__e", "end_month"), ("__o", "open"))]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import components, extract, intervals, rates
-from ..runtime import table
+from ..runtime import stored, table, texts
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -27,18 +27,18 @@ def query(sql: str | None = None):
     b as (select raw_no, regexp_replace(regexp_replace(regexp_replace(t, '([^ \n])  +', '\1 ', 'g'), '(?m) +$', '', 'g'), '(?m)^[ .,;:|_*~-]+$', '', 'g') as t from a)
     select raw_no, regexp_replace(regexp_replace(regexp_replace(t, '\n\n\n+', chr(10) || chr(10), 'g'), '^\n+', ''), '\n+$', '') || chr(10) as text from b""")
 def clean_tidied(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "raw_docs").where("markdown is not null").select("raw_no", T.tidied(F.col("markdown")).alias("text"))
+    return texts(spark, d, "raw_docs").where("markdown is not null").select("raw_no", T.tidied(F.col("markdown")).alias("text"))
 
 
 @query()
 def clean_normalised(spark: SparkSession, d: str) -> DataFrame:
     """Tidied texts with repaired encoding and composed characters."""
-    return table(spark, d, "raw_docs").where("markdown is not null").select("raw_no", T.normalised(F.col("markdown")).alias("text"))
+    return texts(spark, d, "raw_docs").where("markdown is not null").select("raw_no", T.normalised(F.col("markdown")).alias("text"))
 
 
 @query(r"""select doc_no, trim(regexp_replace(markdown, '\s+', ' ', 'g')) as text from docs where markdown is not null""")
 def clean_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "docs").where("markdown is not null").select("doc_no", T.collapse(F.col("markdown")).alias("text"))
+    return texts(spark, d, "docs").where("markdown is not null").select("doc_no", T.collapse(F.col("markdown")).alias("text"))
 
 
 _TIDIED = r"""a as (select *, regexp_replace(regexp_replace(regexp_replace(markdown, '[\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}\x{00AD}]', '', 'g'), '\r\n?', chr(10), 'g'), '[\t\x{00A0}]', ' ', 'g') as t1 from src where markdown is not null),
@@ -60,7 +60,7 @@ def _redacted_sql(source: str) -> str:
 @query(f"with src as (select doc_no, markdown from docs where markdown is not null), tidy as (select *, markdown as t from src), {_redacted_sql('tidy')} select doc_no, text, emails, urls, phones from clean")
 def clean_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Texts without contact details, with the numbers of those taken out."""
-    return T.redaction(table(spark, d, "docs").where("markdown is not null").select("doc_no", F.col("markdown").alias("text")), "text")
+    return T.redaction(texts(spark, d, "docs").where("markdown is not null").select("doc_no", F.col("markdown").alias("text")), "text")
 
 
 _HASHED = rf"src as (select raw_no, source, source_id, markdown from raw_docs), {_TIDIED}, {_redacted_sql('tidy')}, hashed as (select *, substr(sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))), 1, 16) as hash, len(regexp_extract_all(text, '\S+'))::int as words from clean)"
@@ -68,7 +68,7 @@ _HASHED = rf"src as (select raw_no, source, source_id, markdown from raw_docs),
 
 def _hashed(spark: SparkSession, d: str) -> DataFrame:
     """Deliveries tidied, then redacted, then hashed; those with fewer than five words are left out."""
-    raw = table(spark, d, "raw_docs").where("markdown is not null").select("raw_no", "source", "source_id", T.tidied(F.col("markdown")).alias("t"))
+    raw = texts(spark, d, "raw_docs").where("markdown is not null").select("raw_no", "source", "source_id", T.tidied(F.col("markdown")).alias("t"))
     return T.redaction(raw, "t").select("raw_no", "source", "source_id", T.content_hash(T.collapse(F.col("t"))).alias("hash"), T.word_count(F.col("t")).alias("words")).where("words >= 5")
 
 
@@ -87,7 +87,7 @@ def corpus_exact_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """Every delivery with the first copy of its content, in the order of the sources: the others are its provenance. The
     first copy is a partial minimum, so a content that a third of all rows share is no list."""
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SOURCE_ORDER)), F.col("source")), F.lit(0)), F.lit(99))
-    k = _hashed(spark, d).select("raw_no", "hash", place.alias("place"))
+    k = stored(_hashed(spark, d).select("raw_no", "hash", "source")).select("raw_no", "hash", place.alias("place"))
     first = k.groupBy("hash").agg(F.min(F.struct("place", "raw_no"))["raw_no"].alias("first_no"), F.count("*").alias("copies"))
     return k.join(first, "hash").select("raw_no", "hash", "first_no", "copies", (F.col("raw_no") != F.col("first_no")).alias("duplicate"))
 
@@ -119,7 +119,7 @@ def corpus_incremental(spark: SparkSession, d: str) -> DataFrame:
     list_sort(list(len(regexp_extract_all(markdown, '\S+'))))[floor(count(*) * 0.9)::int + 1]::int as p90, max(len(regexp_extract_all(markdown, '\S+')))::int as longest, min(len(regexp_extract_all(markdown, '\S+')))::int as shortest from docs where markdown is not null group by source""")
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("markdown")
-    rows = table(spark, d, "docs").where("markdown is not null").select("source", T.word_count(m).alias("n"), (~m.rlike(r"(?m)^# ")).alias("h"), m.rlike(r"</?[a-z]+[^>]*>").alias("t"), (~m.rlike(r"(?m)^## ")).alias("s"))
+    rows = texts(spark, d, "docs").where("markdown is not null").select("source", T.word_count(m).alias("n"), (~m.rlike(r"(?m)^# ")).alias("h"), m.rlike(r"</?[a-z]+[^>]*>").alias("t"), (~m.rlike(r"(?m)^## ")).alias("s"))
     return extract.quality_stats(rows)
 
 
@@ -161,12 +161,12 @@ _LINES = rf"""l as (select doc_no, i::bigint as line_no, rtrim(ls[i], ' ') as li
 @query(f"with {_LINES} select * from s")
 def extract_sections(spark: SparkSession, d: str) -> DataFrame:
     """Every line with its role, section, kind of section and entry."""
-    return extract.parsed_lines(table(spark, d, "docs"), "doc_no", "markdown")
+    return extract.parsed_lines(texts(spark, d, "docs"), "doc_no", "markdown")
 
 
 @query(f"with {_LINES} select doc_no, section, kind, count(*) filter (where role = 'line') as lines, count(*) filter (where role = 'entry') as entries from s where section is not null group by all")
 def extract_section_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return extract.section_sizes(table(spark, d, "docs"), "doc_no", "markdown")
+    return extract.section_sizes(texts(spark, d, "docs"), "doc_no", "markdown")
 
 
 _MONTH_NAME = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?"
@@ -180,7 +180,7 @@ _META = rf"""h as (select *, trim(string_split(text, '·')[1]) as head, array_to
 @query(f"with {_LINES}, {_META} select * from meta")
 def extract_meta(spark: SparkSession, d: str) -> DataFrame:
     """Company, place and dates of each line about a job or a school."""
-    return extract.meta_lines(extract.parsed_lines(table(spark, d, "docs"), "doc_no", "markdown"), "doc_no")
+    return extract.meta_lines(extract.parsed_lines(texts(spark, d, "docs"), "doc_no", "markdown"), "doc_no")
 
 
 def _month_sql(x: str, end: bool) -> str:
@@ -203,7 +203,7 @@ _RANGES = rf"""x as (select *, list_filter(regexp_extract_all(lower(dates_text),
 @query(f"with {_LINES}, {_META}, {_RANGES} select doc_no, line_no, start_month, end_month, open from ranges")
 def extract_date_ranges(spark: SparkSession, d: str) -> DataFrame:
     """The ranges of dates of all lines about jobs and schools, in any of the five forms."""
-    meta = extract.meta_lines(extract.parsed_lines(table(spark, d, "docs"), "doc_no", "markdown"), "doc_no")
+    meta = extract.meta_lines(extract.parsed_lines(texts(spark, d, "docs"), "doc_no", "markdown"), "doc_no")
     return extract.with_months(meta).where("start_month is not null").select("doc_no", "line_no", "start_month", "end_month", "open")
 
 
@@ -212,12 +212,12 @@ def extract_date_ranges(spark: SparkSession, d: str) -> DataFrame:
     u as (select doc_no, island, max(e) - min(s) + 1 as months from g group by 1, 2) select doc_no, round_even(sum(months)::double / 12, 1) as years, count(*) as islands from u group by 1""")
 def extract_years(spark: SparkSession, d: str) -> DataFrame:
     """Years of experience: the union of overlapping jobs in months."""
-    return intervals.years(extract.date_ranges(table(spark, d, "docs"), "doc_no", "markdown", kind="experience"), "doc_no")
+    return intervals.years(extract.date_ranges(texts(spark, d, "docs"), "doc_no", "markdown", kind="experience"), "doc_no")
 
 
 @query(f"""with {_LINES} select doc_no, count(*) filter (where regexp_matches(text, '{extract.LEADING}')) as led, count(*) as lines from s where role = 'line' and kind = 'experience' group by 1""")
 def extract_led(spark: SparkSession, d: str) -> DataFrame:
-    lines = extract.parsed_lines(table(spark, d, "docs"), "doc_no", "markdown").where("kind = 'experience' and role = 'line'")
+    lines = extract.parsed_lines(texts(spark, d, "docs"), "doc_no", "markdown").where("kind = 'experience' and role = 'line'")
     return lines.groupBy("doc_no").agg(F.count_if(F.col("text").rlike(extract.LEADING)).alias("led"), F.count("*").alias("lines"))
 
 
@@ -231,20 +231,20 @@ def _levels_sql(text: str, patterns: dict[str, str]) -> str:
     select doc_no, coalesce(n.level, a.level) as level from a left join n using (doc_no) where coalesce(n.level, a.level) is not null""")
 def extract_education(spark: SparkSession, d: str) -> DataFrame:
     """Highest level named in the education section, else in the whole text."""
-    return extract.education(table(spark, d, "docs"), "doc_no", "markdown")
+    return extract.education(texts(spark, d, "docs"), "doc_no", "markdown")
 
 
 @query(f"""with {_LINES}, {_META}, f as (select doc_no, arg_min(entry, line_no) as title from meta where kind = 'experience' and coalesce(entry, '') <> '' group by 1), hd as (select doc_no, text from s where role = 'headline')
     select doc_no, coalesce(f.title, hd.text) as title from f full join hd using (doc_no)""")
 def extract_current_title(spark: SparkSession, d: str) -> DataFrame:
     """Title of the first job with a line about it, else the headline."""
-    return extract.current_title(extract.parsed_lines(table(spark, d, "docs"), "doc_no", "markdown"), "doc_no")
+    return extract.current_title(extract.parsed_lines(texts(spark, d, "docs"), "doc_no", "markdown"), "doc_no")
 
 
 @query(r"""select token, count(*) as n, count(distinct doc_no) as docs from (select doc_no, unnest(regexp_extract_all(lower(markdown), '[a-z0-9][a-z0-9+#./&''-]*[a-z0-9+#]|[a-z0-9]')) as token from docs) group by 1""")
 def extract_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Frequencies of tokens, with names such as c++ or ci/cd kept whole."""
-    t = table(spark, d, "docs").select("doc_no", F.explode(T.tokens(F.col("markdown"))).alias("token")).groupBy("token", "doc_no").agg(F.count("*").alias("k"))
+    t = texts(spark, d, "docs").select("doc_no", F.explode(T.tokens(F.col("markdown"))).alias("token")).groupBy("token", "doc_no").agg(F.count("*").alias("k"))
     return t.groupBy("token").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
 
 
@@ -296,7 +296,7 @@ def field_precedence(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""with w as (select doc_no, regexp_extract_all(lower(markdown), '[a-z0-9]+') as ws from docs) select doc_no, count(distinct list_aggregate(ws[i:i + 2], 'string_agg', ' ')) as shingles from w, unnest(range(1, len(ws) - 1)) as r(i) group by 1""")
 def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
     """Number of distinct runs of three words."""
-    w = table(spark, d, "docs").select("doc_no", T.words(F.col("markdown")).alias("ws")).where("size(ws) >= 3")
+    w = texts(spark, d, "docs").select("doc_no", T.words(F.col("markdown")).alias("ws")).where("size(ws) >= 3")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ws") - 2), lambda i: F.array_join(F.slice("ws", i, F.lit(3)), " ")))
     return w.select("doc_no", F.size(grams).cast("bigint").alias("shingles"))
 

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import extract, scan, vocab
 from ..operators import sessions as S
 from ..operators.extract import level_rank
-from ..runtime import table
+from ..runtime import table, texts
 from .corpus import _LINES
 from . import prepared
 from .index import AVAILABILITY_SQL, POSTINGS_SQL
@@ -52,19 +52,19 @@ def phrase_resolution(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def dictionary_scan(spark: SparkSession, d: str) -> DataFrame:
     """Longest matches of the vocabulary in every document, ambiguous forms confirmed by sure ones."""
-    return scan.scan(table(spark, d, "docs"), "doc_no", "markdown", table(spark, d, "terms").where("kind <> 'title'"))
+    return scan.scan(texts(spark, d, "docs"), "doc_no", "markdown", table(spark, d, "terms").where("kind <> 'title'"))
 
 
 @query()
 def dictionary_counts(spark: SparkSession, d: str) -> DataFrame:
-    s = scan.scan(table(spark, d, "docs"), "doc_no", "markdown", table(spark, d, "terms").where("kind <> 'title'"))
+    s = scan.scan(texts(spark, d, "docs"), "doc_no", "markdown", table(spark, d, "terms").where("kind <> 'title'"))
     return s.groupBy("term_id").agg(F.count("*").alias("docs"), F.sum("hits").alias("hits"))
 
 
 @query(f"""with {_LINES}, f as (select doc_no, arg_min(text, line_no) as t from s where kind = 'experience' and role = 'line' and len(regexp_extract_all(text, '\\S+')) >= 4 group by 1) select doc_no, case when length(t) > 110 then substr(t, 1, 110) || '…' else t end as did from f""")
 def did_fallback(spark: SparkSession, d: str) -> DataFrame:
     """First line of experience with four words, cut at 110 characters."""
-    lines = extract.parsed_lines(table(spark, d, "docs"), "doc_no", "markdown").where((F.col("kind") == "experience") & (F.col("role") == "line") & (T.word_count(F.col("text")) >= 4))
+    lines = extract.parsed_lines(texts(spark, d, "docs"), "doc_no", "markdown").where((F.col("kind") == "experience") & (F.col("role") == "line") & (T.word_count(F.col("text")) >= 4))
     m = lines.groupBy("doc_no").agg(F.min_by("text", "line_no").alias("t"))
     return m.select("doc_no", F.when(F.length("t") > 110, F.concat(F.substring("t", 1, 110), F.lit("…"))).otherwise(F.col("t")).alias("did"))
 
@@ -144,7 +144,7 @@ def quality_sweep(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def extract_terms(spark: SparkSession, d: str) -> DataFrame:
     """Terms of every document with level, evidence and section, by the dictionary alone."""
-    return scan.extracted(table(spark, d, "docs"), "doc_no", "markdown", table(spark, d, "terms").where("kind <> 'title'"))
+    return scan.extracted(texts(spark, d, "docs"), "doc_no", "markdown", table(spark, d, "terms").where("kind <> 'title'"))
 
 
 @query("""with p as (select doc_no, max(location) as location, max(years) as years, max(rate) as rate, bool_or(lower(rate_source) like '%synthetic%') as guess from profile group by 1) select doc_no, trim(split_part(location, ',', 1)) as place, case when years is null then '–' else floor(years)::int || ' y' end as years, case when rate is null then '–' when coalesce(guess, false) then '~' || floor(rate)::bigint else floor(rate)::bigint::varchar end as rate from p""")
@@ -240,4 +240,4 @@ def index_without_deleted(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
-    return scan.hashed_embedding(table(spark, d, "docs"), "doc_no", "markdown")
+    return scan.hashed_embedding(texts(spark, d, "docs"), "doc_no", "markdown")

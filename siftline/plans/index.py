@@ -11,7 +11,7 @@ from ..operators import chunks as K
 from ..operators import extract
 from ..operators import index as I
 from ..runtime import prepared as once_built
-from ..runtime import table
+from ..runtime import table, texts
 from . import prepared
 from .corpus import _KINDS
 
@@ -43,7 +43,7 @@ def chunk_sizes(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def chunks_built(spark: SparkSession, d: str) -> DataFrame:
     """All documents in chunks by section and entry."""
-    return K.chunked(table(spark, d, "docs"), "doc_no", "markdown")
+    return K.chunked(texts(spark, d, "docs"), "doc_no", "markdown")
 
 
 _TF = r"""w as (select doc_no, regexp_extract_all(lower(markdown), '[a-z0-9]+') as ws from docs where not coalesce(deleted, false) and markdown is not null)"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import extract, sets
 from ..operators import index as I
-from ..runtime import prepared, table
+from ..runtime import prepared, table, texts
 
 TAU = 0.35
 
@@ -29,7 +29,7 @@ def profile(spark: SparkSession, d: str) -> DataFrame:
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     """(chunk, doc_no, idx, kind, text, vec): the vectors of emb stand in for those of the chunks, by the first two digits
     of the hash of the text."""
-    c = table(spark, d, "build_docs").select("doc_no", F.explode("chunks").alias("c")).select("doc_no", "c.idx", extract.section_kind(F.col("c.section")).alias("kind"), "c.text")
+    c = texts(spark, d, "build_docs").select("doc_no", F.explode("chunks").alias("c")).select("doc_no", "c.idx", extract.section_kind(F.col("c.section")).alias("kind"), "c.text")
     v = table(spark, d, "emb").where("model = 'hash-embed-96' and size(vec) = 96").where(F.exists("vec", lambda x: x != 0))
     v = v.groupBy(F.substring("key", 1, 2).alias("pre")).agg(F.min_by("vec", "key").alias("vec"))
     c = c.select(F.concat_ws(":", "doc_no", "idx").alias("chunk"), "doc_no", "idx", "kind", "text", F.substring(F.sha2("text", 256), 1, 2).alias("pre"))
@@ -55,7 +55,7 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "docs").where("not coalesce(deleted, false) and markdown is not null").select("doc_no", T.words(F.col("markdown")).alias("ws"))
+    docs = texts(spark, d, "docs").where("not coalesce(deleted, false) and markdown is not null").select("doc_no", T.words(F.col("markdown")).alias("ws"))
     f = docs.select("doc_no", F.size("ws").alias("len"), F.explode("ws").alias("word")).groupBy("doc_no", "len", "word").agg(F.count("*").alias("tf"))
     return f.repartitionByRange(F.col("word")).sortWithinPartitions("word", "doc_no")
 
@@ -66,7 +66,7 @@ def words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "docs").where("not coalesce(deleted, false) and markdown is not null").select(F.size(T.words(F.col("markdown"))).alias("n"))
+    w = texts(spark, d, "docs").where("not coalesce(deleted, false) and markdown is not null").select(F.size(T.words(F.col("markdown"))).alias("n"))
     return w.agg(F.count("*").alias("docs"), F.avg("n").alias("avg"))
 
 

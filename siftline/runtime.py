@@ -121,3 +121,17 @@ def prepared(spark: SparkSession, folder: str, name: str, build: Callable[[Spark
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     shipped(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+#: Bytes of a table that is spread over all cores where it comes in fewer files than there are cores.
+SMALL_TABLE = 64 << 20
+
+
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows take long to work on. A small one in a few files would keep only so many cores busy, so it is
+    dealt out to all of them; larger tables are read as they lie, without a shuffle."""
+    rows = table(spark, folder, name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if size.getFileCount() < cores and size.getLength() < SMALL_TABLE else rows
