@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import table, texts
 from . import canonical, leaks, mixing, neardup, personal, segments, similar, spam, survivors
 
 #: SQL of a list of words: maximal runs of letters, digits and underscores, lower-cased.
@@ -48,13 +48,13 @@ def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    members, links = neardup.near_duplicates(table(spark, folder, "docs"), "doc_no", "markdown", k=3, threshold=0.7)
+    members, links = neardup.near_duplicates(texts(spark, folder, "docs"), "doc_no", "markdown", k=3, threshold=0.7)
     return neardup.all_pairs(members, links).select(F.col("a").cast("bigint").alias("doc_no_a"), F.col("b").cast("bigint").alias("doc_no_b"))
 
 
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each document with its group at the default of five words and 0.8."""
-    g = neardup.near_duplicate_groups(table(spark, folder, "docs"), "doc_no", "markdown")
+    g = neardup.near_duplicate_groups(texts(spark, folder, "docs"), "doc_no", "markdown")
     return g.select(F.col("key").cast("bigint").alias("doc_no"), F.col("class").cast("bigint").alias("copy_class"), F.col("group").cast("bigint").alias("near_group"), "links")
 
 
@@ -104,8 +104,8 @@ P3_FOUND_SQL = """with v as (select distinct model, key, vec::double[] as vec fr
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "docs").select(F.lit("docs").alias("tbl"), F.col("doc_no").cast("bigint").alias("rec_no"), "markdown")
-    return docs.union(table(spark, folder, "raw_docs").select(F.lit("raw_docs"), F.col("raw_no").cast("bigint"), "markdown"))
+    docs = texts(spark, folder, "docs").select(F.lit("docs").alias("tbl"), F.col("doc_no").cast("bigint").alias("rec_no"), "markdown")
+    return docs.union(texts(spark, folder, "raw_docs").select(F.lit("raw_docs"), F.col("raw_no").cast("bigint"), "markdown"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,8 +156,8 @@ P6_FOUND_SQL = """with d as (select distinct doc_no, dup_group, words, added_at
 
 
 def _oversized(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "docs").select(F.col("doc_no").cast("bigint").alias("doc_no"), F.lit(-1).cast("bigint").alias("idx"), F.col("markdown").alias("text"))
-    chunks = table(spark, folder, "build_docs").select(F.col("doc_no").cast("bigint").alias("doc_no"), F.explode("chunks").alias("c")).select("doc_no", F.col("c.idx").cast("bigint").alias("idx"), F.col("c.text").alias("text"))
+    docs = texts(spark, folder, "docs").select(F.col("doc_no").cast("bigint").alias("doc_no"), F.lit(-1).cast("bigint").alias("idx"), F.col("markdown").alias("text"))
+    chunks = texts(spark, folder, "build_docs").select(F.col("doc_no").cast("bigint").alias("doc_no"), F.explode("chunks").alias("c")).select("doc_no", F.col("c.idx").cast("bigint").alias("idx"), F.col("c.text").alias("text"))
     return segments.pieces(docs, ["doc_no", "idx"], "text", over=1000).union(segments.pieces(chunks, ["doc_no", "idx"], "text"))
 
 
@@ -178,13 +178,13 @@ P7_FOUND_SQL = """select distinct doc_no::bigint as doc_no, (-1)::bigint as idx
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = leaks.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+    found = leaks.leaks(texts(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
     return found.where("exact > 0").select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"))
 
 
 def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with the items that leaked into them, as they are or with numbers, units and names exchanged."""
-    found = leaks.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+    found = leaks.leaks(texts(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
     return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "exact", "reworded")
 
 
@@ -199,7 +199,7 @@ P8_FOUND_SQL = f"""with d as (select doc_id, {WORDS_SQL.format("text")} as ws fr
 
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.mixed(table(spark, folder, "documents"), "doc_id", "source", "text", table(spark, folder, "mix_targets"))
+    return mixing.mixed(texts(spark, folder, "documents"), "doc_id", "source", "text", table(spark, folder, "mix_targets"))
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -234,12 +234,12 @@ P9_SHARES_SQL = f"""{_MIX_SQL}, u as (select source, sum(tokens * copies) as use
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return spam.stuffed_pages(table(spark, folder, "documents"), "doc_id", "text").where("stuffed").select(F.col("key").alias("doc_id"))
+    return spam.stuffed_pages(texts(spark, folder, "documents"), "doc_id", "text").where("stuffed").select(F.col("key").alias("doc_id"))
 
 
 def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Share of spam lines and mean bits of every page."""
-    return spam.stuffed_pages(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+    return spam.stuffed_pages(texts(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
