@@ -113,6 +113,32 @@ def test_unit_mixture_names_the_likely_period(spark):
     assert all(r["uncertain"] for k, r in _pay(spark, rows).items() if k[0] >= 1000)  # the convention disagrees with the model
 
 
+def test_unit_mixture_outweighs_the_convention(spark):
+    """Rates of 600 to 700 among day rates of 480 to 800 are day rates although hours are the convention; the flag stays.
+    Values that fit the convention keep it, and so do all where it has no exceptions."""
+    import random
+
+    rnd = random.Random(1)
+    rows = [(i, float(rnd.randint(60, 100)), "EUR", "hourly", None) for i in range(200)] + [(300 + i, float(rnd.randint(480, 800)), "EUR", "per day", None) for i in range(200)]
+    rows += [(1000 + i, float(rnd.randint(600, 700)), "EUR", "document", None) for i in range(50)] + [(2000 + i, 70.0 + i, None, None, None) for i in range(20)]
+    got = _pay(spark, rows)
+    late = [r for k, r in got.items() if 1000 <= k[0] < 2000]
+    assert len(late) == 50 and all(r["period"] == "day" and r["common"] == r["value"] / 8 and r["uncertain"] for r in late)
+    assert all((r["currency"], r["period"], r["common"]) == ("EUR", "hour", r["value"]) for k, r in got.items() if k[0] >= 2000)
+    p = spark.createDataFrame(rows, "doc_no int, rate double, currency string, rate_source string, scale string")
+    refs = spark.createDataFrame(REFS, "unit_kind string, code string, factor double")
+    held = units.by_convention(units.read_units(p, "doc_no", "rate", "currency", "rate_source"), refs, ("EUR", "hour")).collect()
+    assert len(held) == len(rows) and all((r["currency"], r["period"], r["common"]) == ("EUR", "hour", r["value"]) for r in held if r["key"] >= 1000)
+
+
+def test_few_stated_units_leave_the_convention(spark):
+    """One or two stated values say little of the spread of the others, none nothing."""
+    odd = [(10 + i, v, None, None, None) for i, v in enumerate((20.0, 40.0, 52.0, 160.0))]
+    for stated in ([], [(1, 60.0, "EUR", "hourly", None)], [(1, 60.0, "EUR", "hourly", None), (2, 62.0, "EUR", "hourly", None)]):
+        got = _pay(spark, stated + odd)
+        assert all((r["currency"], r["period"]) == ("EUR", "hour") for r in got.values())
+
+
 def test_units_empty(spark):
     assert _pay(spark, []) == {}
 
