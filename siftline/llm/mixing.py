@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import stored
+from . import tokens as T
 
 #: Ranges for each e-fold of the (negative) keys, whose sizes are summed before any rows are sorted; only the range a
 #: budget ends in is sorted. Keys are exponential, so whatever the weights a range has less than 1/2000 of a source.
@@ -13,7 +14,8 @@ RANGES = 1024
 
 
 def size_in_tokens(text: Column) -> Column:
-    return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("bigint")
+    """The size of TESTDATA.md, where a token is four characters; null for a null text, which greatest would skip."""
+    return F.when(text.isNotNull(), F.greatest(F.lit(1), F.floor(F.length(text) / 4))).cast("bigint")
 
 
 def quality(text: Column) -> Column:
@@ -27,9 +29,12 @@ def draw(key: Column, seed: int = 0) -> Column:
     return (F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def mixed(docs: DataFrame, key: str, source: str, text: str, targets: DataFrame, total: float | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mixed(docs: DataFrame, key: str, source: str, text: str, targets: DataFrame, total: float | None = None, seed: int = 0, ranks: bytes | None = None) -> tuple[DataFrame, DataFrame]:
     """((key, source, tokens, copies), shares).
 
+    ranks: the content of a tokenizer's rank file, in whose tokens all sizes, budgets and shares are (tokens.sized; one at
+    least for a document); without it a token is four characters (size_in_tokens).
+
     targets: (source, target_share, max_repeats). Each source gets target_share x total tokens: first whole epochs, at
     most max_repeats, then a weighted sample without replacement. By the method of Efraimidis and Spirakis a document of
     weight w has the key ln(u) / w; those with the largest keys are taken as long as their tokens fit. total defaults to
@@ -45,7 +50,9 @@ def mixed(docs: DataFrame, key: str, source: str, text: str, targets: DataFrame,
     """
     aims = targets.where("source is not null").groupBy("source").agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).cast("bigint").alias("max_repeats"))
     aims = stored(aims)
-    small = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size_in_tokens(F.col(text)).alias("tokens"), quality(F.col(text)).alias("weight")).where("key is not null and source is not null and tokens is not null")
+    whole = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"), quality(F.col(text)).alias("weight")).where("key is not null and source is not null and text is not null")
+    size = F.greatest(F.lit(1), F.col("tokens")).cast("bigint") if ranks else size_in_tokens(F.col("text"))
+    small = (T.sized(whole, "text", ranks) if ranks else whole).select("key", "source", size.alias("tokens"), "weight")
     small = small.groupBy("key").agg(F.max(F.struct("tokens", "weight", "source")).alias("d")).select("key", "d.source", "d.tokens", "d.weight")
     rank = F.log(draw(F.col("key"), seed)) / F.col("weight")
     pool = small.join(aims.select("source"), "source", "left_semi").select("key", "source", "tokens", rank.alias("rank"))

@@ -198,8 +198,16 @@ P8_FOUND_SQL = f"""with d as (select doc_id, {WORDS_SQL.format("text")} as ws fr
 # 9: mixing sources
 
 
-def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.mixed(texts(spark, folder, "documents"), "doc_id", "source", "text", table(spark, folder, "mix_targets"))
+def _mixed(spark: SparkSession, folder: str, ranks: bytes | None = None) -> tuple[DataFrame, DataFrame]:
+    return mixing.mixed(texts(spark, folder, "documents"), "doc_id", "source", "text", table(spark, folder, "mix_targets"), ranks=ranks)
+
+
+def _ranks() -> bytes:
+    """The rank file of a public byte-level vocabulary for many languages, read on the driver."""
+    import public_tokenizers  # only these queries need it
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        return f.read()
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -212,6 +220,16 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
+def p9_tokenized(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix whose sizes are in tokens of a tokenizer; those of p9_mix are the four characters of TESTDATA.md."""
+    return _mixed(spark, folder, _ranks())[0].withColumnRenamed("key", "doc_id")
+
+
+def p9_tokenized_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of each target source in that mix."""
+    return _mixed(spark, folder, _ranks())[1]
+
+
 _MIX_SQL = r"""with d as (select distinct doc_id, source, text from documents where text is not null and source is not null),
         w as (select doc_id, source, greatest(1, length(text) // 4)::bigint as tokens, greatest(0.05, length(regexp_replace(text, '[^\p{L}]+', '', 'g')) / greatest(1, length(text))::double) as weight from d),
         a as (select source, sum(tokens) as available, count(*) as documents from w group by 1),

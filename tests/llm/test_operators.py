@@ -1,6 +1,7 @@
 """Each operator against brute force, and with nulls, empty and very long texts, ties, repeats, empty tables and clashing
 names."""
 
+import base64
 import itertools
 import math
 import random
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 
 from siftline.llm import canonical, leaks, mixing, neardup, personal, segments, similar, spam, survivors
+from siftline.llm import queries as Q
 from siftline.llm import words as W
 
 rnd = random.Random(3)
@@ -492,6 +494,60 @@ def test_mixing(spark):
     assert empty.count() == 0 and none.count() == 3
 
 
+def _plain_size(text, ranks):
+    """Tokens of a text: pieces of the pattern, in each of which the pair of the lowest rank is merged again and again."""
+    import regex
+
+    from siftline.llm.tokens import PATTERN
+
+    n = 0
+    for piece in regex.findall(PATTERN, text):
+        parts = [bytes([b]) for b in piece.encode()]
+        while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        n += len(parts)
+    return n
+
+
+def test_sizes_in_tokens():
+    from siftline.llm.tokens import Tokenizer
+
+    lines = Q._ranks()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
+    tokenizer = Tokenizer(lines)
+    odd = ["", "a", "It's 2024:  C++/C# \n\n\tfür   Straße, niño — 😀👍🏽 <|endoftext|>\x00\x1c x", "aé" * 40, "\r\n \r\n", "--" * 30 + " \u3000\u00a0x"]
+    odd += [a + w + b for w in (" " * 1000, " " * 1300, "\n\t" * 700, "\u00a0 " * 600) for a, b in (("", ""), ("x", ""), ("", "y"), ("it's", "done 's"), ("1", "1"), ("\x1c", "\x1c."))]
+    assert [tokenizer.size(t) for t in odd] == [_plain_size(t, ranks) for t in odd]
+    assert tokenizer.size("x" + " " * 3_000_000 + "y") == tokenizer.size("x") + tokenizer.size(" " * 2_999_999) + tokenizer.size(" y")
+
+
+def test_mixing_counts_tokens_of_the_tokenizer(spark):
+    """Budgets, copies and shares are in tokens of the tokenizer: punctuation is far dearer in them than in characters."""
+    from siftline.llm.tokens import Tokenizer
+
+    docs = [(i, "prose", "the experience of the department " * (3 + i % 9)) for i in range(400)] + [(1000 + i, "marks", "«¿~¡» " * (3 + i % 9)) for i in range(400)]
+    df = spark.createDataFrame([*docs, docs[0], (5000, "marks", None), (5001, "marks", "")], "id int, source string, text string")
+    aims = spark.createDataFrame([("prose", 0.5, 2), ("marks", 0.5, 1)], "source string, target_share double, max_repeats int")
+    mix, shares = mixing.mixed(df, "id", "source", "text", aims, ranks=Q._ranks())
+    tokenizer = Tokenizer(Q._ranks())
+    size = {i: max(1, tokenizer.size(t)) for i, _, t in [*docs, (5001, "", "")]}
+    rows, s = mix.collect(), {r["source"]: r for r in shares.collect()}
+    assert all(r["tokens"] == size[r["key"]] for r in rows)
+    assert s["marks"]["available"] == sum(n for i, n in size.items() if i >= 1000) and s["marks"]["documents"] == 401
+    assert abs(s["prose"]["actual_share"] - 0.5) < 0.01 and all(r["reached"] for r in s.values())
+    by_characters = {r["source"]: r for r in mixing.mixed(df, "id", "source", "text", aims)[1].collect()}
+    assert s["marks"]["available"] / s["prose"]["available"] > 2 * by_characters["marks"]["available"] / by_characters["prose"]["available"]
+
+
+def test_texts_that_are_null_have_no_size(spark):
+    df = spark.createDataFrame([(1, "a", "word " * 20), (2, "a", None), (3, "a", "")], "id int, source string, text string")
+    aims = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    mix, shares = mixing.mixed(df, "id", "source", "text", aims)
+    assert sorted((r["key"], r["tokens"]) for r in mix.collect()) == [(1, 25), (3, 1)]
+    assert [(r["documents"], r["available"]) for r in shares.collect()] == [(2, 26)]
+
+
 # spam
 
 

@@ -80,6 +80,21 @@ def test_leaks_hold_the_exact_ones(spark):
     assert exact == {(r["doc_id"], r["item_id"]) for r in got if r["exact"]} and all(r["exact"] + r["reworded"] > 0 for r in got)
 
 
+def test_tokenized_mix_equals_sql(spark, duck):
+    """The SQL of the mix, but for the sizes, which are those of the tokenizer; its own are others."""
+    from siftline.llm.tokens import Tokenizer
+
+    tokenizer = Tokenizer(Q._ranks())
+    duck.execute("create temp table sizes (doc_id bigint, n bigint)")
+    duck.executemany("insert into sizes values (?, ?)", [(k, max(1, tokenizer.size(t))) for k, t in duck.execute("select distinct doc_id, text from documents where text is not null").fetchall()])
+    size = "greatest(1, length(text) // 4)::bigint"
+    for name, like in (("p9_tokenized", "p9_mix"), ("p9_tokenized_shares", "p9_shares")):
+        sql = Q.oracle_sql()[like]
+        assert sql.count(size) == 1
+        ours, theirs = same_rows(Q.queries()[name](spark, DATA), duck, sql.replace(size, "(select max(n) from sizes where sizes.doc_id = d.doc_id)"))
+        assert ours == theirs and ours != same_rows(Q.queries()[like](spark, DATA), duck, sql)[0]
+
+
 def test_scores_of_pages(spark, duck):
     scores = {r["doc_id"]: r for r in rows(spark, "p10_scores")}
     assert set(scores) == {k for (k,) in duck.execute("select distinct doc_id from documents where text is not null").fetchall()}
